@@ -132,13 +132,16 @@ def with_fold(
     series: Sequence[str],
     holdout_ratio: float = 0.2,
     validation_ratio: float | None = None,
+    train_tail: int = 0,
+    holdout_head: int = 0,
     order: str = "ds",
     step: int | None = None,
     rows: int = ordering.ROWS_PER_TASK,
     name: str = "fold",
 ) -> DataFrame:
     """Label each row ``train`` or ``holdout`` by time, per series; with ``validation_ratio``
-    the tail of the training rows becomes ``validation``.
+    the tail of the training rows becomes ``validation``. ``train_tail`` keeps only that
+    many rows before the holdout and ``holdout_head`` that many of the holdout; 0 keeps all.
 
     Only the cut timestamps are computed, one row per series, and every row is compared
     with them: the table itself is not shuffled or sorted. A series too short for a
@@ -153,6 +156,10 @@ def with_fold(
     if validation_ratio is not None:
         fit_rows = _share(train_rows, validation_ratio)
         ranks["_validation_at"] = F.when((fit_rows >= 1) & (fit_rows < train_rows), fit_rows + 1)
+    if train_tail > 0:
+        ranks["_from"] = F.greatest(train_rows - F.lit(train_tail) + 1, F.lit(1))
+    if holdout_head > 0:
+        ranks["_to"] = F.least(train_rows + F.lit(holdout_head), size)
     cuts = ordering.cut_values(df, ranks, series=series, order=order, step=step, rows=rows)
     empty = F.raise_error(F.lit("holdout split produced an empty train or holdout set")).cast("bigint")
     cuts = cuts.select(
@@ -162,38 +169,12 @@ def with_fold(
     label = F.when(value >= F.col("_holdout_at"), "holdout")
     if validation_ratio is not None:
         label = label.when(value >= F.col("_validation_at"), "validation")
-    return df.join(cuts, list(series)).withColumn(name, label.otherwise("train")).drop(*ranks)
-
-
-def limit_fold_rows(
-    df: DataFrame,
-    *,
-    series: Sequence[str],
-    train_tail: int = 0,
-    holdout_head: int = 0,
-    order: str = "ds",
-    fold: str = "fold",
-    rows: int = ordering.ROWS_PER_TASK,
-) -> DataFrame:
-    """Keep the last ``train_tail`` training rows and the first ``holdout_head`` holdout rows; 0 keeps all."""
-    kept = df
-    value = order_value(df, order)
-    for label, limit, rank in (
-        ("train", train_tail, F.greatest(F.col("n") - F.lit(train_tail) + 1, F.lit(1))),
-        ("holdout", holdout_head, F.least(F.lit(holdout_head).cast("bigint"), F.col("n"))),
-    ):
-        if limit <= 0:
-            continue
-        cut = ordering.cut_values(
-            df.where(F.col(fold) == label), {"_cut": rank}, series=series, order=order, rows=rows
-        ).select(*series, "_cut")
-        inside = value >= F.col("_cut") if label == "train" else value <= F.col("_cut")
-        kept = (
-            kept.join(cut, list(series), "left")
-            .where((F.col(fold) != label) | F.col("_cut").isNull() | inside)
-            .drop("_cut")
-        )
-    return kept
+    labelled = df.join(cuts, list(series)).withColumn(name, label.otherwise("train"))
+    if train_tail > 0:
+        labelled = labelled.where(value >= F.col("_from"))
+    if holdout_head > 0:
+        labelled = labelled.where(value <= F.col("_to"))
+    return labelled.drop(*ranks)
 
 
 # --- scaling --------------------------------------------------------------------

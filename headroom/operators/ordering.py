@@ -33,7 +33,7 @@ ROWS_PER_TASK = 250_000
 
 def _spans(valued: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
     span = valued.groupBy(*series).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_w").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     return span.select(
         *series, "n", "_lo", "_hi", F.expr(f"(_hi - _lo) div greatest(1L, n div {rows}L) + 1").alias("_width")
@@ -43,7 +43,7 @@ def _spans(valued: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
 def _cells(celled: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
     """One row per cell: its rows, the rows before it, and the width of its parts."""
     running = Window.partitionBy(*series).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled.groupBy(*series, "_cell", "_width").agg(F.count(F.lit(1)).alias("_c"))
+    counts = celled.groupBy(*series, "_cell", "_width").agg(F.sum("_w").alias("_c"))
     return counts.select(
         *series,
         "_cell",
@@ -53,8 +53,9 @@ def _cells(celled: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
     )
 
 
-def _with_cells(df: DataFrame, series: Sequence[str], order: str, rows: int) -> DataFrame:
-    valued = df.withColumn("_v", order_value(df, order))
+def _with_cells(df: DataFrame, series: Sequence[str], order: str, rows: int, weight: str | None = None) -> DataFrame:
+    counted = F.lit(1) if weight is None else F.col(weight)
+    valued = df.withColumns({"_v": order_value(df, order), "_w": counted.cast("bigint")})
     celled = valued.join(_spans(valued, series, rows), list(series)).withColumn(
         "_cell", F.expr("(_v - _lo) div _width")
     )
@@ -123,12 +124,14 @@ def cut_values(
     series: Sequence[str],
     order: str = "ds",
     step: int | None = None,
+    weight: str | None = None,
     rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per series: ``n`` and, per entry of ``ranks``, the order value (bigint) at that rank.
 
     A rank is an expression over ``n``. Ranks outside ``1..n`` give null. Only the rows
-    of the cells that hold a wanted rank are sorted; the rest is counted.
+    of the cells that hold a wanted rank are sorted; the rest is counted. With ``weight``
+    a row stands for that many equal rows.
     """
     if step is not None:
         spans = _grid_spans(df, series, order, step)
@@ -143,30 +146,34 @@ def cut_values(
             ],
         )
 
-    narrow = df.select(*series, order)
-    parted = _with_cells(narrow, series, order, rows)
+    narrow = df.select(*series, order, *([weight] if weight else []))
+    parted = _with_cells(narrow, series, order, rows, weight)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]
     )
-    hits = F.filter(
-        wanted, lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_c"))
-    )
-    near = parted.withColumn("_hits", hits).where(F.size("_hits") > 0)
-    counts = near.groupBy(*series, "_cell", "_part").agg(F.count(F.lit(1)).alias("_pc"))
+
+    def hits(first: Column, count: Column) -> Column:
+        return F.filter(wanted, lambda w: (w["rank"] > first) & (w["rank"] <= first + count))
+
+    near = parted.where(F.size(hits(F.col("_before"), F.col("_c"))) > 0)
     inside = Window.partitionBy(*series, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_part_before", F.coalesce(F.sum("_pc").over(inside), F.lit(0)))
-    local = Window.partitionBy(*series, "_cell", "_part").orderBy("_v")
+    parts = (
+        near.groupBy(*series, "_cell", "_part")
+        .agg(F.sum("_w").alias("_pc"))
+        .withColumn("_part_before", F.coalesce(F.sum("_pc").over(inside), F.lit(0)))
+    )
+    local = Window.partitionBy(*series, "_cell", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        near.join(counts, [*series, "_cell", "_part"])
+        near.join(parts, [*series, "_cell", "_part"])
         .withColumn("_first", F.col("_before") + F.col("_part_before"))
-        .where(F.exists("_hits", lambda w: (w["rank"] > F.col("_first")) & (w["rank"] <= F.col("_first") + F.col("_pc"))))
-        .withColumn("_rn", F.row_number().over(local) + F.col("_first"))
-        .withColumn("_hit", F.explode(F.filter("_hits", lambda w: w["rank"] == F.col("_rn"))))
+        .where(F.size(hits(F.col("_first"), F.col("_pc"))) > 0)
+        .withColumn("_through", F.sum("_w").over(local) + F.col("_first"))
+        .withColumn("_hit", F.explode(hits(F.col("_through") - F.col("_w"), F.col("_w"))))
     )
     found = placed.groupBy(*series).agg(
         *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in ranks]
     )
-    sizes = df.groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(*series).agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"))
     return sizes.join(found, list(series), "left")
 
 

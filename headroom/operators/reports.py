@@ -11,21 +11,29 @@ from headroom import fixed_values as fixed
 from headroom import schemas
 from headroom.functions.clock import DAY, HOUR, day_floor, ntz, order_value
 from headroom.operators import ordering
+from headroom.session import settle
 
 # Rolling sums are compared as decimals: exact, so ties are ties on every partitioning.
 EXACT = "decimal(28,9)"
 
 
 def _median_step(placed: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
-    """Exact median of the time between neighbour rows, in microseconds, per series."""
-    steps = ordering.with_lags(placed, {"_earlier": ("_at", 1)}, series=series, rows=rows).select(
-        *series, (F.col("_at") - F.col("_earlier")).alias("_step")
-    ).where(F.col("_step").isNotNull())
+    """Exact median of the time between neighbour rows, in microseconds, per series.
+
+    Equal steps are counted first, so the usual series, with few different steps, shrinks to a few rows.
+    """
+    steps = ordering.with_lags(placed, {"_earlier": ("_at", 1)}, series=series, rows=rows)
+    counted = (
+        steps.where(F.col("_earlier").isNotNull())
+        .groupBy(*series, (F.col("_at") - F.col("_earlier")).alias("_step"))
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
     middle = ordering.cut_values(
-        steps,
+        settle(counted),
         {"_low": F.expr("(n + 1) div 2"), "_high": F.expr("n div 2 + 1")},
         series=series,
         order="_step",
+        weight="_times",
         rows=rows,
     )
     return middle.select(*series, ((F.col("_low") + F.col("_high")) / 2).alias("_median"))
@@ -38,6 +46,7 @@ def peak_window_start(
     series: Sequence[str],
     value: str = "actual",
     order: str = "ds",
+    step: int | None = None,
     rows: int = ordering.ROWS_PER_TASK,
 ) -> DataFrame:
     """Per series, the start of the ``days``-long window with the highest mean of ``value``.
@@ -45,18 +54,23 @@ def peak_window_start(
     The window is counted in rows: rows per day from the median step, times ``days``, at
     most the whole series; the earliest of equal windows wins. Sums come from running
     totals, and each row meets the total one window earlier by an equi-join on position,
-    so neither the window length nor the series length is bound to one task. Columns:
-    the series, ``start`` and ``window_rows``.
+    so neither the window length nor the series length is bound to one task. The running
+    totals are written once, since three passes read them. ``step`` marks gap-free grids,
+    whose median step is known. Columns: the series, ``start`` and ``window_rows``.
     """
     if days <= 0:
         raise ValueError("days must be greater than 0")
     schemas.require_columns(df, [*series, order, value], "prediction frame")
     narrow = df.select(*series, order, F.col(value).cast(EXACT).alias("_value"))
-    placed = ordering.with_position(narrow, series=series, order=order, rows=rows).withColumn(
+    placed = ordering.with_position(narrow, series=series, order=order, step=step, rows=rows).withColumn(
         "_at", order_value(narrow, order)
     )
-    placed = ordering.running_total(placed, F.col("_value"), "_total", series=series, rows=rows)
-    steps = _median_step(placed.select(*series, "rn", "_at"), series, rows)
+    placed = settle(ordering.running_total(placed, F.col("_value"), "_total", series=series, rows=rows))
+    if step is None:
+        steps = _median_step(placed.select(*series, "rn", "_at"), series, rows)
+        sized = placed.join(steps, list(series), "left")
+    else:
+        sized = placed.withColumn("_median", F.lit(float(step)))
     stop = F.raise_error(F.lit("timestamps must be sorted and have a positive interval")).cast("bigint")
     per_day = F.greatest(F.lit(1), F.bround(F.lit(float(DAY)) / F.col("_median"), 0)).cast("bigint")
     size = (
@@ -64,7 +78,7 @@ def peak_window_start(
         .when(F.coalesce(F.col("_median") <= 0, F.lit(True)), stop)
         .otherwise(F.least(F.col("n"), per_day * days))
     )
-    sized = placed.join(steps, list(series), "left").withColumn("_size", size)
+    sized = sized.withColumn("_size", size)
     ends = sized.where(F.col("rn") >= F.col("_size")).select(
         *series, "_size", "_total", (F.col("rn") - F.col("_size")).alias("_before")
     )
@@ -90,7 +104,13 @@ def window_slice(df: DataFrame, starts: DataFrame, days: int, *, keys: Sequence[
 
 
 def select_window(
-    df: DataFrame, days: int, *, series: Sequence[str], start: str | None = None, order: str = "ds"
+    df: DataFrame,
+    days: int,
+    *,
+    series: Sequence[str],
+    start: str | None = None,
+    order: str = "ds",
+    step: int | None = None,
 ) -> DataFrame:
     """The peak window of each series, or the window from ``start``; no rows at all is an error."""
     if start is not None:
@@ -98,7 +118,8 @@ def select_window(
         inside = (F.col(order) >= first) & (F.col(order) < first + F.make_dt_interval(F.lit(days)))
         window = df.where(inside)
     else:
-        window = window_slice(df, peak_window_start(df, days, series=series, order=order), days, keys=series, order=order)
+        starts = peak_window_start(df, days, series=series, order=order, step=step)
+        window = window_slice(df, starts, days, keys=series, order=order)
     if window.isEmpty():
         raise schemas.TableError(f"No prediction rows found in the window of {days} days from {start or 'the peak'}.")
     return window
@@ -111,11 +132,12 @@ def common_window(
     default_model: str,
     series: Sequence[str] = (),
     order: str = "ds",
+    step: int | None = None,
     rows: int = ordering.ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows of all models inside the peak window of ``default_model``, per series."""
     chosen = df.where(F.col("model") == default_model)
-    starts = peak_window_start(chosen, days, series=[*series, "model"], order=order, rows=rows).drop("model")
+    starts = peak_window_start(chosen, days, series=[*series, "model"], order=order, step=step, rows=rows).drop("model")
     if series:
         return window_slice(df, starts, days, keys=list(series), order=order)
     keyed = window_slice(
@@ -157,9 +179,9 @@ def mismatch_spans(
 
 def _day_spine(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every day between the first and last day of each key."""
-    span = daily.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
-    days = F.explode(F.expr("sequence(_first, _last, INTERVAL 1 DAY)")).alias("day")
-    return span.select(*keys, days).withColumn("day", ntz(F.col("day"))).where(F.col("day").isNotNull())
+    span = daily.groupBy(*keys).agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"))
+    days = F.explode(F.expr("sequence(_first, _last, INTERVAL 1 DAY)")).alias("ds")
+    return span.select(*keys, days).withColumn("ds", ntz(F.col("ds"))).where(F.col("ds").isNotNull())
 
 
 def daily_overview(df: DataFrame, models: Sequence[str] = tuple(fixed.MODEL_NAMES), order: str = "ds") -> DataFrame:
@@ -176,16 +198,16 @@ def daily_overview(df: DataFrame, models: Sequence[str] = tuple(fixed.MODEL_NAME
         columns[f"{model}_pods"] = F.avg(F.when(own, F.col("predicted_pods")))
     daily = (
         df.where(F.col("model").isin(list(models)))
-        .groupBy(day_floor(F.col(order)).alias("day"))
+        .groupBy(day_floor(F.col(order)).alias("ds"))
         .agg(*[c.alias(name) for name, c in columns.items()])
     )
-    return _day_spine(daily, []).join(daily, "day", "left")
+    return _day_spine(daily, []).join(daily, "ds", "left")
 
 
 def service_daily(df: DataFrame, values: Sequence[str] = ("actual", "predicted"), order: str = "ds") -> DataFrame:
     """Daily means per service; days without rows inside a service's span are kept with nulls."""
-    daily = df.groupBy("service", day_floor(F.col(order)).alias("day")).agg(*[F.avg(v).alias(v) for v in values])
-    return _day_spine(daily, ["service"]).join(daily, ["service", "day"], "left")
+    daily = df.groupBy("service", day_floor(F.col(order)).alias("ds")).agg(*[F.avg(v).alias(v) for v in values])
+    return _day_spine(daily, ["service"]).join(daily, ["service", "ds"], "left")
 
 
 def in_report_order(df: DataFrame, services: Sequence[str] = tuple(fixed.REPORT_ORDER)) -> DataFrame:
@@ -206,13 +228,13 @@ def adjusted_stack(
     early = df.where(F.col(order) < first + F.make_dt_interval(F.lit(days)))
     values = ["predicted_pods", "onprem_adjusted_pods"]
     daily = service_daily(early, values, order)
-    every = daily.select("day").distinct().select(
-        "day", F.posexplode(F.array(*[F.lit(s) for s in services])).alias("_at", "service")
+    every = daily.select("ds").distinct().select(
+        "ds", F.posexplode(F.array(*[F.lit(s) for s in services])).alias("_at", "service")
     )
-    stack = Window.partitionBy("day").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    filled = every.join(daily, ["service", "day"], "left").fillna(0.0, values)
+    stack = Window.partitionBy("ds").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = every.join(daily, ["service", "ds"], "left").fillna(0.0, values)
     return filled.select(
-        "day",
+        "ds",
         "service",
         (F.col("_at") + 1).cast("int").alias("position"),
         *values,

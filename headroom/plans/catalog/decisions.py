@@ -1,2 +1,74 @@
-QUERIES = {}
-ORACLE = {}
+"""Scaling decision queries."""
+
+from __future__ import annotations
+
+import math
+
+from headroom import fixed_values as fixed
+from headroom.operators import decisions as D
+from headroom.operators import sizing as Z
+from headroom.plans.catalog import sql as S
+from headroom.plans.traffic import service_predictions
+
+# Above the demand of most hours, the usual budget, below it, and below the sum of the minimums (9).
+BUDGETS = {"allocate": fixed.POD_BUDGET, "allocate_tight": 14, "allocate_scarce": 11, "allocate_below_minimum": 8}
+
+
+def sized_predictions(spark, sf_dir):
+    return Z.add_service_pod_columns(service_predictions(spark, sf_dir))
+
+
+def _allocate(budget: int):
+    return lambda spark, sf_dir: D.share_pod_budget(sized_predictions(spark, sf_dir), budget)
+
+
+QUERIES = {
+    **{name: _allocate(budget) for name, budget in BUDGETS.items()},
+    "node_pools": lambda spark, sf_dir: D.size_node_pools(sized_predictions(spark, sf_dir)),
+}
+
+# --- SQL checks: units are listed one by one and handed out in turn order ---------
+
+_SCALE = math.lcm(*[values[4] for values in fixed.SERVICE_POLICIES.values()])
+
+
+def allocation(budget: int) -> str:
+    return f"""{S.SIZED},
+demand AS (
+  SELECT *, greatest(predicted_pods - min_pods, 0) AS extra, sum(predicted_pods) OVER t AS wanted, sum(min_pods) OVER t AS least_pods
+  FROM sized WINDOW t AS (PARTITION BY ds)),
+weighted AS (
+  SELECT *, extra * ({_SCALE} // priority) AS weight, sum(extra * ({_SCALE} // priority)) OVER (PARTITION BY ds) AS weights,
+    CASE WHEN wanted <= {budget} THEN 'within_budget' WHEN {budget} < least_pods THEN 'budget_below_minimum'
+         ELSE 'priority_rebalanced' END AS reason
+  FROM demand),
+shares AS (
+  SELECT *, CASE WHEN reason = 'priority_rebalanced' THEN least((({budget} - least_pods) * weight) // weights, extra) ELSE 0 END AS whole,
+    CASE WHEN reason = 'priority_rebalanced' THEN (({budget} - least_pods) * weight) % weights ELSE 0 END AS fraction,
+    CASE WHEN reason = 'priority_rebalanced' THEN extra ELSE 0 END AS urge
+  FROM weighted),
+starts AS (
+  SELECT *, CASE WHEN reason = 'priority_rebalanced' THEN min_pods + whole ELSE 0 END AS start_pods,
+    CASE reason WHEN 'priority_rebalanced' THEN {budget} - least_pods - sum(whole) OVER (PARTITION BY ds) ELSE {budget} END AS supply
+  FROM shares),
+units AS (
+  SELECT ds, service, supply, row_number() OVER (PARTITION BY ds ORDER BY j, fraction DESC, urge DESC, priority, service) AS place
+  FROM (SELECT *, unnest(range(1, CAST(greatest(
+          CASE reason WHEN 'priority_rebalanced' THEN predicted_pods - start_pods ELSE min_pods END, 0) AS BIGINT) + 1)) AS j FROM starts)),
+given AS (SELECT ds, service, count(*) AS pods FROM units WHERE place <= supply GROUP BY 1, 2),
+decisions AS (
+  SELECT s.ds, s.service, predicted_pods,
+    CAST(CASE WHEN reason = 'within_budget' THEN predicted_pods ELSE start_pods + coalesce(g.pods, 0) END AS INTEGER) AS onprem_adjusted_pods,
+    priority, {budget} AS pod_budget, reason
+  FROM starts s LEFT JOIN given g ON g.ds = s.ds AND g.service = s.service)"""
+
+
+ORACLE = {
+    **{name: f"WITH {allocation(budget)} SELECT * FROM decisions" for name, budget in BUDGETS.items()},
+    "node_pools": f"""WITH {S.SIZED}, pools AS (
+          SELECT ds, service, predicted_pods, node_pool, node_pod_capacity,
+            CAST(sum(predicted_pods) OVER (PARTITION BY ds, node_pool, node_pod_capacity) AS BIGINT) AS node_pool_predicted_pods
+          FROM sized),
+        nodes AS (SELECT *, CAST(greatest(ceil(CAST(node_pool_predicted_pods AS DOUBLE) / node_pod_capacity), 1) AS INTEGER) AS required_nodes FROM pools)
+        SELECT *, CASE WHEN required_nodes > 1 THEN 'node_pool_scale_out' ELSE 'baseline_capacity' END AS reason FROM nodes""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.clock import HOUR, hour_floor
 from headroom.operators import enrichment, ordering
+from headroom.session import settle
 
 EVENT_SERVICE = {
     "purchase": "payment",
@@ -94,3 +95,8 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").alias("ds"))
         .agg(F.sum("l_quantity").alias("y"))
     )
+
+
+def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier_days`` written once, for operators that read their input several times."""
+    return settle(supplier_days(spark, sf_dir))
