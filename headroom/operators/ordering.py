@@ -193,6 +193,20 @@ def in_chunks(
     have the same number of rows whatever the series looks like, and the border rows
     are sent to the neighbour chunk as well, so results equal those of one big window.
     """
+    spread = haloed(df, before=before, after=after, rows=rows, position=position)
+    window = Window.partitionBy(*series, "_chunk").orderBy(position)
+    added = expressions(window)
+    return (
+        spread.select("*", *[column.alias(name) for name, column in added.items()])
+        .where(F.col("_chunk") == F.col("_own"))
+        .drop("_own", "_chunk")
+    )
+
+
+def haloed(
+    df: DataFrame, *, before: int = 0, after: int = 0, rows: int = ROWS_PER_TASK, position: str = "rn"
+) -> DataFrame:
+    """Add ``_own``, the chunk of the row, and ``_chunk``, the chunk this copy of the row is for."""
     size = max(rows, before, after, 1)
     at = (F.col(position) - 1) % F.lit(size)
     own = F.floor((F.col(position) - 1) / F.lit(size)).cast("bigint")
@@ -202,17 +216,9 @@ def in_chunks(
     if after:
         targets.append(F.when((at < after) & (own > 0), own - 1))
     spread = df.withColumn("_own", own)
-    if len(targets) > 1:
-        spread = spread.withColumn("_chunk", F.explode(F.array_compact(F.array(*targets))))
-    else:
-        spread = spread.withColumn("_chunk", F.col("_own"))
-    window = Window.partitionBy(*series, "_chunk").orderBy(position)
-    added = expressions(window)
-    return (
-        spread.select("*", *[column.alias(name) for name, column in added.items()])
-        .where(F.col("_chunk") == F.col("_own"))
-        .drop("_own", "_chunk")
-    )
+    if len(targets) == 1:
+        return spread.withColumn("_chunk", F.col("_own"))
+    return spread.withColumn("_chunk", F.explode(F.array_compact(F.array(*targets))))
 
 
 def with_lags(
