@@ -1,2 +1,198 @@
-QUERIES = {}
-ORACLE = {}
+"""Forecast and tuning queries. Iterative fits have no SQL equal; their parts are checked where they have."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from headroom.functions import calendar as C
+from headroom.functions.clock import HOUR
+from headroom.operators import enrichment as E
+from headroom.operators import evaluation, features, ordering, tuning
+from headroom.operators.forecast import additive, recurrent
+from headroom.operators.forecast.cells import RecurrentParams
+from headroom.operators.forecast.frames import floor_zero, prediction_frame
+from headroom.operators.forecast.linear import linear_stepper
+from headroom.operators.forecast.recursion import recursive_forecast
+from headroom.plans import runs
+from headroom.plans.catalog import sql as S
+from headroom.plans.catalog.calendar import landfalls
+from headroom.plans.catalog.common import order_days, rounded
+from headroom.plans.traffic import (
+    enriched_service_traffic,
+    service_predictions,
+    service_traffic,
+    supplier_series,
+    table,
+)
+from headroom.session import settle
+
+EPOCHS = 10
+TRIALS = 4
+PARAMS = RecurrentParams(epochs=EPOCHS)
+
+
+def services_in_folds(spark, sf_dir, **ratios):
+    df = settle(enriched_service_traffic(spark, sf_dir))
+    return features.with_fold(df, series=["service"], step=HOUR, **ratios)
+
+
+def suppliers_in_folds(spark, sf_dir, **ratios):
+    """Supplier days with weather columns and folds, written once for the fits that follow."""
+    df = supplier_series(spark, sf_dir).withColumn("is_monsoon", C.monsoon_flag(F.col("ds")))
+    df = E.with_calendar(E.with_storm_index(df, landfalls(spark)))
+    return settle(features.with_fold(df, series=["supplier"], **ratios))
+
+
+def fourier(spark, sf_dir):
+    df = order_days(spark, sf_dir)
+    waves = additive.fourier(additive.days_since_epoch(df, "ds"), additive.RECIPE_DESIGN.seasons)
+    return rounded(df.select("o_orderkey", *[c.alias(n) for n, c in waves.items()]), waves, 6)
+
+
+def trend(spark, sf_dir):
+    """The trend columns of every order over the span of all orders."""
+    df = order_days(spark, sf_dir).withColumn("_all", F.lit(1))
+    span = df.groupBy("_all").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    placed = df.join(span, "_all")
+    t = F.datediff("ds", "first") / F.datediff("last", "first")
+    columns = additive.trend_columns(t, F.lit(0.8))
+    return rounded(placed.select("o_orderkey", *[c.alias(n) for n, c in columns.items()]), columns, 6)
+
+
+def fit_additive(spark, sf_dir):
+    return runs.run_additive(suppliers_in_folds(spark, sf_dir), series=["supplier"])
+
+
+def fit_recipe(spark, sf_dir):
+    return runs.run_recipe(suppliers_in_folds(spark, sf_dir), series=["supplier"])
+
+
+def fit_first_recipe(spark, sf_dir):
+    """The multiplicative recipe on the square root of the target."""
+    df = suppliers_in_folds(spark, sf_dir)
+    return runs.run_recipe(df, additive.FIRST_RECIPE, features.TRANSFORMS["sqrt"], series=["supplier"], model="first_recipe")
+
+
+def fit_sarimax(spark, sf_dir):
+    return runs.run_seasonal_ar(services_in_folds(spark, sf_dir), series=["service"], step=HOUR)
+
+
+def _fit(cell: str):
+    def query(spark, sf_dir):
+        return runs.run_sequence(services_in_folds(spark, sf_dir), cell, PARAMS, series=["service"], step=HOUR)[1]
+
+    return query
+
+
+def run_sequence(spark, sf_dir):
+    """Metrics of a two-layer model with decay and clipping."""
+    params = RecurrentParams(
+        epochs=EPOCHS, hidden_size=16, num_layers=2, dropout=0.2, weight_decay=1e-4, gradient_clip=1.0
+    )
+    predictions = runs.run_sequence(services_in_folds(spark, sf_dir), "lstm", params, series=["service"], step=HOUR)[1]
+    return evaluation.evaluate(predictions, by=["service", "model"])
+
+
+def model_parameters(spark, sf_dir):
+    models, _ = runs.run_sequence(services_in_folds(spark, sf_dir), "gru", PARAMS, series=["service"], step=HOUR)
+    return recurrent.parameter_table(models, "gru", PARAMS, series=["service"])
+
+
+def fit_per_service(spark, sf_dir):
+    """Decisions of a whole service run."""
+    run = runs.run_services(services_in_folds(spark, sf_dir), PARAMS, pod_budget=14, step=HOUR)
+    return run["decisions"]
+
+
+def recursive(spark, sf_dir):
+    """A linear model of the last two values and the last hour, fed with its own results."""
+    df = E.with_calendar(settle(service_traffic(spark, sf_dir)))
+    placed = ordering.with_position(df, series=["service"], step=HOUR)
+    start = F.floor(F.col("n").cast("double") * F.lit(1 - 0.2)).cast("bigint")
+    rows = placed.withColumn("start", start)
+    models = placed.select("service").distinct()
+    stepper = linear_stepper({(1, 0): 0.6, (2, 0): 0.3, (1, 1): 0.25}, constant=1.0)
+    out = recursive_forecast(rows, models, stepper, series=["service"], columns=["y", "hour"], length=2)
+    return rounded(out.select("service", "ds", F.col("y").alias("predicted")), ["predicted"], 6)
+
+
+def framed(spark, sf_dir):
+    predictions = settle(service_predictions(spark, sf_dir))
+    holdout = predictions.select("ds", "service", F.col("actual").alias("y"))
+    return prediction_frame(holdout, predictions.select("ds", "service", "predicted"), "naive", keys=["ds", "service"])
+
+
+# Small recurrent trials, so that the query stays short; the last asks for more history than there is.
+SEQUENCE_TRIALS = {
+    0: RecurrentParams(sequence_length=12, hidden_size=16, learning_rate=0.02, epochs=6),
+    1: RecurrentParams(sequence_length=24, hidden_size=16, epochs=4, num_layers=2, dropout=0.2, weight_decay=1e-4),
+    2: RecurrentParams(sequence_length=24, hidden_size=32, learning_rate=0.03, epochs=8, batch_size=0, gradient_clip=1.0),
+    3: RecurrentParams(sequence_length=5000, hidden_size=16, epochs=2),
+}
+
+
+def tune_sequence(spark, sf_dir):
+    df = services_in_folds(spark, sf_dir, validation_ratio=0.2)
+    return tuning.tune_recurrent(df, "gru", SEQUENCE_TRIALS, series=["service"], step=HOUR)
+
+
+def tune_additive(spark, sf_dir):
+    df = suppliers_in_folds(spark, sf_dir, validation_ratio=0.2)
+    drawn = tuning.read_trials(tuning.additive_space(spark, TRIALS), additive.AdditiveParams)
+    return tuning.tune_additive(df, drawn, series=["supplier"])
+
+
+QUERIES = {
+    "fourier": fourier,
+    "trend": trend,
+    "fit_additive": fit_additive,
+    "fit_recipe": fit_recipe,
+    "fit_first_recipe": fit_first_recipe,
+    "fit_sarimax": fit_sarimax,
+    "fit_gru": _fit("gru"),
+    "fit_lstm": _fit("lstm"),
+    "run_sequence": run_sequence,
+    "model_parameters": model_parameters,
+    "fit_per_service": fit_per_service,
+    "recursive_forecast": recursive,
+    "floor_zero": lambda spark, sf: table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", floor_zero(F.col("l_quantity") - 25).alias("predicted")
+    ),
+    "prediction_frame": framed,
+    "tune_sequence": tune_sequence,
+    "tune_additive": tune_additive,
+}
+
+# --- SQL checks -----------------------------------------------------------------
+
+_DAYS = "CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE)"
+
+ORACLE = {
+    "fourier": "SELECT o_orderkey, "
+    + ", ".join(
+        f"{S.rounded(f'{fn}(2 * pi() * {j} / {S.number(period)} * {_DAYS})', 6)} AS {name}_{fn}_{j}"
+        for name, (period, order) in additive.RECIPE_DESIGN.seasons.items()
+        for j in range(1, order + 1)
+        for fn in ("sin", "cos")
+    )
+    + " FROM orders",
+    "trend": f"""WITH placed AS (SELECT o_orderkey, date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate)
+          / CAST(date_diff('day', (SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders)) AS DOUBLE) AS t FROM orders)
+        SELECT o_orderkey, {S.rounded('CAST(1 AS DOUBLE)', 6)} AS constant, {S.rounded('t', 6)} AS slope, """
+    + ", ".join(f"{S.rounded(f'greatest(t - {S.number(0.8)} * {j} / 25, 0)', 6)} AS hinge_{j}" for j in range(1, 26))
+    + " FROM placed",
+    "recursive_forecast": f"""WITH RECURSIVE {S.TRAFFIC}, placed AS (
+          SELECT service, ds, y, CAST(hour(ds) AS DOUBLE) AS hour, row_number() OVER w AS rn, lag(y) OVER w AS y2,
+            floor(CAST(count(*) OVER (PARTITION BY service) AS DOUBLE) * {S.number(1 - 0.2)}) AS start
+          FROM traffic WINDOW w AS (PARTITION BY service ORDER BY ds)),
+        walk AS (
+          SELECT service, rn, y, y2 FROM placed WHERE rn = start
+          UNION ALL
+          SELECT w.service, w.rn + 1, 1.0::DOUBLE + 0.6::DOUBLE * w.y + 0.3::DOUBLE * w.y2 + 0.25::DOUBLE * p.hour, w.y
+          FROM walk w JOIN placed p ON p.service = w.service AND p.rn = w.rn JOIN placed q ON q.service = w.service AND q.rn = w.rn + 1)
+        SELECT p.service, p.ds, {S.rounded('w.y', 6)} AS predicted
+        FROM walk w JOIN placed p ON p.service = w.service AND p.rn = w.rn WHERE p.rn > p.start""",
+    "floor_zero": "SELECT l_orderkey, l_linenumber, greatest(l_quantity - 25, 0) AS predicted FROM lineitem",
+    "prediction_frame": f"""WITH {S.PREDICTIONS} SELECT ds, service, actual, predicted, {S.default_pods('actual')} AS actual_pods,
+        {S.default_pods('predicted')} AS predicted_pods, 'naive' AS model FROM predictions""",
+}
