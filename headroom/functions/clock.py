@@ -38,9 +38,17 @@ def ntz(col: Column) -> Column:
     return col.cast("timestamp_ntz")
 
 
+def day_floor(ts: Column) -> Column:
+    """Start of the day, without a detour through the session time zone."""
+    return ntz(F.to_date(ts))
+
+
 def hour_floor(ts: Column) -> Column:
-    return ntz(F.date_trunc("hour", ts))
+    return day_floor(ts) + F.make_dt_interval(F.lit(0), F.hour(ts))
 
 
-def day_floor(ts: Column) -> Column:
-    return ntz(F.date_trunc("day", ts))
+def plus_micros(origin: Column, micros: Column) -> Column:
+    """Add whole microseconds; seconds stay exact as a decimal."""
+    days = F.floor(micros / F.lit(float(DAY))).cast("int")
+    rest = (micros - days.cast("bigint") * DAY).cast("decimal(20,0)") / F.lit(SECOND).cast("decimal(10,0)")
+    return ntz(origin + F.make_dt_interval(days, F.lit(0), F.lit(0), rest.cast("decimal(18,6)")))

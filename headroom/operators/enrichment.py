@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from headroom import fixed_values as fixed
 from headroom import schemas
 from headroom.functions import calendar as C
-from headroom.functions.clock import DAY, SECOND, ntz, order_value
+from headroom.functions.clock import DAY, SECOND, ntz, order_value, plus_micros
 
 
 def time_grid(spark: SparkSession, start: datetime, end: datetime, step_micros: int) -> DataFrame:
@@ -23,33 +23,23 @@ def time_grid(spark: SparkSession, start: datetime, end: datetime, step_micros:
     if micros < 0:
         raise schemas.TableError("date range is empty; check start, end and step")
     origin = F.lit(start).cast("timestamp_ntz")
-    return spark.range(micros // step_micros + 1).select(_plus_micros(origin, F.col("id") * step_micros).alias("ds"))
+    return spark.range(micros // step_micros + 1).select(plus_micros(origin, F.col("id") * step_micros).alias("ds"))
 
 
-def _plus_micros(origin: Column, micros: Column) -> Column:
-    """Add whole microseconds; seconds stay exact as a decimal."""
-    days = F.floor(micros / F.lit(float(DAY))).cast("int")
-    rest = (micros - days.cast("bigint") * DAY).cast("decimal(20,0)") / F.lit(SECOND).cast("decimal(10,0)")
-    return ntz(origin + F.make_dt_interval(days, F.lit(0), F.lit(0), rest.cast("decimal(18,6)")))
-
-
-def grid_between(bounds: DataFrame, step: str = "INTERVAL 1 HOUR") -> DataFrame:
+def grid_between(bounds: DataFrame, step_micros: int) -> DataFrame:
     """Timestamps between columns ``first`` and ``last`` of a one-row table.
 
     Days are listed first and spread over tasks, then each day lists its own moments;
-    ``step`` has to divide a day.
+    the step has to divide a day.
     """
+    if step_micros <= 0 or DAY % step_micros:
+        raise schemas.TableError("step must divide a day")
     days = bounds.select(
-        "first",
-        "last",
-        F.explode(F.expr("sequence(date_trunc('day', first), date_trunc('day', last), INTERVAL 1 DAY)")).alias("day"),
-    ).repartition("day")
-    inside = F.expr(f"sequence(day, day + INTERVAL 1 DAY - {step}, {step})")
-    return (
-        days.select("first", "last", F.explode(inside).alias("ds"))
-        .where(F.col("ds").between(F.col("first"), F.col("last")))
-        .select(ntz(F.col("ds")).alias("ds"))
-    )
+        "first", "last", F.explode(F.sequence(F.to_date("first"), F.to_date("last"))).alias("_day")
+    ).repartition("_day")
+    moments = days.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(DAY // step_micros - 1))))
+    at = plus_micros(ntz(F.col("_day")), F.col("_k").cast("bigint") * F.lit(step_micros))
+    return moments.withColumn("ds", at).where(F.col("ds").between(F.col("first"), F.col("last"))).select("ds")
 
 
 def with_calendar(df: DataFrame, ds: str = "ds") -> DataFrame:

@@ -2,18 +2,21 @@
 
 A window over one series is one task, and one series may hold a third of all rows.
 So every operator that needs the order of rows (splits, lags, rolling sums, medians)
-builds on three primitives that never put a whole series into one task:
+builds on three primitives that never put a long series into one task:
 
 * ``cut_values``    - the order value at given ranks of each series,
 * ``with_position`` - the row number and the row count of each series,
 * ``in_chunks``     - window expressions over chunks of a fixed number of rows,
   each with as many rows of its neighbours as the expressions look back or ahead.
 
-Ranks come from counts: the span of a series is cut into cells of equal width, a cell
-that still holds too many rows is cut again by its own count, and running sums over
-those small count tables give the offset of each cell. The counts are exact, so the
-result does not depend on partitioning. Where a series is a gap-free grid, ``step``
-gives ranks by arithmetic and no shuffle at all.
+The rows of each series are counted first. When no series has more than ``rows`` of
+them, one window per series is all it takes. Otherwise ranks come from counts: the span
+of a series is cut into cells of equal width, a cell that still holds too many rows is
+cut again by its own count, and running sums over those small count tables give the
+offset of each cell. The counts are exact, so the result does not depend on
+partitioning. Count tables are written before they are joined: they are computed once,
+and the optimizer broadcasts them only if they are small. Where a series is a gap-free
+grid, ``step`` gives ranks by arithmetic and rows are not shuffled at all.
 
 ``(series, order)`` is expected to be unique. Rows of a series with the same order
 value are numbered in the order of ``tie`` columns.
@@ -27,42 +30,62 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from headroom.functions.clock import order_value
+from headroom.session import settle
 
 ROWS_PER_TASK = 250_000
 
 
-def _spans(valued: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
+def _valued(df: DataFrame, order: str, weight: str | None = None) -> DataFrame:
+    counted = F.lit(1) if weight is None else F.col(weight)
+    return df.withColumns({"_v": order_value(df, order), "_w": counted.cast("bigint")})
+
+
+def _spans(valued: DataFrame, series: Sequence[str], rows: int) -> tuple[DataFrame, bool]:
+    """Rows, first value and cell width per series, and whether any series has more than ``rows`` rows."""
     span = valued.groupBy(*series).agg(
-        F.sum("_w").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    return span.select(
-        *series, "n", "_lo", "_hi", F.expr(f"(_hi - _lo) div greatest(1L, n div {rows}L) + 1").alias("_width")
+        F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    width = F.expr(f"(_hi - _lo) div greatest(1L, _rows div {rows}L) + 1")
+    spans = settle(span.select(*series, "n", "_rows", "_lo", width.alias("_width")))
+    return spans, not spans.where(F.col("_rows") > rows).isEmpty()
 
 
-def _cells(celled: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
-    """One row per cell: its rows, the rows before it, and the width of its parts."""
+def _in_cells(valued: DataFrame, spans: DataFrame, series: Sequence[str], rows: int) -> tuple[DataFrame, bool]:
+    """Rows with their cell, the weight before it and their part of it, and whether any cell has parts."""
+    celled = valued.join(spans.drop("_rows"), list(series)).withColumn("_cell", F.expr("(_v - _lo) div _width"))
     running = Window.partitionBy(*series).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled.groupBy(*series, "_cell", "_width").agg(F.sum("_w").alias("_c"))
-    return counts.select(
-        *series,
-        "_cell",
-        "_c",
-        F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"),
-        F.expr(f"greatest(1L, _width div greatest(1L, _c div {rows}L))").alias("_part_width"),
+    counts = celled.groupBy(*series, "_cell", "_width").agg(F.sum("_w").alias("_c"), F.count(F.lit(1)).alias("_k"))
+    parts = F.greatest(F.lit(1), F.expr(f"least(_width, _k div {rows}L)"))
+    cells = settle(
+        counts.select(
+            *series,
+            "_cell",
+            "_c",
+            F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"),
+            parts.alias("_parts"),
+            F.expr(f"(_width - 1) div greatest(1L, least(_width, _k div {rows}L)) + 1").alias("_part_width"),
+        )
+    )
+    hot = not cells.where(F.col("_parts") > 1).isEmpty()
+    parted = celled.join(cells, [*series, "_cell"]).withColumn(
+        "_part", F.expr("(_v - _lo - _cell * _width) div _part_width") if hot else F.lit(0).cast("bigint")
     )
+    return parted, hot
 
 
-def _with_cells(df: DataFrame, series: Sequence[str], order: str, rows: int, weight: str | None = None) -> DataFrame:
-    counted = F.lit(1) if weight is None else F.col(weight)
-    valued = df.withColumns({"_v": order_value(df, order), "_w": counted.cast("bigint")})
-    celled = valued.join(_spans(valued, series, rows), list(series)).withColumn(
-        "_cell", F.expr("(_v - _lo) div _width")
-    )
-    cells = _cells(celled, series, rows)
-    return celled.join(cells, [*series, "_cell"]).withColumn(
-        "_part", F.expr("(_v - _lo - _cell * _width) div _part_width")
+def _with_part_offsets(parted: DataFrame, series: Sequence[str], hot: bool) -> DataFrame:
+    """Add ``_first``, the weight before the row's part; parts are counted only where a cell has several."""
+    if not hot:
+        return parted.withColumn("_first", F.col("_before"))
+    inside = Window.partitionBy(*series, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = settle(
+        parted.where(F.col("_parts") > 1)
+        .groupBy(*series, "_cell", "_part")
+        .agg(F.sum("_w").alias("_pc"))
+        .select(*series, "_cell", "_part", F.coalesce(F.sum("_pc").over(inside), F.lit(0)).alias("_inner"))
     )
+    joined = parted.join(parts, [*series, "_cell", "_part"], "left")
+    return joined.withColumn("_first", F.col("_before") + F.coalesce("_inner", F.lit(0)))
 
 
 def _grid_spans(df: DataFrame, series: Sequence[str], order: str, step: int) -> DataFrame:
@@ -72,13 +95,9 @@ def _grid_spans(df: DataFrame, series: Sequence[str], order: str, step: int) ->
         F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     regular = F.col("_rows") == F.expr(f"(_hi - _lo) div {step}L + 1")
-    return span.select(
-        *series,
-        "_lo",
-        F.when(regular, F.col("_rows"))
-        .otherwise(F.raise_error(F.lit(f"series is not a gap-free grid with step {step} microseconds")))
-        .cast("bigint")
-        .alias("n"),
+    stop = F.raise_error(F.lit(f"series is not a gap-free grid with step {step} microseconds"))
+    return settle(
+        span.select(*series, "_lo", F.when(regular, F.col("_rows")).otherwise(stop.cast("bigint")).alias("n"))
     )
 
 
@@ -92,29 +111,25 @@ def with_position(
     rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``rn`` (1-based position in the series) and ``n`` (rows in the series)."""
+    series = list(series)
     if step is not None:
-        spans = _grid_spans(df, series, order, step)
-        placed = df.withColumn("_v", order_value(df, order)).join(spans, list(series))
-        return placed.withColumn("rn", F.expr(f"(_v - _lo) div {step}L + 1")).drop("_v", "_lo")
-
-    parted = _with_cells(df, series, order, rows)
-    inside = Window.partitionBy(*series, "_cell").orderBy("_part")
-    hot = (
-        parted.where(F.col("_c") >= 2 * rows)
-        .groupBy(*series, "_cell", "_part")
-        .agg(F.count(F.lit(1)).alias("_pc"))
-        .withColumn(
-            "_part_before",
-            F.sum("_pc").over(inside.rowsBetween(Window.unboundedPreceding, -1)),
+        spans = _grid_spans(df.select(*series, order), series, order, step)
+        placed = df.withColumn("_v", order_value(df, order)).join(spans, series)
+        return placed.withColumn("rn", F.expr(f"(_v - _lo) div {step}L + 1")).select(*df.columns, "n", "rn")
+
+    spans, long = _spans(_valued(df.select(*series, order), order), series, rows)
+    valued = _valued(df, order)
+    if not long:
+        whole = Window.partitionBy(*series)
+        return valued.select(
+            *df.columns,
+            F.count(F.lit(1)).over(whole).alias("n"),
+            F.row_number().over(whole.orderBy("_v", *tie)).cast("bigint").alias("rn"),
         )
-        .drop("_pc")
-    )
+    narrow, hot = _in_cells(valued, spans, series, rows)
+    placed = _with_part_offsets(narrow, series, hot)
     local = Window.partitionBy(*series, "_cell", "_part").orderBy("_v", *tie)
-    numbered = parted.withColumn("_local", F.row_number().over(local))
-    out = numbered.join(hot, [*series, "_cell", "_part"], "left").withColumn(
-        "rn", F.col("_local") + F.col("_before") + F.coalesce("_part_before", F.lit(0))
-    )
-    return out.select(*df.columns, "n", "rn")
+    return placed.select(*df.columns, "n", (F.col("_first") + F.row_number().over(local)).alias("rn"))
 
 
 def cut_values(
@@ -129,12 +144,13 @@ def cut_values(
 ) -> DataFrame:
     """One row per series: ``n`` and, per entry of ``ranks``, the order value (bigint) at that rank.
 
-    A rank is an expression over ``n``. Ranks outside ``1..n`` give null. Only the rows
-    of the cells that hold a wanted rank are sorted; the rest is counted. With ``weight``
-    a row stands for that many equal rows.
+    A rank is an expression over ``n``. Ranks outside ``1..n`` give null. Of a long series
+    only the cells that hold a wanted rank are sorted; the rest is counted. With
+    ``weight`` a row stands for that many equal rows.
     """
+    series = list(series)
     if step is not None:
-        spans = _grid_spans(df, series, order, step)
+        spans = _grid_spans(df.select(*series, order), series, order, step)
         return spans.select(
             *series,
             "n",
@@ -146,8 +162,8 @@ def cut_values(
             ],
         )
 
-    narrow = df.select(*series, order, *([weight] if weight else []))
-    parted = _with_cells(narrow, series, order, rows, weight)
+    valued = _valued(df.select(*series, order, *([weight] if weight else [])), order, weight).select(*series, "_v", "_w")
+    spans, long = _spans(valued, series, rows)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]
     )
@@ -155,26 +171,23 @@ def cut_values(
     def hits(first: Column, count: Column) -> Column:
         return F.filter(wanted, lambda w: (w["rank"] > first) & (w["rank"] <= first + count))
 
-    near = parted.where(F.size(hits(F.col("_before"), F.col("_c"))) > 0)
-    inside = Window.partitionBy(*series, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (
-        near.groupBy(*series, "_cell", "_part")
-        .agg(F.sum("_w").alias("_pc"))
-        .withColumn("_part_before", F.coalesce(F.sum("_pc").over(inside), F.lit(0)))
-    )
-    local = Window.partitionBy(*series, "_cell", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        near.join(parts, [*series, "_cell", "_part"])
-        .withColumn("_first", F.col("_before") + F.col("_part_before"))
-        .where(F.size(hits(F.col("_first"), F.col("_pc"))) > 0)
-        .withColumn("_through", F.sum("_w").over(local) + F.col("_first"))
+    if long:
+        parted, hot = _in_cells(valued, spans, series, rows)
+        near = parted.where(F.size(hits(F.col("_before"), F.col("_c"))) > 0)
+        placed = _with_part_offsets(near, series, hot)
+        local = Window.partitionBy(*series, "_cell", "_part")
+    else:
+        whole = Window.partitionBy(*series)
+        placed = valued.select("*", F.sum("_w").over(whole).alias("n"), F.lit(0).cast("bigint").alias("_first"))
+        local = whole
+    through = F.sum("_w").over(local.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = (
+        placed.withColumn("_through", through + F.col("_first"))
         .withColumn("_hit", F.explode(hits(F.col("_through") - F.col("_w"), F.col("_w"))))
+        .groupBy(*series)
+        .agg(*[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in ranks])
     )
-    found = placed.groupBy(*series).agg(
-        *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in ranks]
-    )
-    sizes = df.groupBy(*series).agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"))
-    return sizes.join(found, list(series), "left")
+    return spans.select(*series, "n").join(found, series, "left")
 
 
 def in_chunks(

@@ -180,7 +180,7 @@ def mismatch_spans(
 def _day_spine(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every day between the first and last day of each key."""
     span = daily.groupBy(*keys).agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"))
-    days = F.explode(F.expr("sequence(_first, _last, INTERVAL 1 DAY)")).alias("ds")
+    days = F.explode(F.sequence(F.to_date("_first"), F.to_date("_last"))).alias("ds")
     return span.select(*keys, days).withColumn("ds", ntz(F.col("ds"))).where(F.col("ds").isNotNull())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
 from headroom.functions import calendar as C
-from headroom.functions.clock import hour_floor
+from headroom.functions.clock import HOUR, hour_floor
 from headroom.operators import enrichment as E
 from headroom.plans.catalog import sql as S
 from headroom.plans.catalog.common import (
@@ -36,7 +36,7 @@ def _with_event(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
 
 def time_grid(spark, sf_dir):
     span = table(spark, sf_dir, "events").agg(hour_floor(F.min("ts")).alias("first"), hour_floor(F.max("ts")).alias("last"))
-    return E.grid_between(span, "INTERVAL 15 MINUTES")
+    return E.grid_between(span, HOUR // 4)
 
 
 def season_index(spark, sf_dir):

@@ -45,7 +45,7 @@ def service_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = events.agg(
         hour_floor(F.min("ts")).alias("first"), hour_floor(F.max("ts")).alias("last")
     )
-    grid = enrichment.service_grid(enrichment.grid_between(span), list(EVENT_SERVICE.values()))
+    grid = enrichment.service_grid(enrichment.grid_between(span, HOUR), list(EVENT_SERVICE.values()))
     mean = F.col("_cents") / F.lit(100.0) / F.col("_events")
     return grid.join(hourly, ["ds", "service"], "left").select("ds", "service", F.coalesce(mean, F.lit(0.0)).alias("y"))
 

@@ -33,18 +33,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="headroom-checkpoint-"))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
-
-    Used where several passes read the same derived table, and between the rounds of
-    an iterative fit: the rows survive lost executors and are not computed again.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder of its own below the checkpoint folder, which every executor can reach."""
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below the checkpoint folder and go on from there.
+
+    Used where several passes read the same derived rows, for small tables whose size the
+    optimizer should know before it chooses a join, and between the rounds of an
+    iterative fit. The rows survive lost executors, are not computed again, and later
+    passes read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
