@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headroom.session import settle
+
 ROWS_PER_PART = 200_000
-_HELD_NUMBERS = 4_000_000  # sums a task keeps before it hands them on (32 MB)
+_ROWS_OUT = 256  # finished series a task hands on at a time
 
 
 def _key_fields(df: DataFrame, series: Sequence[str]) -> str:
@@ -24,15 +26,17 @@ def _key_fields(df: DataFrame, series: Sequence[str]) -> str:
 
 
 def _sum_products(series: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of products per series of rows that arrive sorted by series: one sum is open at a time."""
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        schema = None
+        done: list[tuple[tuple, np.ndarray]] = []
+        current, total, schema = None, None, None
 
-        def release():
-            columns = [pa.array([key[i] for key in held], schema.field(name).type) for i, name in enumerate(series)]
-            upper = np.triu_indices(next(iter(held.values())).shape[0])
-            products = pa.array([block[upper] for block in held.values()], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([*columns, products], names=[*series, "products"])
+        def release() -> pa.RecordBatch:
+            columns = [pa.array([key[i] for key, _ in done], schema.field(name).type) for i, name in enumerate(series)]
+            upper = np.triu_indices(done[0][1].shape[0])
+            values = pa.array([block[upper] for _, block in done], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*columns, values], names=[*series, "products"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -40,14 +44,21 @@ def _sum_products(series: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
             schema = batch.schema
             rows = np.asarray(batch.column("z").flatten()).reshape(batch.num_rows, -1)
             keys = pd.DataFrame({name: batch.column(name).to_pandas() for name in series})
-            for key, index in keys.groupby(series, sort=False, dropna=False).indices.items():
-                block = rows[index]
-                key = key if isinstance(key, tuple) else (key,)
-                held[key] = held.get(key, 0) + block.T @ block
-            if len(held) * rows.shape[1] ** 2 > _HELD_NUMBERS:
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(batch.column(name)[int(begin)].as_py() for name in series)
+                block = rows[begin:end].T @ rows[begin:end]
+                if key == current:
+                    total = total + block
+                    continue
+                if current is not None:
+                    done.append((current, total))
+                current, total = key, block
+            if len(done) >= _ROWS_OUT:
                 yield release()
-                held = {}
-        if held:
+                done = []
+        if current is not None:
+            done.append((current, total))
             yield release()
 
     return sums
@@ -66,20 +77,32 @@ def products(
 
     ``df`` should hold only the columns the design needs: rows are brought together by
     series, long series in parts by a hash of ``spread``, before the design is computed.
+    The sums of the parts of long series are added up number by number, so no task sees
+    more than partial sums of a series.
     """
     series = list(series)
-    sizes = df.groupBy(*series).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_parts"))
-    part = F.pmod(F.xxhash64(spread), F.col("_parts"))
-    placed = df.join(sizes, series).repartition(*[F.col(c) for c in series], part)
-    wide = placed.select(*series, F.array(*design, target.cast("double")).alias("z"))
-    partial = wide.mapInArrow(_sum_products(series), f"{_key_fields(df, series)}, products array<double>")
+    fields = f"{_key_fields(df, series)}, products array<double>"
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int")
+    sizes = settle(df.groupBy(*series).agg(parts.alias("_parts")))
+    keys = [F.col(c) for c in series]
+
+    def partial(part_of: DataFrame, *salt: Column) -> DataFrame:
+        placed = part_of.repartition(*keys, *salt).sortWithinPartitions(*series)
+        wide = placed.select(*series, F.array(*design, target.cast("double")).alias("z"))
+        return wide.mapInArrow(_sum_products(series), fields)
+
+    if sizes.where("_parts > 1").isEmpty():
+        return partial(df)
+    sized = df.join(sizes, series)
     summed = (
-        partial.select(*series, F.posexplode("products").alias("_at", "_value"))
+        partial(sized.where("_parts > 1"), F.pmod(F.xxhash64(spread), F.col("_parts")))
+        .select(*series, F.posexplode("products").alias("_at", "_value"))
         .groupBy(*series, "_at")
         .agg(F.sum("_value").alias("_value"))
+        .groupBy(*series)
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_value"))), lambda e: e["_value"]).alias("products"))
     )
-    ordered = F.sort_array(F.collect_list(F.struct("_at", "_value")))
-    return summed.groupBy(*series).agg(F.transform(ordered, lambda e: e["_value"]).alias("products"))
+    return partial(sized.where("_parts = 1")).unionByName(summed)
 
 
 def square(triangle: Sequence[float]) -> np.ndarray:

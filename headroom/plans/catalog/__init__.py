@@ -16,9 +16,17 @@ from headroom.plans.catalog import (
 TOPICS = [tables, calendar, features, evaluation, decisions, selection, reports, forecasting]
 
 
+def _merged(tables):
+    names = [name for table in tables for name in table]
+    twice = sorted({name for name in names if names.count(name) > 1})
+    if twice:
+        raise ValueError(f"registered twice: {twice}")
+    return {name: entry for table in tables for name, entry in table.items()}
+
+
 def queries():
-    return {name: query for topic in TOPICS for name, query in topic.QUERIES.items()}
+    return _merged([topic.QUERIES for topic in TOPICS])
 
 
 def oracle_sql():
-    return {name: sql for topic in TOPICS for name, sql in topic.ORACLE.items()}
+    return _merged([topic.ORACLE for topic in TOPICS])

@@ -47,7 +47,7 @@ def load_results(spark, sf_dir):
     return tables.load_results(spark, path, "ds timestamp_ntz, service string, y double", "csv")
 
 
-def load_metrics(spark, sf_dir):
+def load_model_metrics(spark, sf_dir):
     """Metric records of two models, written as JSON and read in the order asked for."""
     path = scratch_path(spark, "metrics")
     predictions = model_predictions(spark, sf_dir)
@@ -62,7 +62,7 @@ QUERIES = {
     "load_service_traffic": load_service_traffic,
     "load_predictions": load_predictions,
     "load_results": load_results,
-    "load_metrics": load_metrics,
+    "load_model_metrics": load_model_metrics,
 }
 
 ORACLE = {
@@ -71,7 +71,7 @@ ORACLE = {
     "load_predictions": f"""WITH {S.MODELS}
         SELECT ds, service, actual, predicted, actual_pods, predicted_pods, model FROM model_pods WHERE model IN ('blend', 'day')""",
     "load_results": f"WITH {S.TRAFFIC} SELECT ds, service, y FROM traffic",
-    "load_metrics": f"""WITH {S.MODELS}, measured AS (SELECT model, {S.CORE} FROM model_pods GROUP BY 1)
+    "load_model_metrics": f"""WITH {S.MODELS}, measured AS (SELECT model, {S.CORE} FROM model_pods GROUP BY 1)
         SELECT model, CASE model WHEN 'blend' THEN 0 ELSE 1 END AS ordinal, smape, pod_accuracy, under_provisioning_rate,
           over_provisioning_rate FROM measured WHERE model IN ('blend', 'day')""",
 }
