@@ -141,28 +141,18 @@ def share_pod_budget(
 def size_node_pools(df: DataFrame, policies: Policies = DEFAULT_SERVICE_POLICIES, ds: str = "ds") -> DataFrame:
     """Nodes each pool needs at each time, on every row of the pool.
 
-    The totals are aggregated before the shuffle and joined back by time, pool and node size.
+    One window over time and pool: its groups hold one row per service of the pool, so one
+    shuffle does what a grouping and a join back would.
     """
     schemas.require_columns(df, [ds, "service", "predicted_pods"], "prediction frame")
-    pool = [ds, "node_pool", "node_pod_capacity"]
-    rows = with_policy(df.select(ds, "service", F.col("predicted_pods").cast("int")), policies).select(
-        ds, "service", "predicted_pods", "node_pool", "node_pod_capacity"
-    )
-    totals = rows.groupBy(*pool).agg(F.sum("predicted_pods").alias("node_pool_predicted_pods"))
-    nodes = F.greatest(
-        F.ceil(F.col("node_pool_predicted_pods") / F.col("node_pod_capacity")).cast("int"), F.lit(1)
-    )
+    pool = Window.partitionBy(ds, "node_pool", "node_pod_capacity")
+    rows = with_policy(df.select(ds, "service", F.col("predicted_pods").cast("int")), policies)
+    nodes = F.ceil(F.col("node_pool_predicted_pods") / F.col("node_pod_capacity")).cast("int")
     return (
-        rows.join(totals, pool)
-        .withColumn("required_nodes", nodes)
-        .select(
-            ds,
-            "service",
-            "predicted_pods",
-            "node_pool",
-            "node_pod_capacity",
-            "node_pool_predicted_pods",
-            "required_nodes",
-            F.when(F.col("required_nodes") > 1, "node_pool_scale_out").otherwise("baseline_capacity").alias("reason"),
+        rows.select(ds, "service", "predicted_pods", "node_pool", "node_pod_capacity")
+        .withColumn("node_pool_predicted_pods", F.sum("predicted_pods").over(pool))
+        .withColumn("required_nodes", F.greatest(nodes, F.lit(1)))
+        .withColumn(
+            "reason", F.when(F.col("required_nodes") > 1, "node_pool_scale_out").otherwise("baseline_capacity")
         )
     )

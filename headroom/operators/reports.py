@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
 from headroom import schemas
-from headroom.functions.clock import DAY, HOUR, day_floor, ntz, order_value
+from headroom.functions.clock import DAY, HOUR, day_floor, ntz, order_value, plus_micros
 from headroom.operators import ordering
 from headroom.session import settle
 
@@ -140,10 +140,8 @@ def common_window(
     starts = peak_window_start(chosen, days, series=[*series, "model"], order=order, step=step, rows=rows).drop("model")
     if series:
         return window_slice(df, starts, days, keys=list(series), order=order)
-    keyed = window_slice(
-        df.withColumn("_all", F.lit(1)), starts.withColumn("_all", F.lit(1)), days, keys=["_all"], order=order
-    )
-    return keyed.drop("_all")
+    first = starts.select("start").scalar()
+    return df.where((F.col(order) >= first) & (F.col(order) < first + F.make_dt_interval(F.lit(days))))
 
 
 def mismatch_spans(
@@ -153,27 +151,21 @@ def mismatch_spans(
 
     A row lasts until the next one, the last row as long as the first, a lone row an hour.
     """
+    series = list(series)
     narrow = df.select(*series, order, "actual_pods", "predicted_pods")
     placed = ordering.with_position(narrow, series=series, order=order, step=step)
     ahead = ordering.with_lags(placed, {"_next": (order, -1)}, series=series)
-    width = F.when((F.col("rn") == 1) & F.col("_next").isNotNull(), F.col("_next") - F.col(order))
-    first = ahead.groupBy(*series).agg(F.max(width).alias("_first_width"))
-    hour = F.make_dt_interval(F.lit(0), F.lit(HOUR // (3600 * 1_000_000)))
-    end = F.coalesce(F.col("_next"), F.col(order) + F.coalesce("_first_width", hour))
-    kind = F.when(F.col("predicted_pods") < F.col("actual_pods"), "under").when(
-        F.col("predicted_pods") > F.col("actual_pods"), "over"
-    )
-    return (
-        ahead.where(F.col("predicted_pods") != F.col("actual_pods"))
-        .join(first, list(series))
-        .select(
-            *series,
-            F.col(order).alias("start"),
-            ntz(end).alias("end"),
-            "actual_pods",
-            "predicted_pods",
-            kind.alias("kind"),
-        )
+    differing = ahead.where(F.col("predicted_pods") != F.col("actual_pods"))
+    if step is None:
+        edge = ordering.cut_values(narrow, {"_d1": F.lit(1), "_d2": F.lit(2)}, series=series, order=order)
+        width = F.coalesce(F.col("_d2") - F.col("_d1"), F.lit(HOUR))
+        differing = differing.join(edge.select(*series, width.alias("_width")), series)
+    else:
+        differing = differing.withColumn("_width", F.lit(step).cast("bigint"))
+    end = F.coalesce(F.col("_next"), plus_micros(F.col(order), F.col("_width")))
+    kind = F.when(F.col("predicted_pods") < F.col("actual_pods"), "under").otherwise("over")
+    return differing.select(
+        *series, F.col(order).alias("start"), ntz(end).alias("end"), "actual_pods", "predicted_pods", kind.alias("kind")
     )
 
 
@@ -188,7 +180,8 @@ def daily_overview(df: DataFrame, models: Sequence[str] = tuple(fixed.MODEL_NAME
     """Daily means over all models, one row per day: actual rate and pods of the first model,
     then ``<model>`` and ``<model>_pods`` of each; days without rows are kept with nulls.
 
-    One aggregation with a condition per model, on partial sums; nothing is pivoted or joined wide.
+    One aggregation with a condition per model, on partial sums; nothing is pivoted or
+    joined wide. The daily rows are written before the empty days are put between them.
     """
     first = F.col("model") == models[0]
     columns = {"actual": F.avg(F.when(first, F.col("actual"))), "actual_pods": F.avg(F.when(first, F.col("actual_pods")))}
@@ -201,12 +194,14 @@ def daily_overview(df: DataFrame, models: Sequence[str] = tuple(fixed.MODEL_NAME
         .groupBy(day_floor(F.col(order)).alias("ds"))
         .agg(*[c.alias(name) for name, c in columns.items()])
     )
+    daily = settle(daily)
     return _day_spine(daily, []).join(daily, "ds", "left")
 
 
 def service_daily(df: DataFrame, values: Sequence[str] = ("actual", "predicted"), order: str = "ds") -> DataFrame:
     """Daily means per service; days without rows inside a service's span are kept with nulls."""
     daily = df.groupBy("service", day_floor(F.col(order)).alias("ds")).agg(*[F.avg(v).alias(v) for v in values])
+    daily = settle(daily)
     return _day_spine(daily, ["service"]).join(daily, ["service", "ds"], "left")
 
 

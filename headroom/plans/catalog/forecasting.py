@@ -51,12 +51,11 @@ def fourier(spark, sf_dir):
 
 def trend(spark, sf_dir):
     """The trend columns of every order over the span of all orders."""
-    df = order_days(spark, sf_dir).withColumn("_all", F.lit(1))
-    span = df.groupBy("_all").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    placed = df.join(span, "_all")
-    t = F.datediff("ds", "first") / F.datediff("last", "first")
+    df = order_days(spark, sf_dir)
+    first, last = (df.agg(edge("ds")).scalar() for edge in (F.min, F.max))
+    t = F.datediff("ds", first) / F.datediff(last, first)
     columns = additive.trend_columns(t, F.lit(0.8))
-    return rounded(placed.select("o_orderkey", *[c.alias(n) for n, c in columns.items()]), columns, 6)
+    return rounded(df.select("o_orderkey", *[c.alias(n) for n, c in columns.items()]), columns, 6)
 
 
 def fit_additive(spark, sf_dir):
