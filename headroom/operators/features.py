@@ -13,6 +13,7 @@ from headroom import fixed_values as fixed
 from headroom import schemas
 from headroom.functions.clock import order_value
 from headroom.operators import ordering
+from headroom.session import settle
 
 
 # --- cyclic and recipe features -------------------------------------------------
@@ -162,9 +163,7 @@ def with_fold(
         ranks["_to"] = F.least(train_rows + F.lit(holdout_head), size)
     cuts = ordering.cut_values(df, ranks, series=series, order=order, step=step, rows=rows)
     empty = F.raise_error(F.lit("holdout split produced an empty train or holdout set")).cast("bigint")
-    cuts = cuts.select(
-        *series, *[F.coalesce(F.col(cut), empty).alias(cut) for cut in ranks]
-    )
+    cuts = settle(cuts.select(*series, *[F.coalesce(F.col(cut), empty).alias(cut) for cut in ranks]))
     value = order_value(df, order)
     label = F.when(value >= F.col("_holdout_at"), "holdout")
     if validation_ratio is not None:
@@ -184,9 +183,11 @@ def scaling_params(df: DataFrame, columns: Sequence[str], *, series: Sequence[st
     """Mean and population deviation of each column per series, over training rows; deviation 0 counts as 1."""
     rows = df if fold is None else df.where(F.col(fold) == "train")
     spread = {c: F.stddev_pop(c) for c in columns}
-    return rows.groupBy(*series).agg(
-        F.array(*[F.avg(c) for c in columns]).alias("means"),
-        F.array(*[F.when(s == 0, F.lit(1.0)).otherwise(s) for s in spread.values()]).alias("stds"),
+    return settle(
+        rows.groupBy(*series).agg(
+            F.array(*[F.avg(c) for c in columns]).alias("means"),
+            F.array(*[F.when(s == 0, F.lit(1.0)).otherwise(s) for s in spread.values()]).alias("stds"),
+        )
     )
 
 

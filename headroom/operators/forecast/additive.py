@@ -163,21 +163,24 @@ def fit_additive(
         F.max(F.abs("_y")).alias("scale"),
         F.count(F.lit(1)).cast("double").alias("rows"),
     )
-    spans = spans.withColumns(
-        {c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c)) for c in ("span_days", "scale")}
+    spans = settle(
+        spans.withColumns(
+            {c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c)) for c in ("span_days", "scale")}
+        )
     )
     rows = _with_trials(narrow, trials).join(spans, list(series))
     trend, season = _columns(design)
     scaled = F.col("_y") / F.col("scale")
     sums = gram.products(rows, [*trend, *season], scaled, series=keys, spread=order)
     kept = [*keys, "first_day", "span_days", "scale", "rows"]
-    models = gram.solve(sums.join(spans, list(series)), _solver(trials, design, "all"), ["trend", "season"], keep=kept)
+    straight = settle(
+        gram.solve(sums.join(spans, list(series)), _solver(trials, design, "all"), ["trend", "season"], keep=kept)
+    )
     curved = [trial for trial, params in trials.items() if params.seasonality_mode == "multiplicative"]
     if not curved:
-        return models
+        return straight
 
     # y = trend * (1 + season) is linear in either part given the other: each is fitted in turn.
-    straight = settle(models)
     current = straight.where(F.col("trial").isin(curved))
     bent_rows = rows.where(F.col("trial").isin(curved))
     for part in ["season", "trend"] * passes:

@@ -52,8 +52,8 @@ def prepare(
         *series, order, fold, *[F.col(c).cast("double").alias(c) for c in COLUMNS]
     )
     placed = settle(ordering.with_position(featured, series=series, order=order, step=step))
-    params = settle(features.scaling_params(placed.withColumnRenamed(fold, "fold"), COLUMNS, series=series))
-    known = placed.groupBy(*series).agg(F.count_if(F.col(fold) == "train").cast("bigint").alias("start"))
+    params = features.scaling_params(placed.withColumnRenamed(fold, "fold"), COLUMNS, series=series)
+    known = settle(placed.groupBy(*series).agg(F.count_if(F.col(fold) == "train").cast("bigint").alias("start")))
     scaled = features.scale(placed.join(known, series), params, COLUMNS, series=series)
     return scaled.select(*series, order, "rn", "start", *COLUMNS), params
 

@@ -100,8 +100,10 @@ def fit_seasonal_ar(
     )
     own = [F.col(f"_u_{k}") for k in long]
     full = known & (F.col("rn") > reach + max(long))
-    second = _regress(
-        shifted.where(full).select(*series, "rn", "_u", *own), own, F.col("_u"), _least_squares("_long"), ["_long"], series
+    second = settle(
+        _regress(
+            shifted.where(full).select(*series, "rn", "_u", *own), own, F.col("_u"), _least_squares("_long"), ["_long"], series
+        )
     )
     shocked = shifted.join(second, series).withColumn("_e", F.when(full, F.col("_u") - _dot(own, "_long")))
     ready = settle(shocked.select(*series, order_by, "rn", "fold", "_y", "_u", "_e", "_x"))
@@ -154,7 +156,7 @@ def forecast_seasonal_ar(
 ) -> DataFrame:
     """Forecast of all rows after the training rows: future shocks are 0, regressors are known."""
     series = list(series)
-    starts = ready.groupBy(*series).agg(F.count_if(F.col("fold") == "train").alias("start"))
+    starts = settle(ready.groupBy(*series).agg(F.count_if(F.col("fold") == "train").alias("start")))
     rows = ready.join(starts, series).select(
         *series, order_by, "rn", "start", "_y", F.coalesce("_u", F.lit(0.0)).alias("_u"), F.coalesce("_e", F.lit(0.0)).alias("_e"), "_x"
     )

@@ -67,7 +67,7 @@ def peak_window_start(
     )
     placed = settle(ordering.running_total(placed, F.col("_value"), "_total", series=series, rows=rows))
     if step is None:
-        steps = _median_step(placed.select(*series, "rn", "_at"), series, rows)
+        steps = settle(_median_step(placed.select(*series, "rn", "_at"), series, rows))
         sized = placed.join(steps, list(series), "left")
     else:
         sized = placed.withColumn("_median", F.lit(float(step)))
@@ -96,7 +96,7 @@ def peak_window_start(
 
 def window_slice(df: DataFrame, starts: DataFrame, days: int, *, keys: Sequence[str], order: str = "ds") -> DataFrame:
     """Rows in ``[start, start + days)`` of their key; ``starts`` has one row per key."""
-    joined = df.join(starts.select(*keys, "start"), list(keys))
+    joined = df.join(settle(starts.select(*keys, "start")), list(keys))
     inside = (F.col(order) >= F.col("start")) & (
         F.col(order) < F.col("start") + F.make_dt_interval(F.lit(days))
     )
@@ -159,7 +159,7 @@ def mismatch_spans(
     if step is None:
         edge = ordering.cut_values(narrow, {"_d1": F.lit(1), "_d2": F.lit(2)}, series=series, order=order)
         width = F.coalesce(F.col("_d2") - F.col("_d1"), F.lit(HOUR))
-        differing = differing.join(edge.select(*series, width.alias("_width")), series)
+        differing = differing.join(settle(edge.select(*series, width.alias("_width"))), series)
     else:
         differing = differing.withColumn("_width", F.lit(step).cast("bigint"))
     end = F.coalesce(F.col("_next"), plus_micros(F.col(order), F.col("_width")))
