@@ -25,14 +25,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "hea
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a session without one (tests) gets a folder of its own."""
+    """Use the folder the cluster names; only a one-machine session without one (tests) gets its own.
+
+    A cluster that names no folder is an error: a folder of one machine would hold a part of
+    the rows of every written table.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not _one_machine(context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="headroom-checkpoint-"))
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder of its own below the checkpoint folder, which every executor can reach."""
     ensure_checkpoint_dir(spark)
@@ -40,6 +50,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use: the written rows replace them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and go on from there.
 
@@ -48,6 +62,11 @@ def settle(df: DataFrame) -> DataFrame:
     iterative fit. The rows survive lost executors, are not computed again, and later
     passes read only the columns they need.
     """
-    path = scratch_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, "settled"), spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
