@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, quality_rules, simhash
-from headroom.llm.common import table
+from headroom.llm import decontaminate, language, quality_classifier, quality_rules, simhash
+from headroom.llm.common import is_held_out, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.with_score(docs.select("doc_id", "text"), weights)
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        is_held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), is_held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -34,7 +54,9 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_decontamination": op3_decontamination,
+    "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
