@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language, quality_classifier, quality_rules, simhash
+from headroom.llm import decontaminate, language, packing, quality_classifier, quality_rules, simhash
 from headroom.llm.common import is_held_out, table
 
 
@@ -33,6 +33,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary file; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), packing.vocabulary_text(vocabulary_path()))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.with_language(docs.select("doc_id", "text"), language.fit(docs))
@@ -56,6 +67,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_decontamination": op3_decontamination,
+    "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
