@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language, packing, quality_classifier, quality_rules, simhash
+from headroom.llm import decontaminate, language, packing, quality_classifier, quality_rules, repeated_passages, simhash
 from headroom.llm.common import is_held_out, table
 
 
@@ -33,6 +33,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def vocabulary_path() -> str:
     """The public vocabulary file; it stays where it is installed."""
     import public_tokenizers
@@ -67,6 +71,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
@@ -99,7 +104,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL}
+#: A window per place, with the first place of its like; words under later ones go.
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i, unnest(generate_series(0, 19)) AS k FROM later)
+), words AS (
+  SELECT doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS j FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+), counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL}
 
 
 def queries():

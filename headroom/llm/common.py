@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headroom.session import settle
+
 #: Words of the contracts: runs of anything but blank, tab, line feed and their like.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -46,22 +48,87 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Rec
         yield batch.slice(begin)
 
 
-def document_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and ``tie``, which tells apart texts that share an id.
-
-    Rows of equal id and text are one document. Among different texts of one id, ``tie`` is the
-    rank of the text's hash, 0 for nearly all. A null id counts as smaller than any other.
-    """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return keyed
-
+NO_ID = -(2**63)  # stands for a null id, before all others
+PLACE_BITS = 36  # of a place inside a document; the tie of its document stands above
 
-def pack(text: bytes, codec=zstandard.ZstdCompressor(level=1)) -> bytes:
-    return codec.compress(text)
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc, tie, doc_id, text``: a key for every different document, null texts as empty ones.
 
-def unpack(blob: bytes, codec=zstandard.ZstdDecompressor()) -> bytes:
-    return codec.decompress(blob)
-
-
-DIGITS = re.compile("[0-9]")
+    Rows of equal id and text are one document. Different texts of one id are told apart by
+    ``tie``, the rank of the text's hash, 0 for nearly all; ids are whole numbers, and a
+    null id comes before all others. Only ids with several texts are ranked and joined.
+    """
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("hash", F.xxhash64("text"))
+    hashes = rows.select("doc", "hash")
+    several = hashes.groupBy("doc").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least != most")
+    several = settle(several.select("doc"))
+    if several.isEmpty():  # the usual case: no join
+        return rows.select("doc", F.lit(0).cast("long").alias("tie"), "doc_id", "text")
+    ranked = hashes.join(several, "doc", "left_semi").distinct()
+    order = Window.partitionBy("doc").orderBy("hash")
+    ties = settle(ranked.select("doc", "hash", (F.row_number().over(order) - 1).cast("long").alias("tie")))
+    return rows.join(ties, ["doc", "hash"], "left").select("doc", F.coalesce("tie", F.lit(0)).alias("tie"), "doc_id", "text")
+
+
+def _mapped_text(function, from_name: str, to_name: str, kind: str):
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batches_of(batch, from_name, 1 << 24):
+                at = part.schema.get_field_index(from_name)
+                values = pa.array([function(v) for v in part.column(at).to_pylist()], pa.binary() if kind == "binary" else pa.string())
+                columns = [*part.columns[:at], values, *part.columns[at + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, [to_name if i == at else n for i, n in enumerate(part.schema.names)])
+
+    return convert
+
+
+def with_packed_text(docs: DataFrame) -> DataFrame:
+    """``text`` as ``packed``, a third of its size, for a shuffle of whole documents."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "text" else "packed binary" for f in docs.schema)
+    return docs.mapInArrow(_mapped_text(lambda t: pack(t.encode()), "text", "packed", "binary"), fields)
+
+
+def pack(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text)
+
+
+def unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of the value."""
+    x = values.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def rolled(values: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Polynomial hashes, modulo 2^64, of every run of ``size`` values; put together from runs of powers of two."""
+    found, have, run, width = None, 0, values.astype(np.uint64), 1
+    while width <= size:
+        if size & width:
+            if found is None:
+                found = run
+            else:  # the run of ``width`` values comes after the ``have`` values found so far
+                n = min(len(found), len(run) - have)
+                found = found[: max(n, 0)] * np.uint64(pow(base, width, 1 << 64)) + run[have : have + max(n, 0)]
+            have += width
+        if len(run) > width:
+            run = run[:-width] * np.uint64(pow(base, width, 1 << 64)) + run[width:]
+        else:
+            run = run[:0]
+        width *= 2
+    return found[: max(0, len(values) - size + 1)]
+
+
+def covered(begins: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the spans."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, begins, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
