@@ -91,6 +91,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _settled_in_batch(anchors, around, docs, places) -> tuple:
     """What a batch knows by itself, so that frequent passages send few rows."""
     order = np.lexsort((places, docs, around, anchors))
+    order = order[_first_of_runs(anchors[order], around[order], docs[order], places[order])]  # a row given twice
     anchors, around, docs, places = anchors[order], around[order], docs[order], places[order]
     new_anchor = _first_of_runs(anchors)
     new_class = new_anchor | _first_of_runs(around)
@@ -99,12 +100,12 @@ def _settled_in_batch(anchors, around, docs, places) -> tuple:
     hot = classes[number] >= HOT
     state = np.where(~new_class, REPEAT, np.where(hot, COMPARE, OPEN))
     known = state != OPEN
-    # decided rows travel on their own; an anchor hot here leaves two classes for other batches to meet
+    # decided rows travel on their own; an anchor hot here leaves two rows of different classes for other batches to meet
     keys = np.where(known, mixed(docs.astype(np.uint64) * np.uint64(_BASE) + places.astype(np.uint64)), anchors)
     stand_in = np.flatnonzero(hot & new_anchor)
     return (
         np.concatenate([keys, anchors[stand_in], anchors[stand_in]]),
-        np.concatenate([around, around[stand_in], np.zeros(len(stand_in), np.uint64)]),
+        np.concatenate([around, around[stand_in], ~keys[stand_in]]),
         np.concatenate([docs, docs[stand_in], docs[stand_in]]),
         np.concatenate([places * 4 + state, places[stand_in] * 4, places[stand_in] * 4]),
     )
@@ -118,10 +119,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     anchor = around = waiting = None
     classes = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, c, docs, places = (batch.column(name).to_numpy() for name in _ANCHOR_ROW)
+    for a, c, docs, places in _different_rows(batches):
         state = places & 3
         decided = state != OPEN
         out = [(docs[decided], places[decided])]
@@ -153,6 +151,20 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places)], ["doc", "place"])
 
 
+def _different_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sorted rows as arrays, each row once: a document that is given twice is one document."""
+    before = None
+    for batch in batches:
+        rows = [batch.column(name).to_numpy() for name in _ANCHOR_ROW]
+        if not batch.num_rows:
+            continue
+        own = _first_of_runs(*rows)
+        if before is not None and tuple(x[0] for x in rows) == before:
+            own[0] = False
+        before = tuple(x[-1] for x in rows)
+        yield tuple(x[own] for x in rows)
+
+
 def _per_document(found: DataFrame) -> DataFrame:
     """``doc, tie, places`` of rows ``doc, place``; ``places`` without the tie."""
     tie = F.shiftright("place", PLACE_BITS + 2)
@@ -183,6 +195,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if found:
                 one, two, docs, places = (np.concatenate(c) for c in zip(*found))
                 order = np.lexsort((places, docs, two, one))
+                order = order[_first_of_runs(one[order], docs[order], places[order])]
                 one, two, docs, places = one[order], two[order], docs[order], places[order]
                 later = ~_first_of_runs(one, two)
                 one[later] = mixed(docs[later].astype(np.uint64) + places[later].astype(np.uint64))
@@ -195,10 +208,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc, place`` of all windows but the first of each kind."""
     before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two, docs, places = (batch.column(name).to_numpy() for name in _ANCHOR_ROW)
+    for one, two, docs, places in _different_rows(batches):
         decided = places & 3 == REPEAT
         first = _first_of_runs(one[~decided], two[~decided])
         if before is not None and len(first):
