@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language, packing, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash
+from headroom.llm import decontaminate, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash
 from headroom.llm.common import is_held_out, table
 
 
@@ -60,6 +60,20 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.without_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.with_spans(table(spark, sf_dir, "documents"), "doc_id")
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(personal_data.KINDS)
+    ]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *counts,
+        F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -79,6 +93,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
 }
