@@ -12,12 +12,9 @@ from headroom import schemas
 from headroom.operators.sizing import DEFAULT_SERVICE_POLICIES, Policies, with_policy
 
 
-def _priority_scale(policies: Policies, budget: int) -> int:
+def _priority_scale(policies: Policies) -> int:
     """A whole number every priority divides, so that shares are compared exactly."""
-    scale = math.lcm(*[policy.priority for policy in policies.values()])
-    if scale * budget >= 2**40:
-        raise ValueError("priorities and budget are too large for exact shares")
-    return scale
+    return math.lcm(*[policy.priority for policy in policies.values()])
 
 
 def _fill_evenly(df: DataFrame, key: str, deficit: Column, supply: Column, turn: list[Column], name: str) -> DataFrame:
@@ -78,7 +75,7 @@ def share_pod_budget(
     if pod_budget <= 0:
         raise ValueError("pod_budget must be greater than 0")
     schemas.require_columns(df, [ds, "service", "predicted_pods"], "prediction frame")
-    scale = _priority_scale(policies, pod_budget)
+    scale = _priority_scale(policies)
     at = Window.partitionBy(ds)
     rows = with_policy(df.select(ds, "service", F.col("predicted_pods").cast("int")), policies)
     twice = F.lag("service").over(at.orderBy("service")) == F.col("service")
@@ -91,7 +88,9 @@ def share_pod_budget(
         F.when(twice, repeated.cast("bigint")).otherwise(F.col("predicted_pods")).cast("bigint").alias("_want"),
         F.col("min_pods").cast("bigint").alias("_min"),
     ).withColumn("_extra", F.greatest(F.col("_want") - F.col("_min"), F.lit(0)))
-    totals = demand.withColumn("_weight", F.col("_extra") * F.expr(f"{scale} div priority")).withColumns(
+    # shares as whole numbers of 38 digits; more than that stops with an overflow, nothing is rounded
+    units = F.expr(f"CAST(CAST({scale} AS DECIMAL(38, 0)) / priority AS DECIMAL(27, 0))")
+    totals = demand.withColumn("_weight", F.col("_extra").cast("decimal(10, 0)") * units).withColumns(
         {
             "_wanted": F.sum("_want").over(at),
             "_least": F.sum("_min").over(at),
@@ -105,20 +104,21 @@ def share_pod_budget(
         .otherwise("priority_rebalanced")
     )
     shared = F.col("reason") == "priority_rebalanced"
-    part = F.expr(f"({pod_budget}L - _least) * _weight")
+    part = F.expr(f"CAST(CAST({pod_budget} - _least AS DECIMAL(38, 0)) * _weight AS DECIMAL(38, 0))")
     granted = (
         totals.withColumn("reason", reason)
         .withColumns(
             {
-                "_whole": F.when(
-                    shared, F.least((part - F.pmod(part, F.col("_weights"))) / F.col("_weights"), F.col("_extra"))
-                )
-                .otherwise(0)
-                .cast("bigint"),
-                "_fraction": F.when(shared, F.pmod(part, F.col("_weights"))).otherwise(0),
+                "_part": F.when(shared, part),
                 "_urge": F.when(shared, F.col("_extra")).otherwise(0),
             }
         )
+        .withColumns(
+            {
+                "_whole": F.when(shared, F.least(F.expr("_part div _weights"), F.col("_extra"))).otherwise(0).cast("bigint"),
+                "_fraction": F.when(shared, F.pmod("_part", "_weights")).otherwise(0),
+            }
+        )
         .withColumn("_granted", F.sum("_whole").over(at))
         .withColumn("_start", F.when(shared, F.col("_min") + F.col("_whole")).otherwise(0))
     )

@@ -227,7 +227,7 @@ def sequences(
         raise ValueError("sequence length must be greater than 0")
     placed = ordering.with_position(df.select(*series, order, *columns), series=series, order=order, step=step, rows=rows)
     enough = F.when(
-        F.col("n") <= length, F.raise_error(F.lit("not enough rows to build sequence dataset")).cast("bigint")
+        F.col("n") <= length, F.raise_error(F.lit("a series needs more rows than a sequence")).cast("bigint")
     ).otherwise(F.col("rn"))
     values = F.array(*[F.col(c).cast("double") for c in columns])
     built = ordering.in_chunks(

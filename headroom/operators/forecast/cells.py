@@ -163,13 +163,62 @@ def gradient(cell: str, weights: dict[str, np.ndarray], x: np.ndarray, y: np.nda
     return float(error @ error), np.concatenate([out[name].ravel() for name in weights])
 
 
-def dropout_masks(params: RecurrentParams, sequences: int, rng: np.random.Generator):
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Numbers whose every bit depends on every bit of the value (splitmix64)."""
+    x = values + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn(rows: np.ndarray, seed: int, epoch: int) -> np.ndarray:
+    """A random number per sequence and epoch that depends on nothing else, wherever it is computed."""
+    own = np.array([(seed * 1_000_003 + epoch) & (2**64 - 1)], np.uint64)
+    return _mixed(_mixed(own) ^ rows.astype(np.uint64))
+
+
+def batch_count(sequences: int, params: RecurrentParams) -> int:
+    return -(-sequences // params.batch_size) if params.batch_size else 1
+
+
+def batch_of(rows: np.ndarray, sequences: int, params: RecurrentParams, seed: int, epoch: int) -> np.ndarray:
+    """Batch of each sequence (named by the row it predicts) in the shuffled epoch.
+
+    An epoch has one batch per ``batch_size`` sequences; each sequence falls into one by chance.
+    """
+    return _drawn(rows, seed, epoch) % np.uint64(batch_count(sequences, params))
+
+
+def dropout_masks(params: RecurrentParams, rows: np.ndarray, seed: int, epoch: int):
     """Masks between layers; a single layer has none."""
     if params.num_layers == 1 or params.dropout == 0:
         return None
     keep = 1 - params.dropout
-    shape = (sequences, params.sequence_length, params.hidden_size)
-    return [(rng.random(shape) < keep) / keep for _ in range(params.num_layers - 1)]
+    shape = (len(rows), params.sequence_length, params.hidden_size)
+    places = np.arange(shape[1] * shape[2], dtype=np.uint64)
+    masks = []
+    for layer in range(1, params.num_layers):
+        own = _mixed(_drawn(rows, seed, epoch) + np.uint64(layer))[:, None]
+        chance = (_mixed(own ^ places) >> np.uint64(11)).astype(float) * 2.0**-53
+        masks.append((chance < keep).reshape(shape) / keep)
+    return masks
+
+
+ROWS_COPIED = 4_096  # sequences of a batch copied out of the series at a time
+BLOCK_NUMBERS = 1_000_000  # sequences x steps x width x layers looked at together
+
+
+def summed_gradient(
+    cell: str, values: np.ndarray, x: np.ndarray, y: np.ndarray, rows: np.ndarray, params: RecurrentParams, seed: int, epoch: int
+) -> np.ndarray:
+    """Gradient summed over the sequences, some at a time, so that memory does not grow with them."""
+    weights = unpack(values, layout(cell, x.shape[2], params))
+    block = max(1, BLOCK_NUMBERS // (params.sequence_length * params.hidden_size * params.num_layers))
+    total = np.zeros(len(values))
+    for at in range(0, len(y), block):
+        some = slice(at, at + block)
+        total += gradient(cell, weights, x[some], y[some], dropout_masks(params, rows[some], seed, epoch))[1]
+    return total
 
 
 def adam_step(values, slope, first, second, step: int, params: RecurrentParams):
@@ -186,7 +235,7 @@ def adam_step(values, slope, first, second, step: int, params: RecurrentParams):
 def windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """All sequences of ``length`` rows (views, nothing is copied) and the first column of the row after each."""
     if len(values) <= length:
-        raise ValueError("not enough rows to build sequence dataset")
+        raise ValueError("a series needs more rows than a sequence")
     view = np.lib.stride_tricks.sliding_window_view(values[:-1], length, axis=0)
     return view.transpose(0, 2, 1), values[length:, 0]
 
@@ -194,17 +243,20 @@ def windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def train(cell: str, values: np.ndarray, params: RecurrentParams, seed: int) -> np.ndarray:
     """Weights after all epochs of shuffled mini-batches over one series."""
     x, y = windows(values, params.sequence_length)
-    shapes = layout(cell, values.shape[1], params)
-    rng = np.random.default_rng(seed)
+    rows = np.arange(params.sequence_length + 1, len(values) + 1)
     weights = start_weights(cell, values.shape[1], params, seed)
     first = second = np.zeros_like(weights)
-    size, step = params.batch_size or len(y), 0
-    for _ in range(params.epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), size):
-            batch = order[at : at + size]
-            masks = dropout_masks(params, len(batch), rng)
-            _, slope = gradient(cell, unpack(weights, shapes), x[batch], y[batch], masks)
+    step = 0
+    for epoch in range(params.epochs):
+        batches = batch_of(rows, len(y), params, seed, epoch)
+        for batch in range(batch_count(len(y), params)):
+            chosen = np.flatnonzero(batches == batch)
+            if not len(chosen):
+                continue
             step += 1
-            weights, first, second = adam_step(weights, slope / len(batch), first, second, step, params)
+            slope = np.zeros_like(weights)
+            for at in range(0, len(chosen), ROWS_COPIED):
+                some = chosen[at : at + ROWS_COPIED]
+                slope += summed_gradient(cell, weights, x[some], y[some], rows[some], params, seed, epoch)
+            weights, first, second = adam_step(weights, slope / len(chosen), first, second, step, params)
     return weights

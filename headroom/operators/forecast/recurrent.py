@@ -3,7 +3,8 @@
 Series that fit a task are trained there, all series and trials side by side. Longer
 series are trained with their rows spread over tasks: each step is a job in which every
 chunk adds up the gradient of its own sequences, exact because the loss is a sum over
-sequences; its mini-batches are equal shares of a shuffled epoch.
+sequences. Batches, dropout and first weights are drawn by hash from seed, epoch and row, so training
+takes the same steps either way; only the place where a gradient is summed differs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
@@ -104,7 +105,7 @@ def fit_recurrent(
     A trial that cannot be trained gives a row with ``state`` FAIL and its ``error``.
     """
     if cell not in cells.GATES:
-        raise ValueError(f"Unsupported sequence model: {cell}")
+        raise ValueError(f"no such recurrent cell: {cell}")
     trials, series = as_trials(trials), list(series)
     known = rows.where(F.col("rn") <= F.col("start")).select(*series, "rn", "start", *COLUMNS)
     longest = known.agg(F.max("start")).first()[0] or 0
@@ -125,6 +126,9 @@ def fit_recurrent(
     return models
 
 
+_STATE = "weights array<double>, first array<double>, second array<double>, step int, sequences bigint"
+
+
 def fit_long_series(
     rows: DataFrame,
     cell: str,
@@ -134,13 +138,13 @@ def fit_long_series(
     trial: int = 0,
     seed: int = 42,
     rows_per_task: int = ROWS_PER_MODEL,
-    steps_per_epoch: int = 4,
 ) -> DataFrame:
-    """Train on series longer than a task should hold; with batch size 0 exactly the full-batch training."""
+    """Train on series longer than a task should hold, in the steps ``cells.train`` takes.
+
+    A model whose numbers are no longer finite, or whose series has no whole sequence, is a failed trial.
+    """
     series = list(series)
     length, inputs = params.sequence_length, len(COLUMNS)
-    shapes = cells.layout(cell, inputs, params)
-    steps = 1 if params.batch_size == 0 else steps_per_epoch
     chunked = settle(
         ordering.haloed(rows.select(*series, "rn", *COLUMNS), before=length, rows=rows_per_task).repartition(
             *[F.col(c) for c in series], F.col("_chunk")
@@ -150,69 +154,62 @@ def fit_long_series(
     chunks = settle(chunked.where("_chunk = _own").select(*keys).distinct())
     key_fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in series)
 
-    def slopes(epoch: int, step: int):
+    def begun(frames):
+        for frame in frames:
+            own = [cells.start_weights(cell, inputs, params, _seed(seed, trial, key)) for key in frame[series].itertuples(index=False)]
+            out = frame[series].copy()
+            out["weights"] = [w.tolist() for w in own]
+            out["first"] = out["second"] = [[0.0] * len(w) for w in own]
+            out["step"], out["sequences"] = 0, frame["sequences"]
+            yield out
+
+    def slopes(epoch: int, batch: int):
         def of_chunk(part: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-            names = [*series, "slope", "sequences"]
+            names = [*series, "slope", "seen"]
             if state.empty or len(part) <= length:
                 return pd.DataFrame(columns=names)
             part = part.sort_values("rn")
+            key = [part[name].iloc[0] for name in series]
+            own, places = _seed(seed, trial, key), part["rn"].to_numpy()[length:]
             x, y = cells.windows(part[COLUMNS].to_numpy(dtype=float), length)
-            rng = np.random.default_rng([seed, trial, epoch, int(part["_chunk"].iloc[0])])
-            chosen = np.flatnonzero(rng.permutation(len(y)) % steps == step)
+            chosen = np.flatnonzero(cells.batch_of(places, int(state["sequences"].iloc[0]), params, own, epoch) == batch)
             if not len(chosen):
                 return pd.DataFrame(columns=names)
-            weights = cells.unpack(np.asarray(state["weights"].iloc[0]), shapes)
-            total = 0.0
-            for at in range(0, len(chosen), 4096):  # memory of the backward pass stays bounded
-                some = chosen[at : at + 4096]
-                masks = cells.dropout_masks(params, len(some), rng)
-                total = total + cells.gradient(cell, weights, x[some], y[some], masks)[1]
-            row = {name: part[name].iloc[0] for name in series}
-            return pd.DataFrame([row | {"slope": total.tolist(), "sequences": len(chosen)}])
+            weights, total = np.asarray(state["weights"].iloc[0], dtype=float), 0.0
+            for at in range(0, len(chosen), cells.ROWS_COPIED):
+                some = chosen[at : at + cells.ROWS_COPIED]
+                total = total + cells.summed_gradient(cell, weights, x[some], y[some], places[some], params, own, epoch)
+            return pd.DataFrame([dict(zip(series, key)) | {"slope": total.tolist(), "seen": len(chosen)}])
 
         return of_chunk
 
-    def updated(number: int):
-        def apply(frames):
-            for frame in frames:
-                for column in ("weights", "first", "second"):
-                    frame[column] = [np.asarray(v, dtype=float) for v in frame[column]]
-                new = [
-                    cells.adam_step(w, np.asarray(s, dtype=float) / n, f, g, number, params)
-                    for w, s, n, f, g in zip(frame["weights"], frame["slope"], frame["sequences"], frame["first"], frame["second"])
-                ]
-                out = frame[series].copy()
-                for column, at in (("weights", 0), ("first", 1), ("second", 2)):
-                    out[column] = [values[at].tolist() for values in new]
-                yield out
-
-        return apply
-
-    state_fields = f"{key_fields}, weights array<double>, first array<double>, second array<double>"
-    begin = cells.start_weights(cell, inputs, params, seed + trial)
-    nothing = [0.0] * len(begin)
-    state = settle(
-        chunks.select(*series)
-        .distinct()
-        .select(
-            *series,
-            _literal(begin).alias("weights"),
-            _literal(nothing).alias("first"),
-            _literal(nothing).alias("second"),
-        )
-    )
-    number = 0
+    def updated(frames):
+        for frame in frames:
+            rows_out = []
+            for row in frame.to_dict("records"):
+                if row["seen"] == row["seen"] and row["seen"]:  # a batch without sequences is no step
+                    old = [np.asarray(row[c], dtype=float) for c in ("weights", "first", "second")]
+                    row["step"] += 1
+                    slope = np.asarray(row["slope"], dtype=float) / row["seen"]
+                    new = cells.adam_step(old[0], slope, old[1], old[2], row["step"], params)
+                    row |= {c: v.tolist() for c, v in zip(("weights", "first", "second"), new)}
+                rows_out.append({c: row[c] for c in [*series, "weights", "first", "second", "step", "sequences"]})
+            yield pd.DataFrame(rows_out, columns=[*series, "weights", "first", "second", "step", "sequences"])
+
+    sizes = rows.groupBy(*series).agg(F.greatest(F.count(F.lit(1)) - length, F.lit(0)).alias("sequences"))
+    state = settle(sizes.mapInPandas(begun, f"{key_fields}, {_STATE}"))
+    most = state.agg(F.max("sequences")).first()[0] or 0
     for epoch in range(params.epochs):
-        for step in range(steps):
-            number += 1
-            per_chunk = chunks.join(state.select(*series, "weights"), series)
-            per_chunk = per_chunk.select(*[F.col(c).alias(f"{c}_") for c in keys], "weights")
+        for batch in range(cells.batch_count(most, params) if most else 0):
+            per_chunk = chunks.join(state.select(*series, "weights", "sequences"), series)
+            per_chunk = per_chunk.select(*[F.col(c).alias(f"{c}_") for c in keys], "weights", "sequences")
             partial = (
                 chunked.groupBy(*keys)
                 .cogroup(per_chunk.groupBy(*[f"{c}_" for c in keys]))
-                .applyInPandas(slopes(epoch, step), f"{key_fields}, slope array<double>, sequences bigint")
+                .applyInPandas(slopes(epoch, batch), f"{key_fields}, slope array<double>, seen bigint")
             )
-            counts = partial.groupBy(*series).agg(F.sum("sequences").alias("sequences"))
+            partial = settle(partial)
+            counts = partial.groupBy(*series).agg(F.sum("seen").alias("seen"))
             summed = (
                 partial.select(*series, F.posexplode("slope").alias("_at", "_value"))
                 .groupBy(*series, "_at")
@@ -220,23 +217,20 @@ def fit_long_series(
                 .groupBy(*series)
                 .agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_value"))), lambda e: e["_value"]).alias("slope"))
             )
-            state = settle(
-                state.join(summed, series).join(counts, series).mapInPandas(updated(number), state_fields)
-            )
+            joined = state.join(summed, series, "left").join(counts, series, "left")
+            state = settle(joined.mapInPandas(updated, f"{key_fields}, {_STATE}"))
+    short = F.col("sequences") == 0
+    odd = F.exists("weights", lambda w: F.isnan(w) | (F.abs(w) == float("inf")))
+    failed = F.when(short, "a series needs more rows than a sequence").when(odd, "training diverged")
     return state.select(
         *series,
         F.lit(int(trial)).alias("trial"),
-        F.lit("COMPLETE").alias("state"),
-        F.lit(None).cast("string").alias("error"),
-        "weights",
+        F.when(failed.isNull(), "COMPLETE").otherwise("FAIL").alias("state"),
+        failed.alias("error"),
+        F.when(failed.isNull(), F.col("weights")).alias("weights"),
     )
 
 
-def _literal(values: Sequence[float]) -> Column:
-    """An array literal as text: thousands of numbers, one expression."""
-    return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
-
-
 def _stepper(cell: str, trials: dict[int, RecurrentParams]):
     def step_of(model: pd.Series):
         params = trials[int(model["trial"])]

@@ -11,15 +11,19 @@ from headroom import fixed_values as fixed
 from headroom import schemas
 
 
+def _badness() -> list[Column]:
+    """Numbers to be small, in order: under-provisioning, error, lack of accuracy, over-provisioning.
+
+    A null or NaN metric is worse than any number.
+    """
+    signed = {"under_provisioning_rate": 1, "smape": 1, "pod_accuracy": -1, "over_provisioning_rate": 1}
+    worst = F.lit(float("inf"))
+    return [F.coalesce(F.nanvl(F.col(name) * sign, worst), worst) for name, sign in signed.items()]
+
+
 def ranking_keys(tie: str = "model") -> list[Column]:
-    """Least under-provisioning, then error, then accuracy, then over-provisioning; nulls last."""
-    return [
-        F.asc_nulls_last("under_provisioning_rate"),
-        F.asc_nulls_last("smape"),
-        F.desc_nulls_last("pod_accuracy"),
-        F.asc_nulls_last("over_provisioning_rate"),
-        F.asc(tie),
-    ]
+    """Least capacity risk first, null and NaN metrics last, then the tie-break."""
+    return [*_badness(), F.asc(tie)]
 
 
 def rank_models(metrics: DataFrame, *, by: Sequence[str] = (), tie: str = "model") -> DataFrame:
@@ -37,14 +41,7 @@ def best_model(metrics: DataFrame, *, by: Sequence[str] = (), tie: str = "model"
     if not by:
         ranked = rank_models(metrics, tie=tie).where("rank = 1")
     else:
-        late = F.lit(float("inf"))
-        key = F.struct(
-            F.coalesce("under_provisioning_rate", late),
-            F.coalesce("smape", late),
-            -F.coalesce("pod_accuracy", -late),
-            F.coalesce("over_provisioning_rate", late),
-            F.col(tie),
-        )
+        key = F.struct(*_badness(), F.col(tie))
         rest = [c for c in metrics.columns if c not in by]
         first = metrics.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("_best"))
         ranked = first.select(F.lit(1).alias("rank"), *by, *[F.col(f"_best.{c}").alias(c) for c in rest])

@@ -13,8 +13,20 @@ from headroom.functions.clock import DAY, HOUR, day_floor, ntz, order_value, plu
 from headroom.operators import ordering
 from headroom.session import settle
 
-# Rolling sums are compared as decimals: exact, so ties are ties on every partitioning.
-EXACT = "decimal(28,9)"
+# Rolling sums are whole numbers, so ties are ties on every partitioning: each series is scaled by
+# a power of two that takes its largest value just below 2^62. That keeps all bits of values down to
+# a five-hundredth of the largest, and of smaller ones more than a sum of doubles would.
+EXACT, TOP_BIT = "decimal(38,0)", 62
+
+
+def _scaled(df: DataFrame, value: str, series: Sequence[str]) -> DataFrame:
+    """Add ``_value``; null and NaN values stay null."""
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    largest = settle(df.groupBy(*series).agg(F.max(F.abs(number)).alias("_largest")))
+    power = F.least(F.lit(1000), F.lit(TOP_BIT) - F.ceil(F.log2(F.nullif("_largest", F.lit(0.0)))))
+    scale = F.coalesce(F.pow(F.lit(2.0), power.cast("double")), F.lit(1.0))
+    scaled = F.rint(number * F.col("_scale")).cast("bigint").cast(EXACT)
+    return df.join(largest.select(*series, scale.alias("_scale")), list(series)).withColumn("_value", scaled).drop("_scale")
 
 
 def _median_step(placed: DataFrame, series: Sequence[str], rows: int) -> DataFrame:
@@ -61,7 +73,7 @@ def peak_window_start(
     if days <= 0:
         raise ValueError("days must be greater than 0")
     schemas.require_columns(df, [*series, order, value], "prediction frame")
-    narrow = df.select(*series, order, F.col(value).cast(EXACT).alias("_value"))
+    narrow = _scaled(df.select(*series, order, value), value, list(series)).select(*series, order, "_value")
     placed = ordering.with_position(narrow, series=series, order=order, step=step, rows=rows).withColumn(
         "_at", order_value(narrow, order)
     )

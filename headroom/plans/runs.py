@@ -152,4 +152,6 @@ def tune_and_refit(
     record = results.save_model_outputs(
         name, predictions, path, {"base_model": cell, "sequence_params": recurrent.params_row(params)}
     )
-    return results.write_tuning_outputs(cell, trial_table, list(recurrent.params_row(params)), path, record)
+    return results.write_tuning_outputs(
+        cell, trial_table, list(recurrent.params_row(params)), path, record, chosen=best.asDict()
+    )

@@ -23,28 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def service_of(event_type: Column) -> Column:
+    """The service that handles an event; a type without one is an error, not a row less."""
     pairs = [F.lit(part) for pair in EVENT_SERVICE.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), event_type)
+    unknown = F.raise_error(F.concat(F.lit("no service handles events of type "), F.coalesce(event_type, F.lit("null"))))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), event_type), unknown)
 
 
 def service_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly mean event value per service on the full grid of hours, 0 where nothing happened.
 
     Values are summed as whole cents: the sum does not depend on the order of the rows,
-    and partial sums per hour and type leave little to shuffle whatever the events weigh.
+    and partial sums per hour and type leave little to shuffle whatever the events weigh. The
+    sums, a few rows per hour, are written once; whatever reads them, events are scanned once.
     """
     events = table(spark, sf_dir, "events")
-    hourly = (
-        events.groupBy(hour_floor(F.col("ts")).alias("ds"), service_of(F.col("event_type")).alias("service"))
+    hourly = settle(
+        events.groupBy(hour_floor(F.col("ts")).alias("ds"), "event_type")
         .agg(
             F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("_cents"),
             F.count(F.lit(1)).alias("_events"),
         )
-        .where(F.col("service").isNotNull())
-    )
-    span = events.agg(
-        hour_floor(F.min("ts")).alias("first"), hour_floor(F.max("ts")).alias("last")
+        .select("ds", service_of(F.col("event_type")).alias("service"), "_cents", "_events")
     )
+    span = hourly.agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
     grid = enrichment.service_grid(enrichment.grid_between(span, HOUR), list(EVENT_SERVICE.values()))
     mean = F.col("_cents") / F.lit(100.0) / F.col("_events")
     return grid.join(hourly, ["ds", "service"], "left").select("ds", "service", F.coalesce(mean, F.lit(0.0)).alias("y"))

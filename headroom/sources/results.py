@@ -114,14 +114,27 @@ def write_service_outputs(
 
 
 def write_tuning_outputs(
-    model: str, trial_table: DataFrame, params: Sequence[str], path: str, tuned_metrics: Mapping[str, object] | None = None, fmt: str = "parquet"
+    model: str,
+    trial_table: DataFrame,
+    params: Sequence[str],
+    path: str,
+    tuned_metrics: Mapping[str, object] | None = None,
+    fmt: str = "parquet",
+    chosen: Mapping[str, object] | None = None,
 ) -> dict[str, object]:
-    """All trials, the best parameters (dropout filled in) and a summary record."""
+    """All trials, the parameters of the chosen one (dropout filled in) and a summary record.
+
+    ``chosen`` (its ``trial`` and ``score``) is the trial that was refitted; without it the best single row is taken.
+    """
     spark = trial_table.sparkSession
     where = write_table(trial_table, f"{path}/{model}_tuning_trials", fmt)
-    best = trials.best_trial(trial_table).first()
+    if chosen is None:
+        best = trials.best_trial(trial_table).first()
+    else:
+        own = trial_table.where(F.col("trial") == F.lit(chosen["trial"])).drop("score")
+        best = own.withColumn("score", F.lit(chosen["score"])).first()
     if best is None:
-        raise TableError("no trial completed")
+        raise TableError("there is no finished trial to choose from")
     found = {name: best[name] for name in params if name in trial_table.columns}
     if "num_layers" in found:
         found["dropout"] = found.get("dropout") or 0.0

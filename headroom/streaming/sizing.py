@@ -20,8 +20,7 @@ def hourly_service_load(events: DataFrame, late_by: str = "2 hours") -> DataFram
     """
     services = events.select(F.col("ts").cast("timestamp").alias("ts"), service_of(F.col("event_type")).alias("service"), "value")
     hourly = (
-        services.where(F.col("service").isNotNull())
-        .withWatermark("ts", late_by)
+        services.withWatermark("ts", late_by)
         .groupBy(F.window("ts", "1 hour").alias("_hour"), "service")
         .agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("_cents"), F.count(F.lit(1)).alias("_events"))
     )

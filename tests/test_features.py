@@ -99,7 +99,7 @@ def test_sequences_stay_inside_their_series(two_series, rows):
     built = X.sequences(two_series, ["y"], 3, series=["service"], rows=rows).orderBy("service", "ds").collect()
     assert len(built) == 14
     assert [v[0] for v in built[7]["window"]] == [0.0, 10.0, 20.0] and built[7]["target"] == 30.0
-    with pytest.raises(Exception, match="not enough rows"):
+    with pytest.raises(Exception, match="more rows"):
         X.sequences(two_series, ["y"], 10, series=["service"]).collect()
 
 

@@ -96,7 +96,7 @@ def test_gradient_equals_finite_differences(cell):
     rng = np.random.default_rng(0)
     x, y = cells.windows(rng.normal(size=(9, 4)), 4)
     shapes, weights = cells.layout(cell, 4, params), cells.start_weights(cell, 4, params, 1)
-    masks = cells.dropout_masks(params, len(y), rng)
+    masks = cells.dropout_masks(params, np.arange(len(y)), seed=3, epoch=1)
     _, slope = cells.gradient(cell, cells.unpack(weights, shapes), x, y, masks)
     for i in range(0, len(weights), 7):
         nudge = np.zeros_like(weights)
@@ -109,7 +109,7 @@ def test_gradient_equals_finite_differences(cell):
 def test_windows_need_more_rows_than_they_are_long():
     x, y = cells.windows(np.arange(10.0).reshape(5, 2), 3)
     assert x.shape == (2, 3, 2) and y.tolist() == [6.0, 8.0]
-    with pytest.raises(ValueError, match="not enough rows"):
+    with pytest.raises(ValueError, match="more rows"):
         cells.windows(np.zeros((3, 2)), 3)
 
 
@@ -147,20 +147,48 @@ def prepared(spark):
     return rows, scaling
 
 
-def test_long_series_are_trained_like_one_full_batch(prepared):
+@pytest.mark.parametrize("batch_size", [0, 16, 256])
+def test_long_series_take_the_same_steps(prepared, batch_size):
+    rows, _ = prepared
+    params = RecurrentParams(
+        sequence_length=4, hidden_size=2, epochs=2, batch_size=batch_size, num_layers=2, dropout=0.3, gradient_clip=1.0
+    )
+    short, long = (
+        {m["service"]: m["weights"] for m in recurrent.fit_recurrent(rows, "gru", params, series=["service"], rows_per_model=n).collect()}
+        for n in (10**6, 20)
+    )
+    assert sorted(short) == sorted(long) == ["a", "b"]
+    for name in short:
+        np.testing.assert_allclose(long[name], short[name], atol=1e-10)
+
+
+def test_full_batches_are_plain_gradient_steps(prepared):
     rows, _ = prepared
     params = RecurrentParams(sequence_length=4, hidden_size=2, epochs=2, batch_size=0)
-    models = recurrent.fit_recurrent(rows, "gru", params, series=["service"], rows_per_model=20).collect()
-    assert sorted(m["service"] for m in models) == ["a", "b"]
     values = rows.where("service = 'a' AND rn <= start").toPandas().sort_values("rn")[recurrent.COLUMNS].to_numpy(float)
     x, y = cells.windows(values, 4)
-    shapes, weights = cells.layout("gru", 9, params), cells.start_weights("gru", 9, params, 42)
+    shapes, weights = cells.layout("gru", 9, params), cells.start_weights("gru", 9, params, 7)
     first = second = np.zeros_like(weights)
     for step in (1, 2):
         slope = cells.gradient("gru", cells.unpack(weights, shapes), x, y)[1] / len(y)
         weights, first, second = cells.adam_step(weights, slope, first, second, step, params)
-    found = next(m["weights"] for m in models if m["service"] == "a")
-    np.testing.assert_allclose(found, weights, atol=1e-12)
+    np.testing.assert_allclose(cells.train("gru", values, params, 7), weights, atol=1e-12)
+
+
+def test_every_sequence_is_in_one_batch_per_epoch():
+    params, rows = RecurrentParams(batch_size=10), np.arange(5, 1000)
+    one, two = (cells.batch_of(rows, len(rows), params, 1, epoch) for epoch in (0, 1))
+    assert cells.batch_count(len(rows), params) == 100 and set(one) <= set(range(100)) and (one != two).any()
+    assert abs(np.bincount(one.astype(int), minlength=100).mean() - 9.95) < 1e-9
+
+
+@pytest.mark.parametrize("rows_per_model", [20, 10**6])
+def test_diverging_models_fail_at_every_length(prepared, rows_per_model):
+    rows, _ = prepared
+    wild = rows.withColumn("y", F.lit(float("nan")))
+    params = RecurrentParams(sequence_length=4, hidden_size=2, epochs=1, batch_size=0)
+    models = recurrent.fit_recurrent(wild, "gru", params, series=["service"], rows_per_model=rows_per_model).collect()
+    assert {(m["state"], m["error"], m["weights"] is None) for m in models} == {("FAIL", "training diverged", True)}
 
 
 def test_failed_trials_are_rows_and_forecasts_repeat(prepared):
@@ -172,7 +200,7 @@ def test_failed_trials_are_rows_and_forecasts_repeat(prepared):
     models = recurrent.fit_recurrent(rows, "lstm", trials, series=["service"])
     states = {(m["service"], m["trial"]): (m["state"], m["error"]) for m in models.collect()}
     assert states[("a", 0)] == ("COMPLETE", None)
-    assert states[("b", 1)][0] == "FAIL" and "not enough rows" in states[("b", 1)][1]
+    assert states[("b", 1)][0] == "FAIL" and "more rows" in states[("b", 1)][1]
     run = [
         recurrent.forecast_recurrent(rows, models, scaling, "lstm", trials, series=["service"], rows_per_round=size)
         .toPandas()

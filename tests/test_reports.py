@@ -116,3 +116,11 @@ def test_tuning_comparison(spark):
     )
     found = {r["family"]: (r["Baseline"], r["Tuned"]) for r in P.tuning_comparison(df, "smape").collect()}
     assert found == {"GRU": (0.4, 0.3), "LSTM": (0.5, 0.2)}
+
+
+@pytest.mark.parametrize("scale", [1e-11, 1e25])
+def test_small_differences_and_large_values_decide_the_peak(spark, scale):
+    ds = pd.date_range("2024-01-01", periods=48, freq="h")
+    df = ntz(spark.createDataFrame(pd.DataFrame({"service": "a", "ds": ds, "actual": np.arange(48) * scale})))
+    found = P.peak_window_start(df, 1, series=["service"], step=HOUR).first()
+    assert (found["start"], found["window_rows"]) == (datetime(2024, 1, 2), 24)
