@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash
+from headroom.llm import decontaminate, fixity, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash
 from headroom.llm.common import is_held_out, table
 
 
@@ -21,6 +21,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fixity.archive(table(spark, sf_dir, "pages"))
+    return fixity.audit(records, fixity.damaged(records))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.with_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -88,6 +93,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
@@ -98,6 +104,42 @@ QUERIES = {
     "op10_simhash_neardup": op10_simhash_neardup,
 }
 
+#: Records in files of 1024 ids, hashed, then hashes of 16 neighbours with their range, three times.
+OP2_SQL = """
+WITH records AS (
+  SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS file,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record
+  FROM pages
+), placed AS (
+  SELECT *, CAST(row_number() OVER f - 1 AS BIGINT) AS number, CAST(strlen(record) + 4 AS BIGINT) AS length,
+    CAST(coalesce(sum(strlen(record) + 4) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM records WINDOW f AS (PARTITION BY file ORDER BY page_id, record)
+), leaves AS (
+  SELECT page_id, file, number, "offset", length, sha256(record) AS a,
+    CASE WHEN page_id % 103 = 7 THEN 'gone' WHEN page_id % 101 = 5 THEN sha256(left(record, length(record) - 1) || '?') ELSE sha256(record) END AS b
+  FROM placed
+), one AS (SELECT file, number // 16 AS number, min("offset") AS "offset", sum(length) AS length,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(a, ',' ORDER BY number)) AS a,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(b, ',' ORDER BY number)) AS b FROM leaves GROUP BY 1, number // 16
+), two AS (SELECT file, number // 16 AS number, min("offset") AS "offset", sum(length) AS length,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(a, ',' ORDER BY number)) AS a,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(b, ',' ORDER BY number)) AS b FROM one GROUP BY 1, number // 16
+), three AS (SELECT file, number // 16 AS number, min("offset") AS "offset", sum(length) AS length,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(a, ',' ORDER BY number)) AS a,
+    sha256(min("offset") || ':' || sum(length) || ':' || string_agg(b, ',' ORDER BY number)) AS b FROM two GROUP BY 1, number // 16
+), depth AS (SELECT max(number) AS largest FROM leaves),
+roots AS (
+  SELECT file, a, b FROM one WHERE (SELECT largest FROM depth) < 16
+  UNION ALL SELECT file, a, b FROM two WHERE (SELECT largest FROM depth) BETWEEN 16 AND 255
+  UNION ALL SELECT file, a, b FROM three WHERE (SELECT largest FROM depth) > 255
+)
+SELECT l.page_id, l.file, l."offset", l.length, l.a AS digest, r.a AS root, r.b AS replica_root,
+  CASE WHEN l.a = l.b THEN 'same' WHEN l.b = 'gone' THEN 'gone' ELSE 'changed' END AS state
+FROM leaves l JOIN roots r USING (file)
+"""
+
 #: Words of item or document, one row per word; a window per item position; hit words by position.
 OP3_SQL = """
 WITH doc_words AS (
@@ -144,7 +186,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL}
+ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL}
 
 
 def queries():
