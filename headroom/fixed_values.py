@@ -40,6 +40,13 @@ CPU_FACTOR = {"auth": 0.42, "payment": 0.50, "batch": 0.72, "admin": 0.30, "limi
 DB_FACTOR = {"auth": 0.07, "payment": 0.34, "batch": 0.52, "admin": 0.05, "limit_scoring": 0.38}
 LATENCY_FACTOR = {"auth": 0.75, "payment": 1.20, "batch": 2.10, "admin": 0.65, "limit_scoring": 1.55}
 
+# Weather effects on service demand, and the load formulas.
+MONSOON_DEMAND, STORM_DEMAND, STORM_FROM = 1.08, 0.85, 0.8
+CPU_IDLE, CPU_PER_QUEUED, CPU_MOST = 12.0, 0.03, 100
+LATENCY_IDLE, LATENCY_PER_QUEUED, LATENCY_LEAST = 60.0, 0.35, 20
+ERROR_BASE, ERROR_SLOPE, ERROR_MOST = 0.001, 0.025, 0.10
+CONNECTIONS_MOST = 100
+
 # Base and ceiling of the two single-series demand columns.
 REQUEST_RATE_BASE, REQUEST_RATE_MAX = 100.0, 500.0
 CPU_BASE, CPU_MAX = 50.0, 100.0

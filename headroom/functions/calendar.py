@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
-from headroom.functions.lookup import by_band, by_index, by_name
+from headroom.functions.lookup import by_band, by_index, record_by_name
 
 
 def hour(ds: Column) -> Column:
@@ -96,8 +96,8 @@ def service_boost(service: Column, ds: Column) -> Column:
     )
 
 
-def business_event(service: Column, ds: Column) -> Column:
-    """Label of the strongest business event of the service at that time."""
+def business_events(ds: Column) -> dict[str, Column]:
+    """Label of the strongest business event at that time, per service."""
     day, at_hour, at_month = F.dayofmonth(ds), F.hour(ds), F.month(ds)
     spring = (at_month == 3) & day.between(10, 20)
     recovery = (at_month == 9) & day.between(2, 4)
@@ -111,11 +111,17 @@ def business_event(service: Column, ds: Column) -> Column:
         "admin": F.when((at_hour >= 9) & (at_hour < 18), "business_hours"),
         "limit_scoring": F.when(spring, "spring_credit_limit_spike").when(season, "credit_limit_application_peak"),
     }
+    return {name: label.otherwise("normal") for name, label in labels.items()}
+
+
+def business_event(service: Column, ds: Column) -> Column:
+    """Label of the strongest business event of the service at that time."""
     chain = F
-    for name, label in labels.items():
-        chain = chain.when(service == name, label.otherwise("normal"))
+    for name, label in business_events(ds).items():
+        chain = chain.when(service == name, label)
     return chain.otherwise(F.raise_error(F.concat(F.lit("unknown service: "), F.coalesce(service, F.lit("null")))))
 
 
-def service_value(service: Column, values: dict[str, float]) -> Column:
-    return by_name(service, values, "service")
+def service_values(service: Column, **tables: dict[str, float]) -> Column:
+    """The constants of a service as one struct."""
+    return record_by_name(service, tables, "service")

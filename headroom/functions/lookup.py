@@ -15,6 +15,22 @@ def by_name(key: Column, values: Mapping[str, float | int], what: str) -> Column
     return F.coalesce(F.try_element_at(table, key), unknown.cast("double"))
 
 
+def record_by_name(key: Column, tables: Mapping[str, Mapping[str, float]], what: str) -> Column:
+    """All values of a name as one struct, from tables with the same names; an unknown name is an error.
+
+    One lookup and one check per row, however many values are used.
+    """
+    names = list(next(iter(tables.values())))
+    entries = [
+        part
+        for name in names
+        for part in (F.lit(name), F.struct(*[F.lit(float(values[name])).alias(field) for field, values in tables.items()]))
+    ]
+    unknown = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(key, F.lit("null"))))
+    fields = ", ".join(f"{field}: double" for field in tables)
+    return F.coalesce(F.try_element_at(F.create_map(*entries), key), unknown.cast(f"struct<{fields}>"))
+
+
 def by_index(index: Column, values: Sequence[float], first: int = 0) -> Column:
     """Value per whole number, ``first`` being the number of the first value."""
     return F.get(F.array(*[F.lit(v) for v in values]), index - first)

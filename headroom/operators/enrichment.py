@@ -214,19 +214,21 @@ def service_grid(df: DataFrame, services: Sequence[str] = tuple(fixed.SERVICES))
 def expected_service_demand(df: DataFrame, *, noise: str | None = None, ds: str = "ds") -> DataFrame:
     """Add ``request_rate`` per service; needs ``service``, ``is_monsoon``, ``typhoon_index``, ``event_boost``."""
     at, service = F.col(ds), F.col("service")
-    seasonal = F.lit(1.0) + C.service_value(service, fixed.SERVICE_SEASON_STRENGTH) * C.season_index(at)
+    own = F.col("_own")
+    seasonal = F.lit(1.0) + own["strength"] * C.season_index(at)
     value = (
-        C.service_value(service, fixed.SERVICE_BASE)
+        own["base"]
         * seasonal
         * C.weekday_weight(at)
         * C.service_hour_weight(service, at)
         * F.col("event_boost")
-        * F.when(F.col("is_monsoon") == 1, 1.08).otherwise(1.0)
-        * F.when(F.col("typhoon_index") >= 0.8, 0.85).otherwise(1.0)
+        * F.when(F.col("is_monsoon") == 1, fixed.MONSOON_DEMAND).otherwise(1.0)
+        * F.when(F.col("typhoon_index") >= fixed.STORM_FROM, fixed.STORM_DEMAND).otherwise(1.0)
         * C.service_boost(service, at)
         + (F.col(noise) if noise else F.lit(0.0))
     )
-    return df.withColumn("request_rate", F.greatest(value, F.lit(0.0)))
+    constants = C.service_values(service, base=fixed.SERVICE_BASE, strength=fixed.SERVICE_SEASON_STRENGTH)
+    return df.withColumn("_own", constants).withColumn("request_rate", F.greatest(value, F.lit(0.0))).drop("_own")
 
 
 def _between(value: Column, low: float, high: float | None = None) -> Column:
@@ -239,21 +241,29 @@ def derive_load_metrics(df: DataFrame, *, queue_noise: str | None = None) -> Dat
 
     Each step uses the bounded result of the one before.
     """
-    service, rate = F.col("service"), F.col("request_rate")
+    rate, own, queued = F.col("request_rate"), F.col("_own"), F.col("queue_depth")
+    constants = C.service_values(
+        F.col("service"),
+        queue=fixed.QUEUE_FACTOR,
+        cpu=fixed.CPU_FACTOR,
+        latency=fixed.LATENCY_FACTOR,
+        connections=fixed.DB_FACTOR,
+    )
     noise = F.col(queue_noise) if queue_noise else F.lit(0.0)
-    queue = _between(rate * C.service_value(service, fixed.QUEUE_FACTOR) + noise, 0)
-    cpu = F.lit(12.0) + rate * C.service_value(service, fixed.CPU_FACTOR) + F.col("queue_depth") * 0.03
-    latency = F.lit(60.0) + rate * C.service_value(service, fixed.LATENCY_FACTOR) + F.col("queue_depth") * 0.35
-    errors = F.lit(0.001) + F.pow(F.col("cpu_utilization") / 100, F.lit(3.0)) * 0.025
+    cpu = F.lit(fixed.CPU_IDLE) + rate * own["cpu"] + queued * fixed.CPU_PER_QUEUED
+    latency = F.lit(fixed.LATENCY_IDLE) + rate * own["latency"] + queued * fixed.LATENCY_PER_QUEUED
+    errors = F.lit(fixed.ERROR_BASE) + F.pow(F.col("cpu_utilization") / 100, F.lit(3.0)) * fixed.ERROR_SLOPE
     return (
-        df.withColumn("queue_depth", queue)
-        .withColumns({"cpu_utilization": _between(cpu, 0, 100), "p95_latency": _between(latency, 20)})
+        df.withColumn("_own", constants)
+        .withColumn("queue_depth", _between(rate * own["queue"] + noise, 0))
+        .withColumns({"cpu_utilization": _between(cpu, 0, fixed.CPU_MOST), "p95_latency": _between(latency, fixed.LATENCY_LEAST)})
         .withColumns(
             {
-                "error_rate": _between(errors, 0, 0.10),
-                "db_connection_usage": _between(rate * C.service_value(service, fixed.DB_FACTOR), 0, 100),
+                "error_rate": _between(errors, 0, fixed.ERROR_MOST),
+                "db_connection_usage": _between(rate * own["connections"], 0, fixed.CONNECTIONS_MOST),
             }
         )
+        .drop("_own")
     )
 
 
@@ -290,15 +300,15 @@ def service_table(
     """The full service table over the timestamps of ``df``, one row per timestamp and service."""
     own = [c for c in df.columns if c not in SERVICE_TABLE_COLUMNS]
     enriched = with_weather_and_events(df, landfalls, events, draw=draw)
+    # labels and season are those of the timestamp: found once for all its services
+    labels = F.struct(*[label.alias(name) for name, label in C.business_events(F.col("ds")).items()])
+    enriched = enriched.withColumns({"_labels": labels, "crop_activity_score": C.season_index(F.col("ds"))})
     demand = expected_service_demand(service_grid(enriched, services), noise=noise)
     loaded = with_calendar(derive_load_metrics(demand, queue_noise=queue_noise))
-    return loaded.withColumns(
-        {
-            "crop_activity_score": C.season_index(F.col("ds")),
-            "business_event": C.business_event(F.col("service"), F.col("ds")),
-            "y": F.col("request_rate"),
-        }
-    ).select(*own, *SERVICE_TABLE_COLUMNS)
+    label = F
+    for name in services:
+        label = label.when(F.col("service") == name, F.col("_labels")[name])
+    return loaded.withColumns({"business_event": label, "y": F.col("request_rate")}).select(*own, *SERVICE_TABLE_COLUMNS)
 
 
 def ds_span(df: DataFrame, ds: str = "ds") -> DataFrame:
