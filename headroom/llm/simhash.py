@@ -205,8 +205,11 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id one stays. A group without any id keeps its different texts.
     """
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("stay_id")).distinct()
-    rows = with_row(docs, "doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    nameless = F.when(F.col("doc_id").isNull(), F.md5("text"))
-    return rows.withColumn("nameless", nameless).dropDuplicates(["doc_id", "nameless"]).select("row.*")
+    found = near_duplicates(docs)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id"))
+    rows = with_row(docs, "doc_id").where("doc_id IS NOT NULL")
+    named = rows.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"]).select("row")
+    alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("stay_print"))
+    nameless = with_fingerprint(docs.where("doc_id IS NULL")).join(alone, F.col("fingerprint") == F.col("stay_print"), "left_semi")
+    nameless = nameless.withColumn("own", F.md5("row.text")).dropDuplicates(["own"]).select("row")
+    return named.unionByName(nameless).select("row.*")

@@ -87,7 +87,7 @@ def test_cuts_cost_as_little_as_trying_all():
         ends = packing.cuts(places, prices, length)
         sizes = np.diff([0, *ends])
         price_of = dict(zip(places, prices))
-        cost = sum(price_of[e] + min([length - s] + [packing.SHORT] * (s == length // 2)) for e, s in zip(ends, sizes))
+        cost = sum(price_of[e] + min([length - s] + [packing.SHORT] * int(s == length // 2)) for e, s in zip(ends, sizes))
         assert cost == best[places[-1]] and sizes.max() <= length
 
 
