@@ -26,9 +26,8 @@ from headroom.plans.traffic import (
 )
 from headroom.session import settle
 
-EPOCHS = 10
 TRIALS = 4
-PARAMS = RecurrentParams(epochs=EPOCHS)
+PARAMS = RecurrentParams()
 
 
 def services_in_folds(spark, sf_dir, **ratios):
@@ -85,9 +84,7 @@ def _fit(cell: str):
 
 def run_sequence(spark, sf_dir):
     """Metrics of a two-layer model with decay and clipping."""
-    params = RecurrentParams(
-        epochs=EPOCHS, hidden_size=16, num_layers=2, dropout=0.2, weight_decay=1e-4, gradient_clip=1.0
-    )
+    params = RecurrentParams(num_layers=2, dropout=0.2, weight_decay=1e-4, gradient_clip=1.0)
     predictions = runs.run_sequence(services_in_folds(spark, sf_dir), "lstm", params, series=["service"], step=HOUR)[1]
     return evaluation.evaluate(predictions, by=["service", "model"])
 
@@ -99,7 +96,7 @@ def model_parameters(spark, sf_dir):
 
 def fit_per_service(spark, sf_dir):
     """Decisions of a whole service run."""
-    run = runs.run_services(services_in_folds(spark, sf_dir), PARAMS, pod_budget=14, step=HOUR)
+    run = runs.run_services(services_in_folds(spark, sf_dir), pod_budget=14, step=HOUR)
     return run["decisions"]
 
 
