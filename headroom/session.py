@@ -44,10 +44,24 @@ def _one_machine(master: str) -> bool:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder of its own below the checkpoint folder, which every executor can reach."""
+    """A new folder of its own below the checkpoint folder, which every executor can reach.
+
+    It is deleted when the session's process ends.
+    """
     ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    _delete_at_exit(system, place)
+    return path
+
+
+def _delete_at_exit(system, place) -> None:
+    """Only folders that exist can be marked; the mark stays when the writer makes its own."""
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    system.delete(place, True)
 
 
 #: Shuffle files of a finished write are of no more use: the written rows replace them.
