@@ -32,8 +32,8 @@ from headroom.session import settle
 
 WINDOW, GRAM = 400, 32
 HOT_CLASSES = 16  # different stretches of an anchor in one batch
-HOT_ROWS = 2_000  # stretches of an anchor that may meet in one task
-INDEX_BYTES = 1_000_000  # an index is built from here on, with one group more at most
+HOT_ROWS = 1_000  # stretches of an anchor that may meet in one task
+INDEX_BYTES = 400_000  # an index is built from here on, with one group more at most
 OPEN, REPEAT, INDEX, PARTNER, HOT, MARK = range(6)  # what is known of a stretch
 _STATE_BITS = 3
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93

@@ -22,17 +22,19 @@ def sorted_suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Begins of the suffixes in order; ``left`` is how much of its text a position has before it.
 
     An end mark is smaller than any letter, and marks compare as their texts stand. Prefixes are
-    sorted by doubling; only positions that still share their rank are sorted again.
+    sorted by doubling; only positions that still share their rank are sorted again. Places have 32 bits.
     """
     size = len(data)
-    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(_FIRST, np.int64)])
+    padded = np.concatenate([data.astype(np.int16) + 1, np.zeros(_FIRST, np.int16)])
     keys = np.zeros(size, np.int64)
     for j in range(_FIRST):
         keys = (keys << _SYMBOL_BITS) | np.where(left > j, padded[j : j + size], 0)
-    order = np.argsort(keys, kind="stable")
-    first = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    rank = np.empty(size, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(size), 0)) + 1
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    del keys, padded
+    rank = np.empty(size, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(size, dtype=np.int32), 0)) + 1
     step, longest = _FIRST, int(left.max(initial=0))
     while step < longest:
         # classes of one are settled; the others lie in runs of ``order``
@@ -42,7 +44,7 @@ def sorted_suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
             break
         open_ones = order[at]
         beyond = np.where(left[open_ones] > step, rank[np.minimum(open_ones + step, size - 1)], 0)
-        keys = rank[open_ones] * (size + 1) + beyond
+        keys = rank[open_ones].astype(np.int64) * (size + 1) + beyond
         again = np.argsort(keys, kind="stable")
         order[at] = open_ones[again]
         keys = keys[again]
@@ -75,9 +77,10 @@ class RunLengthIndex:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.begins = np.cumsum(sizes) - sizes
         ends = np.repeat(self.begins + sizes, sizes)
-        left = ends - np.arange(len(self.data))
+        left = (ends - np.arange(len(self.data))).astype(np.int32)
+        del ends
         suffixes = sorted_suffixes(self.data, left)
-        before = np.full(len(self.data), -1, np.int64)
+        before = np.full(len(self.data), -1, np.int32)
         before[1:] = self.data[:-1]
         # the mark before a text's first letter is like no other: it never continues a run
         before[self.begins[sizes > 0]] = -1 - np.flatnonzero(sizes > 0)
