@@ -40,6 +40,9 @@ CPU_FACTOR = {"auth": 0.42, "payment": 0.50, "batch": 0.72, "admin": 0.30, "limi
 DB_FACTOR = {"auth": 0.07, "payment": 0.34, "batch": 0.52, "admin": 0.05, "limit_scoring": 0.38}
 LATENCY_FACTOR = {"auth": 0.75, "payment": 1.20, "batch": 2.10, "admin": 0.65, "limit_scoring": 1.55}
 
+# The policy of a single series.
+POD_CAPACITY, POD_MARGIN, POD_LEAST, POD_MOST = 21.1, 0.2, 1, 8
+
 # Weather effects on service demand, and the load formulas.
 MONSOON_DEMAND, STORM_DEMAND, STORM_FROM = 1.08, 0.85, 0.8
 CPU_IDLE, CPU_PER_QUEUED, CPU_MOST = 12.0, 0.03, 100

@@ -62,7 +62,7 @@ def penalty_score(weights: ScoreWeights = ScoreWeights()) -> Column:
 
 def fitness(penalty: Column) -> Column:
     """Higher-is-better fitness; a negative penalty is an error."""
-    bad = F.raise_error(F.lit("score must be non-negative")).cast("double")
+    bad = F.raise_error(F.lit("a score below 0")).cast("double")
     return F.when(penalty < 0, bad).otherwise(F.lit(1.0) / (F.lit(1.0) + penalty))
 
 

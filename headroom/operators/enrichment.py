@@ -21,7 +21,7 @@ def time_grid(spark: SparkSession, start: datetime, end: datetime, step_micros:
     span = end - start
     micros = (span.days * 86_400 + span.seconds) * SECOND + span.microseconds
     if micros < 0:
-        raise schemas.TableError("date range is empty; check start, end and step")
+        raise schemas.TableError("the last moment lies before the first")
     origin = F.lit(start).cast("timestamp_ntz")
     return spark.range(micros // step_micros + 1).select(plus_micros(origin, F.col("id") * step_micros).alias("ds"))
 

@@ -35,7 +35,7 @@ def paired(actual: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> Data
 
 def _checked(value: Column, rows: Column) -> Column:
     """The metric, or an error when it would be one of no rows."""
-    return F.when(rows > 0, value).otherwise(F.raise_error(F.lit("inputs must not be empty")).cast("double"))
+    return F.when(rows > 0, value).otherwise(F.raise_error(F.lit("no rows to measure")).cast("double"))
 
 
 def _aggregate(df: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:

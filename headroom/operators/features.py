@@ -98,7 +98,7 @@ def recipe_features(df: DataFrame) -> DataFrame:
     def checked(name: str, last: int) -> Column:
         value = F.col(name).cast("double")
         good = F.coalesce((value >= 0) & (value <= last) & ~F.isnan(value), F.lit(False))
-        stop = F.raise_error(F.lit(f"Column '{name}' must contain numeric values in [0, {last}]"))
+        stop = F.raise_error(F.lit(f"Column '{name}' has a value outside 0 to {last}, or none"))
         return F.when(good, value).otherwise(stop.cast("double"))
 
     hour, day = checked("hour", 23), checked("day_of_week", 6)
@@ -162,7 +162,7 @@ def with_fold(
     if holdout_head > 0:
         ranks["_to"] = F.least(train_rows + F.lit(holdout_head), size)
     cuts = ordering.cut_values(df, ranks, series=series, order=order, step=step, rows=rows)
-    empty = F.raise_error(F.lit("holdout split produced an empty train or holdout set")).cast("bigint")
+    empty = F.raise_error(F.lit("a fold would be left without rows")).cast("bigint")
     cuts = settle(cuts.select(*series, *[F.coalesce(F.col(cut), empty).alias(cut) for cut in ranks]))
     value = order_value(df, order)
     label = F.when(value >= F.col("_holdout_at"), "holdout")

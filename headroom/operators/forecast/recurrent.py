@@ -179,6 +179,7 @@ def fit_long_series(
             for at in range(0, len(chosen), cells.ROWS_COPIED):
                 some = chosen[at : at + cells.ROWS_COPIED]
                 total = total + cells.summed_gradient(cell, weights, x[some], y[some], places[some], params, own, epoch)
+            total = np.where(np.isnan(total), np.inf, total)  # a NaN would travel as null, and sums pass over nulls
             return pd.DataFrame([dict(zip(series, key)) | {"slope": total.tolist(), "seen": len(chosen)}])
 
         return of_chunk
@@ -220,7 +221,7 @@ def fit_long_series(
             joined = state.join(summed, series, "left").join(counts, series, "left")
             state = settle(joined.mapInPandas(updated, f"{key_fields}, {_STATE}"))
     short = F.col("sequences") == 0
-    odd = F.exists("weights", lambda w: F.isnan(w) | (F.abs(w) == float("inf")))
+    odd = F.exists("weights", lambda w: w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
     failed = F.when(short, "a series needs more rows than a sequence").when(odd, "training diverged")
     return state.select(
         *series,

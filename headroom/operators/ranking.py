@@ -54,5 +54,5 @@ def model_subset(df: DataFrame, models: Sequence[str] = tuple(fixed.MODEL_NAMES)
 
 def ensure_not_empty(ranked: DataFrame) -> DataFrame:
     if ranked.isEmpty():
-        raise schemas.TableError("No models ranked - cannot select best")
+        raise schemas.TableError("there is no model to choose from")
     return ranked

@@ -83,7 +83,7 @@ def peak_window_start(
         sized = placed.join(steps, list(series), "left")
     else:
         sized = placed.withColumn("_median", F.lit(float(step)))
-    stop = F.raise_error(F.lit("timestamps must be sorted and have a positive interval")).cast("bigint")
+    stop = F.raise_error(F.lit("neighbouring rows of a series need different timestamps")).cast("bigint")
     per_day = F.greatest(F.lit(1), F.bround(F.lit(float(DAY)) / F.col("_median"), 0)).cast("bigint")
     size = (
         F.when(F.col("n") < 2, F.lit(1).cast("bigint"))
@@ -133,7 +133,7 @@ def select_window(
         starts = peak_window_start(df, days, series=series, order=order, step=step)
         window = window_slice(df, starts, days, keys=series, order=order)
     if window.isEmpty():
-        raise schemas.TableError(f"No prediction rows found in the window of {days} days from {start or 'the peak'}.")
+        raise schemas.TableError(f"the window of {days} days from {start or 'the peak'} has no rows")
     return window
 
 
@@ -253,7 +253,7 @@ def adjusted_stack(
 def metric_frame(metrics: DataFrame, pairs: Sequence[tuple[str, str, str]] = tuple(fixed.TUNED_PAIRS)) -> DataFrame:
     """The metric rows of the paired models (family, label, model)."""
     table = metrics.sparkSession.createDataFrame(list(pairs), "family string, label string, model string")
-    return metrics.join(F.broadcast(table), "model").select("family", "label", "model", *schemas.METRIC_COLUMNS)
+    return metrics.join(table, "model").select("family", "label", "model", *schemas.METRIC_COLUMNS)
 
 
 def tuning_comparison(

@@ -13,6 +13,8 @@ from headroom.plans.catalog.common import rounded
 from headroom.plans.catalog.evaluation import _MODEL_CARD
 from headroom.plans.traffic import model_predictions, service_predictions
 from headroom.schemas import METRIC_COLUMNS
+from headroom.session import scratch_path, settle
+from headroom.sources import results
 
 PAIRS = [("DAY", "Baseline", "day"), ("DAY", "Tuned", "padded"), ("WEEK", "Baseline", "week"), ("WEEK", "Tuned", "blend")]
 TRIALS = 10
@@ -62,6 +64,25 @@ def best_trial(spark, sf_dir):
     return rounded(best.select("service", "trial", "factor", "score"), ["factor"], 6)
 
 
+def save_comparison(spark, sf_dir):
+    """The ranking written with its best model, and read back."""
+    paths = results.write_comparison_outputs(rank_models(spark, sf_dir), scratch_path(spark, "comparison"))
+    best = results.read_record(spark, paths["best_model"])
+    written = spark.read.parquet(paths["comparison_results"])
+    return written.withColumn("chosen", F.col("model") == F.lit(best["model"]))
+
+
+def save_tuning(spark, sf_dir):
+    """A search written with the trial of the lowest mean score: summary and parameters read back."""
+    tried, path = settle(trial_scores(spark, sf_dir)), scratch_path(spark, "tuning")
+    best = trials.best_trial(tried.groupBy("trial").agg(F.avg("score").alias("score"))).first()
+    summary = results.write_tuning_outputs("naive", tried, ["factor"], path, chosen=best.asDict())
+    factor = results.read_record(spark, summary["best_params_path"])["factor"]
+    written = spark.read.parquet(summary["trials_path"])
+    own = written.where(F.col("trial") == F.lit(summary["best_trial"]))
+    return rounded(own.select("service", "trial", F.lit(float(factor)).alias("factor"), "score"), ["factor"], 6)
+
+
 def score_candidates(spark, sf_dir):
     """Candidates by model name, one of which never delivered."""
     df = model_predictions(spark, sf_dir).withColumnRenamed("model", "candidate")
@@ -80,6 +101,8 @@ QUERIES = {
     "model_subset": model_subset,
     "tuning_pivot": tuning_pivot,
     "best_trial": best_trial,
+    "save_comparison": save_comparison,
+    "save_tuning": save_tuning,
     "score_candidates": score_candidates,
 }
 
@@ -117,6 +140,10 @@ ORACLE = {
         FROM pairs JOIN measured USING (model) GROUP BY 1""",
     "best_trial": f"""WITH {_TRIALS} SELECT service, trial, {S.rounded('factor', 6)} AS factor, score FROM (
         SELECT *, row_number() OVER (PARTITION BY service ORDER BY score, trial) AS k FROM scored) WHERE k = 1""",
+    "save_comparison": f"{_ranked(_BY_MODEL)} SELECT *, rank = 1 AS chosen FROM ranked",
+    "save_tuning": f"""WITH {_TRIALS}, best AS (
+          SELECT trial FROM (SELECT trial, avg(score) AS mean FROM scored GROUP BY 1) ORDER BY mean, trial LIMIT 1)
+        SELECT service, trial, {S.rounded('factor', 6)} AS factor, score FROM scored WHERE trial = (SELECT trial FROM best)""",
     "score_candidates": f"""WITH {_MODEL_CARD}
         SELECT n.candidate, c.service, CASE WHEN c.model IS NULL THEN 'no forecast' END AS error,
           {S.rounded('coalesce(penalty_score, 999)', 6)} AS penalty_score, {S.rounded('coalesce(1 / (1 + penalty_score), 0)', 6)} AS combined_score

@@ -52,11 +52,11 @@ def load_model_metrics(spark: SparkSession, path: str, names: Sequence[str] = tu
     present = {row["file_model"] for row in listed if row["_found"]}
     missing = [n for n in names if n not in present]
     if missing:
-        raise FileNotFoundError("Missing model metric files: " + ", ".join(f"{path}/{n}_metrics.json" for n in missing))
+        raise FileNotFoundError("no metrics were written for " + ", ".join(f"{path}/{n}_metrics.json" for n in missing))
     for row in listed:
         for metric in METRIC_COLUMNS:
             if row[metric] is None:
-                raise TableError(f"{row['file_model']} is missing required metric: {metric}")
+                raise TableError(f"the record of {row['file_model']} lacks {metric}")
     return rows.select(F.coalesce("model", "file_model").alias("model"), *METRIC_COLUMNS, "ordinal").orderBy("ordinal")
 
 
@@ -72,7 +72,7 @@ def save_model_outputs(
     keys = ["model", "prediction_path", *METRIC_COLUMNS]
     clash = sorted(set(extra or {}) & set(keys))
     if clash:
-        raise TableError(f"extra_metrics cannot override output keys: {clash}")
+        raise TableError(f"these entries of the record are taken: {clash}")
     write_table(predictions.withColumn("model", F.lit(name)), where, fmt, by=["model"])
     written = spark.read.format(fmt).option("header", True).load(where).where(F.col("model") == name)
     metrics = evaluation.evaluate(written.select(*[F.col(c).cast("double") for c in ("actual", "predicted")])).first()

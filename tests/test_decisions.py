@@ -85,7 +85,7 @@ def test_repeated_and_unknown_services_are_errors(spark):
     twice = all_at_most(spark).union(all_at_most(spark).limit(1))
     with pytest.raises(Exception, match="repeated service"):
         D.share_pod_budget(twice, 12).collect()
-    with pytest.raises(Exception, match="missing service pod policy"):
+    with pytest.raises(Exception, match="no pod policy covers"):
         D.share_pod_budget(demand(spark, [(datetime(2024, 1, 1), "x", 1)]), 12).collect()
     with pytest.raises(ValueError, match="pod_budget"):
         D.share_pod_budget(all_at_most(spark), 0)

@@ -44,7 +44,7 @@ def test_nested_split_and_limits(two_series):
 
 
 def test_empty_folds_are_errors(two_series):
-    with pytest.raises(Exception, match="empty train or holdout"):
+    with pytest.raises(Exception, match="left without rows"):
         X.with_fold(two_series, series=["service"], holdout_ratio=0.9).collect()
     for ratio in (0, 1):
         with pytest.raises(ValueError, match="between 0 and 1"):

@@ -240,7 +240,7 @@ def test_recursive_forecast_checks_its_bounds(spark):
     models = spark.createDataFrame([("a",)], "service string")
     with pytest.raises(ValueError, match="greater than 0"):
         recursive_forecast(rows, models, linear_stepper({(1, 0): 1.0}), series=["service"], columns=["y"], length=0)
-    with pytest.raises(Exception, match="holdout_start must be >= sequence_length"):
+    with pytest.raises(Exception, match="rows before it"):
         recursive_forecast(rows, models, linear_stepper({(2, 0): 1.0}), series=["service"], columns=["y"], length=2).collect()
 
 

@@ -37,7 +37,7 @@ def test_best_model_overall_and_per_group_agree_with_the_ranking(spark):
     assert (best["model"], best["selection_rule"]) == ("y", fixed.SELECTION_RULE)
     per = R.best_model(df.withColumn("service", F.lit("s")), by=["service"]).first()
     assert (per["model"], per["rank"], per["service"]) == ("y", 1, "s")
-    with pytest.raises(ValueError, match="No models ranked"):
+    with pytest.raises(ValueError, match="no model to choose from"):
         R.ensure_not_empty(R.rank_models(df.limit(0)))
     assert {r["model"] for r in R.model_subset(df, ["x", "q"]).collect()} == {"x"}
 
@@ -85,3 +85,12 @@ def test_additive_space(spark):
 
 def test_names():
     assert tuning.tuned_name("gru") == "gru_tuned"
+
+
+def test_nan_is_worse_than_any_number_in_ranking_and_choice(spark):
+    nan = float("nan")
+    rows = [("nan_accuracy", 0.1, nan, 0.0, 0.0), ("fine", 0.1, 0.2, 0.0, 0.0), ("nan_under", 0.0, 1.0, nan, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert order(spark, *rows) == ["fine", "nan_accuracy", "nan_under"]
+    per = R.best_model(df.withColumn("service", F.lit("s")), by=["service"]).first()
+    assert per["model"] == R.best_model(df).first()["model"] == "fine"
