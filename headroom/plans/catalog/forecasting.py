@@ -11,8 +11,7 @@ from headroom.operators import evaluation, features, ordering, tuning
 from headroom.operators.forecast import additive, recurrent
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.forecast.frames import floor_zero, prediction_frame
-from headroom.operators.forecast.linear import linear_stepper
-from headroom.operators.forecast.recursion import recursive_forecast
+from headroom.operators.forecast.linear import forecast_linear
 from headroom.plans import runs
 from headroom.plans.catalog import sql as S
 from headroom.plans.catalog.calendar import landfalls
@@ -106,9 +105,8 @@ def recursive(spark, sf_dir):
     placed = ordering.with_position(df, series=["service"], step=HOUR)
     start = F.floor(F.col("n").cast("double") * F.lit(1 - 0.2)).cast("bigint")
     rows = placed.withColumn("start", start)
-    models = placed.select("service").distinct()
-    stepper = linear_stepper({(1, 0): 0.6, (2, 0): 0.3, (1, 1): 0.25}, constant=1.0)
-    out = recursive_forecast(rows, models, stepper, series=["service"], columns=["y", "hour"], length=2)
+    weights = {(1, 0): 0.6, (2, 0): 0.3, (1, 1): 0.25}
+    out = forecast_linear(rows, weights, 1.0, series=["service"], columns=["y", "hour"])
     return rounded(out.select("service", "ds", F.col("y").alias("predicted")), ["predicted"], 6)
 
 

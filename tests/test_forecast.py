@@ -11,7 +11,7 @@ from headroom.operators.features import SeasonalOrder
 from headroom.operators.forecast import additive, cells, gram, recurrent, seasonal_ar
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.forecast.frames import prediction_frame
-from headroom.operators.forecast.linear import linear_stepper
+from headroom.operators.forecast.linear import forecast_linear, linear_stepper
 from headroom.operators.forecast.recursion import recursive_forecast
 
 
@@ -253,3 +253,20 @@ def test_prediction_frame_matches_one_to_one(spark):
     for wrong in (predicted.limit(1), predicted.union(predicted)):
         with pytest.raises(Exception, match="one to one"):
             prediction_frame(holdout, wrong, "test").collect()
+
+
+@pytest.mark.parametrize("rows_per_round", [2_000, 7])
+def test_linear_recursion_needs_no_python(spark, rows_per_round):
+    n, rng = 40, np.random.default_rng(8)
+    data = [(s, i + 1, 25 + 3 * (s == "b"), float(rng.normal()), float(rng.normal())) for s in "ab" for i in range(n)]
+    rows = spark.createDataFrame(data, "service string, rn long, start long, y double, x double").withColumn("n", F.lit(n).cast("long"))
+    rows = ntz(rows.withColumn("ds", F.timestamp_seconds(F.col("rn") * 3600)))
+    weights = {(1, 0): 0.5, (3, 0): -0.2, (2, 1): 0.7}
+    found = forecast_linear(rows, weights, 0.3, series=["service"], columns=["y", "x"], rows_per_round=rows_per_round)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    models = rows.select("service").distinct()
+    want = recursive_forecast(rows, models, linear_stepper(weights, 0.3), series=["service"], columns=["y", "x"], length=3)
+    a, b = (df.orderBy("service", "rn").toPandas() for df in (found, want))
+    assert "Python" not in plan and "Pandas" not in plan and len(a) == 15 + 12
+    assert a["service"].tolist() == b["service"].tolist() and a["rn"].tolist() == b["rn"].tolist() and a["ds"].tolist() == b["ds"].tolist()
+    np.testing.assert_allclose(a["y"], b["y"], atol=1e-12)
