@@ -45,11 +45,17 @@ def archive(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """``page_id, file, number, offset, length, record`` of every page.
 
     Pages with neighbouring ids share a file, in the order of id and record; equal rows are records of their
-    own. Pages without an id are spread by hash over files with negative numbers.
+    own, and those without an id are in file -1. Rows of an id that alone would overfill a file are
+    spread by hash over files with smaller numbers, as many as they fill.
     """
-    rows = pages.select("page_id", record_text().alias("record"))
-    spread = F.lit(-1) - F.pmod(F.xxhash64("record"), F.lit(1 << 40))
-    file = F.coalesce(F.floor(F.col("page_id") / F.lit(per_file)), spread).cast("long")
+    rows = pages.select("page_id", record_text().alias("record"), F.monotonically_increasing_id().alias("row"))
+    crowded = settle(pages.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > per_file))
+    files = -(-(crowded.agg(F.sum("n")).first()[0] or 0) // per_file)
+    file = F.coalesce(F.floor(F.col("page_id") / F.lit(per_file)), F.lit(-1)).cast("long")
+    if files:
+        known = crowded.select(F.col("page_id").alias("crowded_id"), F.lit(True).alias("crowded"))
+        rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("crowded_id")), "left")
+        file = F.when(F.col("crowded"), F.lit(-2) - F.pmod(F.xxhash64("row"), F.lit(files))).otherwise(file)
     in_file = Window.partitionBy("file").orderBy("page_id", "record")
     length = F.octet_length("record") + F.lit(len(END))
     placed = rows.withColumn("file", file).withColumn("length", length.cast("long"))

@@ -60,3 +60,14 @@ def test_empty_tables(spark, pages):
     assert fixity.audit(none, none).count() == 0
     some = fixity.archive(pages, per_file=30)
     assert {r.state for r in fixity.audit(some, none).collect()} == {"gone"}
+
+
+@pytest.mark.parametrize("crowded_id", [5, None])
+def test_an_id_with_very_many_rows_fills_several_files(spark, crowded_id):
+    rows = [(crowded_id, "u", "the same page")] * 400 + [(i, "u", str(i)) for i in range(40)]
+    records = fixity.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), per_file=30)
+    sizes = {r.file: r["count"] for r in records.groupBy("file").count().collect()}
+    spread = {f: n for f, n in sizes.items() if f < -1}
+    assert sum(spread.values()) == 400 + (crowded_id is not None) and len(spread) > 10 and max(spread.values()) < 90
+    assert sorted(n for f, n in sizes.items() if f >= 0) == [10, 30 - (crowded_id is not None)]
+    assert {r.state for r in fixity.audit(records, records).collect()} == {"same"}
