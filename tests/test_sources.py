@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
 from headroom.functions.clock import HOUR
-from headroom.operators import features, ranking
+from headroom.operators import features, ranking, tuning
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.sizing import DEFAULT_SERVICE_POLICIES
 from headroom.plans import runs
@@ -138,3 +138,13 @@ def test_tuning_run_is_written_whole(spark, tmp_path, service_rows):
     assert results.read_record(spark, summary["best_params_path"])["dropout"] == 0.0
     assert spark.read.parquet(summary["trials_path"]).where("state = 'FAIL'").count() == 2
     assert summary["tuned_metrics"]["base_model"] == "gru"
+
+
+def test_the_trial_with_the_best_mean_is_the_written_one(spark, tmp_path):
+    rows = [("x", 0, 0.10, 0.5), ("x", 1, 0.30, 0.7), ("y", 0, 0.90, 0.5), ("y", 1, 0.30, 0.7)]
+    table = spark.createDataFrame(rows, "service string, trial int, score double, factor double")
+    table = table.selectExpr("*", "'COMPLETE' AS state", "CAST(NULL AS STRING) AS error")
+    best = tuning.best_overall(table).first()
+    summary = results.write_tuning_outputs("model", table, ["factor"], str(tmp_path), chosen=best.asDict())
+    assert (best["trial"], summary["best_trial"], summary["best_objective_score"]) == (1, 1, 0.30)
+    assert results.read_record(spark, summary["best_params_path"]) == {"factor": 0.7}
