@@ -13,11 +13,11 @@ The stream is cut in blocks of bounded size; the last windows of a block are dec
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,43 @@ _SEGMENT = 1 << 22
 _END_WORD = b" "  # no word of a text
 
 
-class Words:
-    """Token ids of texts by way of their words.
+def _class(test) -> str:
+    """Characters up to U+00FF of a kind, for use inside brackets."""
+    return "".join(f"\\x{i:02x}" for i in range(256) if test(chr(i)))
+
+
+_LETTERS = _class(lambda c: unicodedata.category(c)[0] == "L")
+_NUMBERS = _class(lambda c: unicodedata.category(c)[0] == "N")
+_SPACES = r"\t\n\x0b\x0c\r\x20\x85\xa0"
+#: How the vocabulary cuts a text: letters, single numbers, English endings, runs of other signs.
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
+_LOWER = bytes(ord(chr(i).lower()) for i in range(256))
+_CHUNK = re.compile(r"[^\x20\x09-\x0d]+")
+
 
-    The vocabulary splits at white space before anything else, so ids of a text are the ids of its words in a
-    row. Words met before are looked up; the table starts anew when it is full.
+def _cut(text: str) -> list[bytes | str]:
+    """What the vocabulary encodes on its own: pieces in Latin-1, whole chunks between blanks where that is not enough.
+
+    Up to U+00FF case and composition are settled per character, so the cut is a pattern over bytes.
+    Chunks with other characters, or with what could be a special string, are left to the library.
     """
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        data = None
+    if data is not None and b"<|" not in data:
+        return _PIECES.findall(data.translate(_LOWER))
+    out: list[bytes | str] = []
+    for chunk in _CHUNK.findall(text):
+        try:
+            out += [chunk] if "<|" in chunk else _PIECES.findall(chunk.encode("latin-1").translate(_LOWER))
+        except UnicodeEncodeError:
+            out.append(chunk)
+    return out
+
+
+class Words:
+    """Token ids of texts by way of their pieces, each encoded once until the table is full and starts anew."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -55,71 +86,47 @@ class Words:
         ends = [i for name, i in names.items() if name.endswith("</w>") and name[:-4] and name[-5] in ".!?"]
         self.ends_sentence = np.zeros(max(names.values()) + 1, bool)
         self.ends_sentence[ends] = True
-        self.ends_run = np.zeros(len(self.ends_sentence), bool)
-        self.ends_run[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.signs: dict[str, list[int]] = {"": []}
+        self.ends_piece = np.zeros(len(self.ends_sentence), bool)
+        self.ends_piece[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {_END_WORD: 0}
-        self.letters: dict[str, list[int]] = {}
+        self.number: dict[bytes | str, int] = {_END_WORD: 0}
         self.pool, self.used = np.full(1 << 20, END, np.uint32), 1
         self.starts, self.sizes = np.zeros(_WORDS_KEPT, np.int64), np.zeros(_WORDS_KEPT, np.int64)
         self.sizes[0] = 1
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids per word. Most words are letters and signs after them, which the vocabulary takes apart.
-
-        Letters are encoded once in lower case, many at a time: the last id of each run of letters
-        is marked as one. This holds up to U+00FF, where case and composition are settled per
-        character; other words are encoded as they are.
-        """
-        split, whole, new = [], [], {}
-        for word in words:
-            text = word.decode()
-            letters = text.rstrip(punctuation)
-            if letters.isalpha() and max(letters) < "\u0100":
-                low = letters.lower()
-                split.append((low, text[len(letters) :]))
-                if low not in self.letters:
-                    new[low] = None
-            else:
-                split.append((None, len(whole)))
-                whole.append(text)
-        signs = {tail for low, tail in split if low is not None and tail and tail not in self.signs}
-        for text, found in zip(signs, self.tokenizer.encode_batch_fast(list(signs), add_special_tokens=False)):
-            self.signs[text] = found.ids
-        fresh = list(new)
-        for begin in range(0, len(fresh), _TOGETHER):
-            some = fresh[begin : begin + _TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.ends_run[ids]) + 1
-            self.letters.update(zip(some, (x.tolist() for x in np.split(ids, ends[:-1]))))
-        others = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        return [others[tail] if low is None else self.letters[low] + self.signs[tail] for low, tail in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self._encode(words)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first, need = len(self.number), self.used + int(sizes.sum())
+    def _learn(self, pieces: list[bytes], chunks: list[str]) -> None:
+        """Pieces are encoded many at a time: the last id of each is marked as one."""
+        parts, sizes = [], []
+        for begin in range(0, len(pieces), _TOGETHER):
+            text = b" ".join(pieces[begin : begin + _TOGETHER]).decode("latin-1")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            parts.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends_piece[ids]), prepend=-1))
+        for found in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            parts.append(np.array(found.ids, np.uint32))
+            sizes.append(np.array([len(found)]))
+        ids, size = np.concatenate(parts), np.concatenate(sizes)
+        first, count, need = len(self.number), len(size), self.used + len(ids)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(need, np.uint32)])
-        if first + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(first + len(words), np.int64)]) for x in (self.starts, self.sizes))
-        self.pool[self.used : need] = list(chain.from_iterable(encoded))
-        self.sizes[first : first + len(words)] = sizes
-        self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.number.update(zip(words, range(first, first + len(words))))
+        if first + count > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(first + count, np.int64)]) for x in (self.starts, self.sizes))
+        self.pool[self.used : need] = ids
+        self.sizes[first : first + count] = size
+        self.starts[first : first + count] = self.used + np.cumsum(size) - size
+        self.number.update(zip([*pieces, *chunks], range(first, first + count)))
         self.used = need
 
-    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, words: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each word has."""
-        unknown = {w for w in words if w not in self.number}
+        unknown = set(words) - self.number.keys()
         if len(self.number) + len(unknown) > _WORDS_KEPT and len(self.number) > 1:
             self._clear()
-            unknown = {w for w in words if w not in self.number}
+            unknown = set(words) - self.number.keys()
         if unknown:
-            self._learn(list(unknown))
+            self._learn([w for w in unknown if isinstance(w, bytes)], [w for w in unknown if isinstance(w, str)])
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         size = self.sizes[at]
         total = np.cumsum(size)
@@ -128,17 +135,18 @@ class Words:
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text with the end mark; a null text is empty. Long texts are taken in segments."""
         if len(texts) == 1 and len(texts[0] or "") > _SEGMENT:
-            data, parts, begin = texts[0].encode(), [], 0
-            while len(data) - begin > _SEGMENT:
-                cut = max(data.rfind(blank, begin, begin + _SEGMENT) for blank in (b" ", b"\n"))
-                cut = cut if cut > begin else len(data)
-                parts.append(data[begin:cut])
+            text, found, begin = texts[0], [], 0
+            while begin < len(text):
+                cut = len(text)
+                if cut - begin > _SEGMENT:
+                    cut = max(text.rfind(blank, begin, begin + _SEGMENT) for blank in (" ", "\n"))
+                    cut = cut if cut > begin else len(text)
+                found.append(self._look_up([*_cut(text[begin:cut]), _END_WORD])[0][:-1])
                 begin = cut
-            found = [self._look_up([*part.split(), _END_WORD])[0][:-1] for part in [*parts, data[begin:]]]
             return [np.concatenate([*found, np.array([END], np.uint32)])]
         words, ends = [], []
         for text in texts:
-            words += (text or "").encode().split()
+            words += _cut(text or "")
             words.append(_END_WORD)
             ends.append(len(words))
         ids, sizes = self._look_up(words)

@@ -127,3 +127,14 @@ def test_run_and_registered_queries(spark, sf_dir):
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
     assert corpus_pipeline.run(spark, sf_dir).agg(F.sum("length")).first()[0] > 0
+
+
+def test_ids_of_odd_texts(vocabulary):
+    rng = np.random.default_rng(6)
+    odd = ["a", "B", "é", "É", "ß", "µ", "ª", "²", "½", "7", "'", "'s", "'RE", "s", "t", ".", "!", "_", "-", "\x1c", "\x00", "\x7f", "\xa0", "\x85", " ",
+           "\n", "\t", "Œ", "ł", "ж", "İ", "Σ", "é", "́", "ﬁ", "中", " ", "<|", "<|endoftext|>", "👍🏽", "×", "÷", "\xad"]
+    texts = ["".join(rng.choice(odd, rng.integers(0, 14))) for _ in range(5000)]
+    tokenizer = Tokenizer.from_str(vocabulary)
+    words = packing.Words(vocabulary)
+    for text, ids in zip(texts, words.ids(texts)):
+        assert [*tokenizer.encode(text, add_special_tokens=False).ids, 2] == ids.tolist(), repr(text)
