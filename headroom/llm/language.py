@@ -74,9 +74,10 @@ def _normalised(found: np.ndarray) -> np.ndarray:
     return found.astype(np.float32) / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
-def train(rows: list[tuple[str, np.ndarray]]) -> Model:
+def train(rows: list[tuple[str, bytes]]) -> Model:
     """Kernel ridge regression on landmarks: the first texts of each language.
 
+    ``rows`` has a language and the packed bits of a presence vector; a block of them is unpacked at a time.
     Languages weigh the same, however many texts they have. Equal scores go to the language
     that sorts first.
     """
@@ -84,16 +85,23 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
     labels = np.array([languages.index(name) for name, _ in rows])
-    x = _normalised(np.stack([found for _, found in rows]))
+
+    def vectors(at: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(b"".join(rows[i][1] for i in at), np.uint8).reshape(len(at), -1)
+        return _normalised(np.unpackbits(bits, axis=1))
+
     marks = np.concatenate([np.flatnonzero(labels == i)[:LANDMARKS_PER_LANGUAGE] for i in range(len(languages))])
-    landmarks = x[marks]
-    kernel = (x @ landmarks.T).astype(np.float64)
+    landmarks = np.empty((len(marks), 1 << BITS), np.float32)
+    for begin in range(0, len(marks), _TEXTS):
+        landmarks[begin : begin + _TEXTS] = vectors(marks[begin : begin + _TEXTS])
+    blocks = np.array_split(np.arange(len(rows)), -(-len(rows) // _TEXTS))
+    kernel = np.concatenate([vectors(part) @ landmarks.T for part in blocks]).astype(np.float64)
     among = (landmarks @ landmarks.T).astype(np.float64)
     weight = 1 / np.bincount(labels)[labels]
     target = 2.0 * (labels[:, None] == np.arange(len(languages))) - 1
     left = kernel.T @ (weight[:, None] * kernel) + RIDGE * among + 1e-6 * np.eye(len(marks))
     coefficients = np.linalg.solve(left, kernel.T @ (weight[:, None] * target))
-    return Model(languages, (landmarks.T @ coefficients).astype(np.float32))
+    return Model(languages, landmarks.T @ coefficients.astype(np.float32))
 
 
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -126,7 +134,7 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
         own = taken.setdefault(row["lang"], [])
         if len(own) < per_language:
             own.append((row["place"], bytes(row["found"])))
-    return train([(name, np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool)) for name in sorted(taken) for _, f in sorted(taken[name])])
+    return train([(name, found) for name in sorted(taken) for _, found in sorted(taken[name])])
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
