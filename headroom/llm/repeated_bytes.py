@@ -186,7 +186,8 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, kind = np.cumsum(new_anchor) - 1, np.cumsum(new_class) - 1
             many = (np.bincount(number[new_class]) > 1)[number]
             several = (np.bincount(kind) > 1)[kind]
-            hot = np.isin(rows[0], marked) | over
+            crowded = (np.bincount(number) > HOT_ROWS)[number]  # also where the batch holds the whole group
+            hot = np.isin(rows[0], marked) | crowded | over
             add(several, REPEAT, rows)
             add(new_class & hot, HOT, rows)
             add(new_class & ~hot & many & ~several, INDEX, rows)
@@ -267,7 +268,7 @@ class _Shard:
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``anchor, doc, place, count`` of windows that occur elsewhere."""
     names = ["anchor", "doc", "place", "count"]
-    shard, last = _Shard(), None
+    shard, last, anchor = _Shard(), None, None
 
     def runs(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         if found:
@@ -280,9 +281,13 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if text.any():
             own = [c[text] for c in rows]
             own = [c[_first_of_runs(own[0], own[3], own[4])] for c in own]
+            if own[0][0] != anchor:  # an anchor's parts stay in one index
+                if shard.size >= INDEX_BYTES:
+                    yield from runs(shard.release())
+            elif shard.rows[-1][:2] == (own[3][0], own[4][0]):  # a document given twice, at the end of a part
+                own = [c[1:] for c in own]
+            anchor = rows[0][text][-1]
             shard.add(own[3], own[4], own[5], own[6])
-            if shard.size >= INDEX_BYTES:
-                yield from runs(shard.release())
         out = [tuple(rows[i][state == REPEAT] for i in (3, 4))]
         rows = [c[state == HOT] for c in rows]
         rows = [c[_first_of_runs(*rows[:5])] for c in rows]

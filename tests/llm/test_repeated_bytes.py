@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from headroom.llm import repeated_bytes
@@ -92,3 +94,36 @@ def test_matching_statistics():
         if places:
             want = [max([shared(x, y) for y in places if y != x], default=0) for x in places]
             assert RunLengthIndex(texts).matching_statistics().tolist() == want
+
+
+def batch(names, rows):
+    kinds = [pa.binary() if name == "body" else pa.int64() for name in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def test_crowded_anchors_are_hot_wherever_batches_end():
+    crowd = repeated_bytes.HOT_ROWS + 1
+    names = repeated_bytes._ROW
+    mask = (1 << repeated_bytes._STATE_BITS) - 1
+    of = [(a, c, c, c, repeated_bytes.OPEN, 1) for a, n in ((1, crowd), (2, repeated_bytes.HOT_ROWS), (3, 1)) for c in range(n)]
+    for cuts in ([], [crowd + 7], [500, 1_600]):
+        edges = [0, *cuts, len(of)]
+        parts = [batch(names, of[a:b]) for a, b in zip(edges, edges[1:])]
+        out = pa.Table.from_batches(list(repeated_bytes._decide(iter(parts))))
+        states = Counter((a, p & mask) for a, p in zip(out["anchor"].to_pylist(), out["place"].to_pylist()))
+        assert states == {(1, repeated_bytes.HOT): crowd, (2, repeated_bytes.INDEX): repeated_bytes.HOT_ROWS}
+
+
+def test_parts_of_an_anchor_meet_in_one_index():
+    rng = random.Random(3)
+    count = 2 * repeated_bytes.HOT_ROWS
+    bodies = [rng.randbytes(410) for _ in range(count)]
+    bodies[-1] = b"x" + bodies[0][:400] + bodies[-1][:9]
+    assert sum(map(len, bodies)) > repeated_bytes.INDEX_BYTES
+    of = [(1, 0, 0, d, repeated_bytes.INDEX, 11, b) for d, b in enumerate(bodies)]
+    edge = repeated_bytes.HOT_ROWS + 200
+    of = of[:edge] + of[edge - 1 :]  # one document is given twice, on both sides of the cut
+    parts = [batch([*repeated_bytes._ROW, "body"], p) for p in (of[:edge], of[edge:])]
+    out = pa.Table.from_batches(list(repeated_bytes._match(iter(parts))))
+    found = sorted(zip(out["doc"].to_pylist(), (np.array(out["place"]) >> repeated_bytes._STATE_BITS).tolist(), out["count"].to_pylist()))
+    assert found == [(0, 0, 1), (count - 1, 1, 1)]
