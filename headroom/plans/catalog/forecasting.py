@@ -25,7 +25,6 @@ from headroom.plans.traffic import (
 )
 from headroom.session import settle
 
-TRIALS = 4
 PARAMS = RecurrentParams()
 
 
@@ -116,23 +115,15 @@ def framed(spark, sf_dir):
     return prediction_frame(holdout, predictions.select("ds", "service", "predicted"), "naive", keys=["ds", "service"])
 
 
-# Small recurrent trials, so that the query stays short; the last asks for more history than there is.
-SEQUENCE_TRIALS = {
-    0: RecurrentParams(sequence_length=12, hidden_size=16, learning_rate=0.02, epochs=6),
-    1: RecurrentParams(sequence_length=24, hidden_size=16, epochs=4, num_layers=2, dropout=0.2, weight_decay=1e-4),
-    2: RecurrentParams(sequence_length=24, hidden_size=32, learning_rate=0.03, epochs=8, batch_size=0, gradient_clip=1.0),
-    3: RecurrentParams(sequence_length=5000, hidden_size=16, epochs=2),
-}
-
-
 def tune_sequence(spark, sf_dir):
     df = services_in_folds(spark, sf_dir, validation_ratio=0.2)
-    return tuning.tune_recurrent(df, "gru", SEQUENCE_TRIALS, series=["service"], step=HOUR)
+    drawn = tuning.read_trials(tuning.sequence_space(spark), RecurrentParams)
+    return tuning.tune_recurrent(df, "gru", drawn, series=["service"], step=HOUR)
 
 
 def tune_additive(spark, sf_dir):
     df = suppliers_in_folds(spark, sf_dir, validation_ratio=0.2)
-    drawn = tuning.read_trials(tuning.additive_space(spark, TRIALS), additive.AdditiveParams)
+    drawn = tuning.read_trials(tuning.additive_space(spark), additive.AdditiveParams)
     return tuning.tune_additive(df, drawn, series=["supplier"])
 
 

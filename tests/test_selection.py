@@ -9,6 +9,7 @@ from headroom.operators import trials as T
 from headroom.operators import tuning
 from headroom.operators.forecast.additive import AdditiveParams
 from headroom.operators.forecast.cells import RecurrentParams
+from headroom.plans.catalog import forecasting
 
 SCHEMA = "model string, smape double, pod_accuracy double, under_provisioning_rate double, over_provisioning_rate double"
 
@@ -94,3 +95,16 @@ def test_nan_is_worse_than_any_number_in_ranking_and_choice(spark):
     assert order(spark, *rows) == ["fine", "nan_accuracy", "nan_under"]
     per = R.best_model(df.withColumn("service", F.lit("s")), by=["service"]).first()
     assert per["model"] == R.best_model(df).first()["model"] == "fine"
+
+
+def test_registered_searches_draw_the_whole_space(spark, monkeypatch):
+    searched = {}
+    monkeypatch.setattr(forecasting, "services_in_folds", lambda *a, **b: None)
+    monkeypatch.setattr(forecasting, "suppliers_in_folds", lambda *a, **b: None)
+    monkeypatch.setattr(tuning, "tune_recurrent", lambda df, cell, chosen, **b: searched.update(sequence=chosen))
+    monkeypatch.setattr(tuning, "tune_additive", lambda df, chosen, **b: searched.update(additive=chosen))
+    forecasting.tune_sequence(spark, "")
+    forecasting.tune_additive(spark, "")
+    assert len(searched["sequence"]) == 30 and len(searched["additive"]) == 20
+    assert searched["sequence"] == tuning.read_trials(tuning.sequence_space(spark), RecurrentParams)
+    assert searched["additive"] == tuning.read_trials(tuning.additive_space(spark), AdditiveParams)
