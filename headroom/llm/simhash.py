@@ -182,6 +182,19 @@ def links(prints: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     return united.distinct()
 
 
+def _grouped(docs: DataFrame, most: int) -> DataFrame:
+    """``fingerprint, root, component_id`` next to all columns but ``text``; components are told apart by ``root``."""
+    kept = [f"row.{c}" for c in docs.columns if c != "text"]
+    prints = settle(with_fingerprint(docs).select(*kept, "fingerprint"))
+    distinct = settle(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
+    roots = components(settle(links(distinct.select("fp"), most)))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = settle(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = settle(rooted.join(ids, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id"))
+    return prints.join(classes, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -190,25 +203,23 @@ def near_duplicates(docs: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
     like others. Rows that repeat an id keep their rows; null ids get results but are never
     the smallest id, unless a component has no other (then it is null).
     """
-    prints = settle(with_fingerprint(docs.select("doc_id", "text")).select("row.doc_id", "fingerprint"))
-    distinct = settle(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
-    roots = components(settle(links(distinct.select("fp"), most)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = settle(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = settle(rooted.join(ids, "root").select(F.col("fp").alias("fingerprint"), "component_id"))
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return _grouped(docs.select("doc_id", "text"), most).select("doc_id", "fingerprint", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Of rows that repeat an id one stays. A group without any id keeps its different texts.
+    Of rows of the group that repeat this id the one with the least hash stays, of the text first, then
+    of the whole row. A group without any id keeps its different texts.
     """
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id"))
+    whole = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = _grouped(docs.select("doc_id", "text", F.xxhash64("text").alias("own"), whole.alias("whole")), MOST_IN_BUCKET)
+    least = found.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id").agg(F.min(F.struct("own", "whole")).alias("least"))
+    stay = least.select(F.col("doc_id").alias("stay_id"), F.col("least.own").alias("stay_own"), F.col("least.whole").alias("stay_whole"))
     rows = with_row(docs, "doc_id").where("doc_id IS NOT NULL")
-    named = rows.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"]).select("row")
+    rows = rows.withColumns({"own": F.xxhash64("row.text"), "whole": F.xxhash64("row")})
+    same = (F.col("doc_id") == F.col("stay_id")) & (F.col("own") == F.col("stay_own")) & (F.col("whole") == F.col("stay_whole"))
+    named = rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "own", "whole"]).select("row")
     alone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("stay_print"))
     nameless = with_fingerprint(docs.where("doc_id IS NULL")).join(alone, F.col("fingerprint") == F.col("stay_print"), "left_semi")
     nameless = nameless.withColumn("own", F.md5("row.text")).dropDuplicates(["own"]).select("row")

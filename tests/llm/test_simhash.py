@@ -81,3 +81,13 @@ def test_representatives(rows):
     twice = simhash.representatives(rows(text, text, None, ids=[1, 1, 5]))
     assert sorted(r.doc_id for r in twice.collect()) == [1, 5]
     assert simhash.near_duplicates(rows(ids=[])).count() == 0
+
+
+def test_each_group_keeps_one_row_where_ids_repeat(rows):
+    shared, clean = "some words that repeat here", "entirely different words over there"
+    one, two = "the first text of an id", "and another that is nothing like it"
+    docs = rows(shared, shared, clean, one, two, "Same Print Here", "same print here", ids=[3, 9, 9, 7, 7, 5, 5])
+    kept = [sorted((r.doc_id, r.text) for r in simhash.representatives(docs.orderBy(order)).collect()) for order in ("text", docs.text.desc())]
+    assert kept[0] == kept[1]
+    assert [k for k in kept[0] if k[0] != 5] == [(3, shared), (7, two), (7, one), (9, clean)]
+    assert sum(k[0] == 5 for k in kept[0]) == 1
