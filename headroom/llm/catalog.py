@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, fixity, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash
+from headroom.llm import decontaminate, fixity, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash, whitening
 from headroom.llm.common import is_held_out, table
 
 
@@ -91,6 +91,19 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        F.col("row.vec_id").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_fixity": op2_warc_fixity,
@@ -102,6 +115,7 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: Records in files of 1024 ids, hashed, then hashes of 16 neighbours with their range, three times.
