@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, fixity, language, packing, personal_data, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash, whitening
+from headroom.llm import decontaminate, fixity, language, packing, personal_data, prefix_trie, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash, whitening
 from headroom.llm.common import is_held_out, table
 
 
@@ -91,6 +91,11 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = prefix_trie.rebuilt(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, conversations)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select(
@@ -115,6 +120,7 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -200,7 +206,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL}
+#: Paths by sums over prefixes written as text; a node's subtree is found over the paths of smallest members.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS position, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS first,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM turns
+), lengths AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT ids.conv_id, position, role, text FROM ids JOIN turns ON turns.conv_id = first AND position <= h
+), paths AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT ids.conv_id, least(h, coalesce(n, 0)) + position - h, role, text
+  FROM ids JOIN turns USING (conv_id) LEFT JOIN lengths ON lengths.conv_id = first WHERE position > h
+), keyed AS (
+  SELECT conv_id, position AS depth, strlen(text) AS bytes,
+    string_agg(sha256(role || chr(1) || text), ',') OVER (PARTITION BY conv_id ORDER BY position) AS path
+  FROM paths
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS weight FROM keyed GROUP BY path
+), kids AS (
+  SELECT above.path, count(*) AS n_children FROM nodes JOIN keyed AS above ON above.conv_id = nodes.conv_id AND above.depth = nodes.depth - 1 GROUP BY above.path
+), parents AS (
+  SELECT nodes.path, up.conv_id AS parent_conv_id
+  FROM nodes JOIN keyed AS above ON above.conv_id = nodes.conv_id AND above.depth = nodes.depth - 1 JOIN nodes AS up ON up.path = above.path
+), subtrees AS (
+  SELECT above.path, sum(weight) AS saved, count(*) FILTER (WHERE kids.path IS NULL) AS n_leaves
+  FROM nodes JOIN keyed AS above ON above.conv_id = nodes.conv_id AND above.depth <= nodes.depth LEFT JOIN kids ON kids.path = nodes.path
+  GROUP BY above.path
+), last AS (SELECT conv_id, max(depth) AS depth FROM keyed GROUP BY conv_id
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM keyed JOIN last USING (conv_id, depth) GROUP BY path
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes JOIN subtrees USING (path) LEFT JOIN kids USING (path) LEFT JOIN parents USING (path) LEFT JOIN ends USING (path)
+"""
+
+ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 def queries():
