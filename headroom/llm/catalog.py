@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, fixity, language, packing, personal_data, prefix_trie, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash, whitening
+from headroom.llm import decontaminate, fixity, language, minhash, packing, personal_data, prefix_trie, quality_classifier, quality_rules, repeated_bytes, repeated_passages, simhash, whitening
 from headroom.llm.common import is_held_out, table
 
 
@@ -96,6 +96,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, conversations)
 
 
+def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select(
@@ -121,6 +125,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash_neardup": op10_simhash_neardup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_minhash_neardup": op12_minhash_neardup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -249,7 +254,34 @@ SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_chi
 FROM nodes JOIN subtrees USING (path) LEFT JOIN kids USING (path) LEFT JOIN parents USING (path) LEFT JOIN ends USING (path)
 """
 
-ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op3_decontamination": OP3_SQL, "op11_prefix_trie": OP11_SQL}
+#: Sets of shingles, one row per shingle; similar pairs over common shingles; what they reach.
+OP12_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, s
+  FROM (SELECT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i : i + 1], ' '))) AS s FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_warc_fixity": OP2_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_minhash_neardup": OP12_SQL,
+}
 
 
 def queries():
