@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -80,35 +81,43 @@ def bands(elements: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.ndar
     return keys
 
 
-_PRINT = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, packed binary"
+_PRINT = "doc_id bigint, n_shingles bigint, node decimal(38,0), bands array<bigint>, packed binary"
+
+
+def _number(elements: np.ndarray) -> Decimal:
+    """126 bits of hash of a set, as a number that fits a decimal."""
+    return Decimal(int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=16).digest(), "big") >> 2)
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """Per row its set's size, 128-bit key and bands, and the packed text; sets without shingles have no bands."""
+    """Per row its set's size, number and bands, and the packed text; sets without shingles have no bands."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of(batch, "text", _TEXT_BYTES):
-                known: dict[bytes, list[int]] = {}  # copies near each other have one signature
-                sizes, keys, found, texts = [], [], [], []
+                known: dict[Decimal, list[int]] = {}  # copies near each other have one signature
+                sizes, nodes, found, texts = [], [], [], []
                 for text in part.column("text").to_pylist():
                     raw = (text or "").encode()
                     elements = shingles(raw)
-                    key = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
-                    if key not in known:
-                        known[key] = bands(elements).view(np.int64).tolist() if len(elements) else []
+                    node = _number(elements)
+                    if node not in known:
+                        known[node] = bands(elements).view(np.int64).tolist() if len(elements) else []
                     sizes.append(len(elements))
-                    keys.append(key)
-                    found.append(known[key])
+                    nodes.append(node)
+                    found.append(known[node])
                     texts.append(pack(raw))
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.decimal128(38, 0))]
                 columns += [pa.array(found, pa.list_(pa.int64())), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "bands", "packed"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "bands", "packed"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(convert, _PRINT).withColumn("row", F.monotonically_increasing_id())
 
 
+_LINK = "a decimal(38,0), b decimal(38,0)"
+
+
 # comparing ---------------------------------------------------------------------------------------------
 
 
@@ -134,7 +143,7 @@ def _compare_with_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             elif similar(len(np.intersect1d(centre, elements, assume_unique=True)), len(centre), len(elements)):
                 links.append((a, node))
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.decimal128(38, 0)) for c in zip(*links)], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -147,7 +156,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = placed.join(own, F.col("b") == F.col("node")).withColumn("place", F.lit(1))
     columns = ["a", "chunk", "place", "node", "packed"]
     met = centres.select(columns).unionByName(members.select(columns)).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "place")
-    return met.mapInArrow(_compare_with_centre, "a bigint, b bigint")
+    return met.mapInArrow(_compare_with_centre, _LINK)
 
 
 def in_common(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,7 +203,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             sizes = np.array([len(s) for s in sets])
             found = spanning(similar(in_common(sets), sizes[:, None], sizes[None, :]))
             if found:
-                columns = [pa.array([nodes[pair[i]] for pair in found], pa.int64()) for i in (0, 1)]
+                columns = [pa.array([nodes[pair[i]] for pair in found], pa.decimal128(38, 0)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
     for batch in batches:
@@ -217,7 +226,7 @@ def _verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = dealt.select("bucket", "node", "own", other)
     dealt = dealt.select("bucket", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     met = dealt.join(texts.select("node", "packed"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return met.select("bucket", "i", "j", "node", "packed").mapInArrow(_compare_blocks, "a bigint, b bigint")
+    return met.select("bucket", "i", "j", "node", "packed").mapInArrow(_compare_blocks, _LINK)
 
 
 # buckets -----------------------------------------------------------------------------------------------
@@ -251,12 +260,26 @@ def _distinct_buckets(members: DataFrame) -> DataFrame:
     return members.join(hashes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` that connect all similar nodes that share a band. ``nodes``: ``node, n_shingles, bands, packed``."""
-    spread = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = settle(_distinct_buckets(settle(spread.join(settle(shared), "bucket"))))
-    texts = settle(nodes.select("node", "packed").join(members.select("node").distinct(), "node", "left_semi"))
+def _candidates(sets: DataFrame) -> DataFrame:
+    """``bucket, node, n_shingles`` of all buckets with several nodes, buckets of the same nodes once, written.
+
+    Joins of what grows with the corpus name their kind, so that their plan is the same at every size.
+    """
+    spread = sets.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    own = F.xxhash64("node")
+    shared = spread.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("bucket")
+    met = spread.join(settle(shared).hint("merge"), "bucket")
+    return settle(_distinct_buckets(settle(met.groupBy("bucket", "node").agg(F.min("n_shingles").alias("n_shingles")))))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` that connect all similar nodes that share a band. ``sets``: ``node, n_shingles, bands, packed, row``.
+
+    Rows of one node have the same set; the text of the first one stands for it.
+    """
+    members = _candidates(sets)
+    firsts = sets.groupBy("node").agg(F.min("row").alias("row")).join(members.select("node").distinct(), "node", "left_semi")
+    texts = settle(sets.select("node", "row", "packed").join(settle(firsts).select("row").hint("merge"), "row", "left_semi").drop("row"))
 
     alone = members.withColumn("root", F.col("node"))
     first = _centres(alone, F.lit(0).alias("rank"))
@@ -282,17 +305,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest id reachable over links of similarity 0.8 or more, the row's own included. Texts without
     words (null, empty, blank) are linked with nothing, not even with each other. Rows that repeat an id keep their
     rows; null ids are never the smallest, and a component without ids has none: its rows are kept. Shingles are told apart by
-    64 bits of hash, sets by 128. Chance decides only whether similar sets share a band, see above.
+    64 bits of hash, sets by 126. Chance decides only whether similar sets share a band, see above.
     """
     prints = settle(_prints(docs))
     filled = prints.where("n_shingles > 0")
-    classes = settle(filled.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
-    nodes = prints.select(F.col("row").alias("node"), "n_shingles", "bands", "packed").join(classes.select("node"), "node", "left_semi")
-    roots = components(settle(links(nodes)))
-    rooted = settle(classes.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root")))
+    roots = components(settle(links(filled)))
+    least = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = settle(least.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = settle(rooted.join(ids, "root").select("key", "component_id"))
+    found = settle(rooted.join(ids.hint("merge"), "root").select("node", "component_id"))
     alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = filled.select("doc_id", "n_shingles", "key").join(found, "key").select("doc_id", "n_shingles", "component_id")
+    linked = filled.select("doc_id", "n_shingles", "node").join(found.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return linked.unionByName(alone).withColumn("kept", kept)

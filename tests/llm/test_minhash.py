@@ -98,8 +98,9 @@ def test_bridges_in_one_bucket(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     texts = family_texts(5, 6, 20)
     sets = [minhash.shingles(t) for t in texts]
-    data = [(i, len(s), [7], minhash.pack(t.encode())) for i, (t, s) in enumerate(zip(texts, sets)) if len(s)]
-    nodes = spark.createDataFrame(data, "node long, n_shingles long, bands array<long>, packed binary")
+    data = [(i, len(s), [7], minhash.pack(t.encode()), i) for i, (t, s) in enumerate(zip(texts, sets)) if len(s)]
+    nodes = spark.createDataFrame(data, "node long, n_shingles long, bands array<long>, packed binary, row long")
+    nodes = nodes.withColumn("node", nodes["node"].cast("decimal(38,0)"))
     root = {r.node: r.root for r in minhash.components(minhash.links(nodes)).collect()}
     # equal sets are one node in the operator, here they are nodes of their own
     assert [root.get(i, i) for i, *_ in data] == [b[2] for b in brute(texts) if b[1]]
