@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headroom.session import settle
 
@@ -35,6 +36,11 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
 
 
+def schema_of(rows: DataFrame, kept: list[str], added: str) -> T.StructType:
+    """Fields of ``rows`` as they are, whatever their names, then the added ones."""
+    return T.StructType([rows.schema[name] for name in kept] + T.StructType.fromDDL(added).fields)
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts sum up to ``most`` bytes; a longer text is a slice of its own."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -85,8 +91,8 @@ def with_packed_text(docs: DataFrame) -> DataFrame:
                 columns = [packed if name == "text" else column for name, column in zip(columns_before, part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join(f"`{n}` {'binary' if n == 'packed' else docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(convert, fields)
+    fields = [T.StructField("packed", T.BinaryType()) if n == "packed" else docs.schema[n] for n in names]
+    return docs.mapInArrow(convert, T.StructType(fields))
 
 
 def pack(text: bytes) -> bytes:

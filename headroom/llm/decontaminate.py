@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.common import batches_of, with_row
+from headroom.llm.common import batches_of, schema_of, with_row
 from headroom.session import settle
 
 WINDOW = 10
@@ -157,8 +157,7 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                     ["row", "text", "n_words", "spans", "items"],
                 )
 
-    row = docs.schema["row"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"row {row}, text string, {_FOUND}")
+    return docs.mapInArrow(scan, schema_of(docs, ["row"], f"text string, {_FOUND}"))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headroom.llm.common import batches_of, is_held_out, with_row
+from headroom.llm.common import batches_of, is_held_out, schema_of, with_row
+from headroom.session import settle
 
 BITS = 15
 ROWS_PER_LANGUAGE = 500  # labelled texts that are learned from
 LANDMARKS_PER_LANGUAGE = 64
-MOST_LANGUAGES = 500
+MOST_TEXTS = 250_000  # of all languages together, which the driver holds as bits
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -107,19 +108,20 @@ def train(rows: list[tuple[str, bytes]]) -> Model:
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Model from a sample of documents with a known language that are not held out.
 
-    The sample takes ids by hash, ``per_language`` texts of each language at most, as presence
-    vectors of fixed size (a bound of the fit alone). Texts without a letter are not learned from.
-    More than ``MOST_LANGUAGES`` different labels are an error.
+    The sample is the ``per_language`` ids of least hash of each language, fewer where there are over ``MOST_TEXTS``
+    in all, as presence vectors of fixed size (bounds of the fit alone), written side by side before any are read. Of rows that
+    repeat an id one text is learned from, the one of least hash. Texts without a letter are not learned from.
     """
     known = docs.where("lang IS NOT NULL").where(~is_held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], int(per_language / row["count"] * (1 << 20))).otherwise(share)
-    place = F.xxhash64(F.col("doc_id").cast("string"))
-    rows = known.where(F.pmod(place, F.lit(1 << 20)) < share).select("lang", place.alias("place"), "text")
+    known = known.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("place"), "text")
+    languages = settle(known.select("lang").distinct()).count()
+    most = max(1, min(per_language, MOST_TEXTS // max(1, languages)))
+    # only ``most`` places per language and task are shuffled
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    places = known.select("lang", "place").distinct().withColumn("nth", nth).where(F.col("nth") <= most)
+    bounds = settle(places.groupBy("lang").agg(F.max("place").alias("bound")))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = known.join(bounds, "lang").where("place <= bound").groupBy("lang", "place").agg(one.alias("one")).select("lang", "place", "one.text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +130,8 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
                 found = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array(found, pa.binary())], ["lang", "place", "found"])
 
-    sample = rows.mapInArrow(extract, "lang string, place bigint, found binary").where("found IS NOT NULL")
-    taken: dict[str, list] = {}
-    for row in sample.toLocalIterator():
-        own = taken.setdefault(row["lang"], [])
-        if len(own) < per_language:
-            own.append((row["place"], bytes(row["found"])))
-    return train([(name, found) for name in sorted(taken) for _, found in sorted(taken[name])])
+    sample = settle(rows.mapInArrow(extract, "lang string, place bigint, found binary").where("found IS NOT NULL"))
+    return train([(row["lang"], bytes(row["found"])) for row in sample.orderBy("lang", "place").toLocalIterator()])
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -151,4 +148,4 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
                 names, scores = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(predict, schema_of(rows, ["row"], "lang_pred string, score double"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.common import batches_of, with_row
+from headroom.llm.common import batches_of, schema_of, with_row
 from headroom.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,8 +130,7 @@ def with_mentions(rows: DataFrame) -> DataFrame:
                 spans = [[{"kind": k, "begin": b, "end": e} for k, b, e in own] for own in base]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(spans, span), pa.array(found, mention)], ["row", "base", "mentions"])
 
-    row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(read, f"row {row}, base array<{_SPAN}>, mentions array<{_MENTION}>")
+    return rows.mapInArrow(read, schema_of(rows, ["row"], f"base array<{_SPAN}>, mentions array<{_MENTION}>"))
 
 
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -207,8 +206,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string())], ["row", "clean_text"])
 
     marked = with_spans(docs).select("row", F.col("row.text").alias("text"), "spans")
-    row = marked.schema["row"].dataType.simpleString()
-    clean = marked.mapInArrow(redact, f"row {row}, clean_text string")
+    clean = marked.mapInArrow(redact, schema_of(marked, ["row"], "clean_text string"))
     columns = []
     for name in docs.columns:
         column = F.col(f"row.`{name}`")

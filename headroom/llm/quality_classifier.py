@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.common import batches_of, is_held_out, with_row
+from headroom.llm.common import batches_of, is_held_out, schema_of, with_row
+from headroom.session import settle
 
 BITS = 18
 MOST_ROWS = 6_000  # labelled rows that are learned from
@@ -89,21 +90,22 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> np.ndarray:
     """Weights from a sample of labelled documents that are not held out.
 
-    The sample takes ids by hash, ``most_rows`` at most, and ends early at ``MOST_FEATURES`` features
-    (both bounds of the fit alone: scoring covers everything). Rows without label or id are not
-    learned from, nor are ids whose labels contradict each other. Without labels all weights are 0.
+    The sample is the ``most_rows`` ids of least hash, and of them, in the order of the hash, as many as have
+    ``most_features`` features together (both bounds of the fit alone: scoring covers everything). Its features are
+    extracted side by side and written before any are read. Of rows that repeat an id one text is learned from, the one of
+    least hash. Rows without label or id are not learned from, nor are ids whose labels contradict each other.
+    Without labels all weights are 0.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
     known = known.where("label = other").select(F.col("doc_id").alias("known_id"), "label", F.xxhash64("doc_id").alias("place"))
-    share = most_rows / max(1, known.count())
-    known = known.where(F.pmod("place", F.lit(1 << 20)) < int(share * (1 << 20))).limit(most_rows)
-    # at most ``most_rows`` rows of three numbers
+    known = settle(known.orderBy("place", "known_id").limit(most_rows))  # rows of three numbers
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))
-    rows = chosen.select("label", "place", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = chosen.groupBy("label", "place", "known_id").agg(one.alias("one")).select("label", "place", "one.text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,16 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.nd
                     ["label", "place", "places", "values"],
                 )
 
-    sample, total = [], 0
-    kind = rows.schema["label"].dataType.simpleString()
-    for row in rows.mapInArrow(extract, f"label {kind}, place bigint, places binary, values binary").toLocalIterator():
-        places = np.frombuffer(row["places"], np.int32)
-        total += len(places)
-        if total > MOST_FEATURES or len(sample) == most_rows:
-            break
-        sample.append((row["place"], int(row["label"]), places, np.frombuffer(row["values"], np.float32)))
-    sample.sort(key=lambda row: (row[0], len(row[2])))
-    return train([row[1:] for row in sample])
+    extracted = settle(rows.mapInArrow(extract, schema_of(rows, ["label", "place"], "places binary, values binary")))
+    sizes = extracted.select("place", (F.length("places") / 4).cast("long").alias("size")).orderBy("place").collect()
+    within = [row["place"] for row, total in zip(sizes, np.cumsum([row["size"] for row in sizes])) if total <= most_features]
+    if not within:
+        return train([])
+    sample = extracted.where(F.col("place") <= within[-1]).orderBy("place").collect()
+    return train([(int(row["label"]), np.frombuffer(row["places"], np.int32), np.frombuffer(row["values"], np.float32)) for row in sample])
 
 
 def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -139,4 +138,4 @@ def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 scores = [_sigmoid(float(w[places] @ values)) for places, values in found]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(score, schema_of(rows, ["row"], "score double"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.common import batches_of, with_row
+from headroom.llm.common import batches_of, schema_of, with_row
 from headroom.llm.components import components
 from headroom.session import settle
 
@@ -63,8 +63,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
                 prints = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(prints)], ["row", "fingerprint"])
 
-    row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(add, f"row {row}, fingerprint bigint")
+    return rows.mapInArrow(add, schema_of(rows, ["row"], "fingerprint bigint"))
 
 
 def _wiped(segment: Column, rest: Column, width: int, side: int) -> list[Column]:
