@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headroom.llm.common import batches_of, is_held_out, schema_of, with_row
 from headroom.session import settle
@@ -149,3 +150,15 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     return rows.mapInArrow(predict, schema_of(rows, ["row"], "lang_pred string, score double"))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The documents whose text has a letter, as they came."""
+    rows = with_row(docs, "text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([bool(has_letter(t)) for t in batch.column("text").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(found)], ["row"])
+
+    return rows.mapInArrow(keep, T.StructType([rows.schema["row"]])).select("row.*")

@@ -311,10 +311,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = prints.where("n_shingles > 0")
     roots = components(settle(links(filled)))
     least = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = settle(least.join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    rooted = settle(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = settle(rooted.join(ids.hint("merge"), "root").select("node", "component_id"))
+    found = settle(rooted.join(ids, "root").select("node", "component_id"))
     alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = filled.select("doc_id", "n_shingles", "node").join(found.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
+    linked = filled.select("doc_id", "n_shingles", "node").join(found, "node").select("doc_id", "n_shingles", "component_id")
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return linked.unionByName(alone).withColumn("kept", kept)

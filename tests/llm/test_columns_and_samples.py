@@ -76,3 +76,14 @@ def test_many_languages_share_the_bound(spark, monkeypatch):
     monkeypatch.setattr(language, "train", lambda rows: taken.append(rows))
     language.fit(docs)
     assert len(taken[0]) == 60 and len({name for name, _ in taken[0]}) == 30
+
+
+def test_language_stage_without_labels(odd, sf_dir):
+    """Nothing to learn from: texts with a letter stay; and no row is dropped for being repeated."""
+    import corpus_pipeline
+
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_language(odd.sparkSession, unknown, sf_dir)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(16) if i % 4 < 2]
+    assert corpus_pipeline.keep_language(odd.sparkSession, unknown.unionByName(unknown), sf_dir).count() == 16
+    assert corpus_pipeline.keep_language(odd.sparkSession, odd.limit(0), sf_dir).count() == 0
