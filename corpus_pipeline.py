@@ -10,10 +10,20 @@ from headroom.llm.common import table
 from headroom.session import scratch_path
 
 
+#: A text whose best language has a lower score is in none of those learned; among four, 0.25 is a guess.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts and texts without a letter go."""
-    found = language.with_language(docs, language.fit(docs))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    """Documents whose language is recognised; null texts, texts without a letter and unlike texts go.
+
+    Where no row has a language to learn from, every text with a letter stays. Repeated rows stay.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return language.with_letters(docs)
+    found = language.with_language(docs, model)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
