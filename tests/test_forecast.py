@@ -259,7 +259,7 @@ def test_units_are_dealt_by_cost(spark, monkeypatch):
         units = units.toPandas()
         assert len(units) == len(units[["service", "trial"]].drop_duplicates()) == 12 * 30 and bins >= 16
         loads = units.groupby("bin")["cost"].sum()
-        assert len(loads) == bins and loads.max() < 1.5 * loads.mean()
+        assert len(loads) == bins and loads.max() < (1.5 if per_shard > 50 else 3) * loads.mean()
         assert units["cost"].max() <= loads.max()
 
 
