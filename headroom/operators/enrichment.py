@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom import fixed_values as fixed
 from headroom import schemas
 from headroom.functions import calendar as C
-from headroom.functions.clock import DAY, SECOND, ntz, order_value, plus_micros
+from headroom.functions.clock import DAY, SECOND, micros, ntz, order_value, plus_micros
+from headroom.session import settle
 
 
 def time_grid(spark: SparkSession, start: datetime, end: datetime, step_micros: int) -> DataFrame:
@@ -19,11 +23,11 @@ def time_grid(spark: SparkSession, start: datetime, end: datetime, step_micros:
     if step_micros <= 0:
         raise schemas.TableError("step must be positive")
     span = end - start
-    micros = (span.days * 86_400 + span.seconds) * SECOND + span.microseconds
-    if micros < 0:
+    length = (span.days * 86_400 + span.seconds) * SECOND + span.microseconds
+    if length < 0:
         raise schemas.TableError("the last moment lies before the first")
     origin = F.lit(start).cast("timestamp_ntz")
-    return spark.range(micros // step_micros + 1).select(plus_micros(origin, F.col("id") * step_micros).alias("ds"))
+    return spark.range(length // step_micros + 1).select(plus_micros(origin, F.col("id") * step_micros).alias("ds"))
 
 
 def grid_between(bounds: DataFrame, step_micros: int) -> DataFrame:
@@ -112,37 +116,93 @@ def with_event_services(events: DataFrame, services: Sequence[str] = tuple(fixed
     return events.withColumn("services", F.array(*[F.lit(name) for name in services]))
 
 
+def _event_edges(events: DataFrame, ranges: bool) -> DataFrame:
+    """``_day, at, multiplier, lo, hi, n``: how many more events of each factor cover the day from ``at`` on, in microseconds."""
+    constant = F.col("multiplier").isNotNull()
+    effective = constant | (F.lit(ranges) & F.col("multiplier_lo").isNotNull() & F.col("multiplier_hi").isNotNull())
+    begin, end = (micros(F.col(c).cast("timestamp_ntz")) for c in ("start", "end"))
+    spans = events.where(effective).select(
+        begin.alias("begin"),
+        (end + 1).alias("end"),
+        "multiplier",
+        *[F.when(~constant, F.col(f"multiplier_{c}")).alias(c) for c in ("lo", "hi")],
+    )
+    day, last = (F.floor(F.col(c) / F.lit(DAY)) for c in ("begin", "_end"))
+    spans = spans.where("begin < end").withColumn("_end", F.col("end") - 1).withColumn("_day", F.explode(F.sequence(day, last)))
+    opened = F.struct(F.greatest("begin", F.col("_day") * DAY).alias("at"), F.lit(1).cast("long").alias("n"))
+    closed = F.struct(F.col("end").alias("at"), F.lit(-1).cast("long").alias("n"))  # the day's end needs none
+    edges = F.when(F.col("end") < (F.col("_day") + 1) * DAY, F.array(opened, closed)).otherwise(F.array(opened))
+    rows = spans.select("_day", "multiplier", "lo", "hi", F.inline(edges))
+    return rows.groupBy("_day", "at", "multiplier", "lo", "hi").agg(F.sum("n").alias("n")).where("n != 0")
+
+
+_FEW_FACTORS = 16
+SEGMENTS_IN_BUCKET = 8
+_SEGMENT = "_day bigint, _width bigint, _bucket bigint, _from bigint, _until bigint, _constant double, _ranges array<struct<lo: double, hi: double, n: bigint>>"
+
+
+def _product(counts: dict[float, int], logarithm: int) -> float:
+    """Product of the factors: plainly where few differ, from the exact sum of their logarithms where many do."""
+    if len(counts) <= _FEW_FACTORS:
+        return float(np.prod([np.float64(m) ** n for m, n in sorted(counts.items())]))
+    if 0.0 in counts:
+        return 0.0
+    sign = -1 if sum(n for m, n in counts.items() if m < 0) % 2 else 1
+    return float(sign * np.exp(logarithm / 2**60))
+
+
+def _sweep(edges: pd.DataFrame) -> pd.DataFrame:
+    """Disjoint segments of a day between the moments at which events begin and end, with the product over each."""
+    day, out = int(edges["_day"].iloc[0]), []
+    counts, ranges, logarithm = {}, {}, 0
+    moments = edges.sort_values("at").groupby("at", sort=True)
+    starts = list(moments.groups)
+    width = DAY // min(86_400, 1 + len(starts) // SEGMENTS_IN_BUCKET) + 1
+    for (at, own), until in zip(moments, [*starts[1:], (day + 1) * DAY]):
+        for multiplier, lo, hi, n in zip(own["multiplier"], own["lo"], own["hi"], own["n"]):
+            constant = not pd.isna(multiplier)
+            held, key = (counts, multiplier) if constant else (ranges, (lo, hi))
+            held[key] = held.get(key, 0) + int(n)
+            if not held[key]:
+                del held[key]
+            if constant and multiplier:
+                logarithm += round(math.log(abs(multiplier)) * 2**60) * int(n)
+        if counts or ranges:
+            factors = [{"lo": lo, "hi": hi, "n": n} for (lo, hi), n in sorted(ranges.items())]
+            product = _product(counts, logarithm)
+            for bucket in range((at - day * DAY) // width, (until - 1 - day * DAY) // width + 1):
+                out.append((day, width, bucket, at, until, product, factors))
+    return pd.DataFrame(out, columns=["_day", "_width", "_bucket", "_from", "_until", "_constant", "_ranges"])
+
+
 def with_event_boost(
     df: DataFrame, events: DataFrame, *, draw: Column | None = None, ds: str = "ds", name: str = "event_boost"
 ) -> DataFrame:
     """Product of the multipliers of all events that cover the row, 1 where none does.
 
-    Events are listed per day first; a row meets the events of its day by an equi-join
-    and multiplies those whose moments cover it, so no row is shuffled or grouped twice.
+    A sweep over the moments at which events begin and end cuts each day into disjoint segments with their
+    product; equal factors are counted before, so no list of events is held. A row finds its segment by day and
+    bucket: a day has as many buckets of equal width as it has some few segments each.
     An event with a range instead of a multiplier takes ``low + (high - low) * draw``
     when a column of numbers in [0, 1) is given, and no effect otherwise.
     """
-    per_day = (
-        events.withColumn("_day", F.explode(F.expr("sequence(to_date(start), to_date(end))")))
-        .groupBy("_day")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("start", "end", "scenario", "multiplier", "multiplier_lo", "multiplier_hi")
-                )
-            ).alias("_events")
-        )
-    )
-    luck = F.lit(None).cast("double") if draw is None else draw.cast("double")
-    joined = df.withColumn("_draw", luck).join(per_day, F.to_date(ds) == F.col("_day"), "left")
+    segments = settle(_event_edges(events, draw is not None).groupBy("_day").applyInPandas(_sweep, _SEGMENT))
+    widths = segments.select("_day", "_width").distinct()
 
-    def factor(event: Column) -> Column:
-        ranged = event["multiplier_lo"] + (event["multiplier_hi"] - event["multiplier_lo"]) * F.col("_draw")
-        return F.coalesce(event["multiplier"], ranged, F.lit(1.0))
-
-    covering = F.filter("_events", lambda e: F.col(ds).between(e["start"], e["end"]))
-    boost = F.aggregate(covering, F.lit(1.0), lambda product, e: product * factor(e))
-    return joined.withColumn(name, F.coalesce(boost, F.lit(1.0))).drop("_day", "_events", "_draw")
+    luck = F.lit(None).cast("double") if draw is None else draw.cast("double")
+    at = micros(F.col(ds).cast("timestamp_ntz"))
+    rows = df.withColumns({"_draw": luck, "_at": at}).withColumn("_day", F.floor(F.col("_at") / F.lit(DAY)))
+    rows = rows.join(widths, "_day", "left").withColumn("_bucket", F.expr(f"(_at - _day * {DAY}L) div _width"))
+    same = (F.col("r._day") == F.col("s._day")) & (F.col("r._bucket") == F.col("s._bucket"))
+    covers = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_until"))
+    found = rows.alias("r").join(segments.drop("_width").alias("s"), same & covers, "left")
+
+    def ranged(product: Column, r: Column) -> Column:
+        factor = F.coalesce(r["lo"] + (r["hi"] - r["lo"]) * F.col("_draw"), F.lit(1.0))
+        return product * F.when(r["n"] == 1, factor).otherwise(F.pow(factor, r["n"]))
+
+    boost = F.coalesce(F.aggregate("_ranges", F.col("_constant"), ranged), F.lit(1.0))
+    return found.select(*[F.col(f"r.`{c}`") for c in df.columns if c != name], boost.alias(name))
 
 
 def expected_demand(

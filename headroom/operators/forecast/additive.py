@@ -1,9 +1,13 @@
 """Additive and multiplicative seasonal forecaster: trend with changepoints, Fourier seasons, regressors.
 
-The fit is ridge regression per series on sums of products. The prior scales become
-ridge penalties (a Gaussian prior in place of the double-exponential one on
-changepoints), the noise level comes from the unpenalised fit. A multiplicative season
+The fit is penalised regression per series on sums of products. The prior scales become
+ridge penalties, the noise level comes from the unpenalised fit. Changepoints have a Gaussian prior or, where
+``changepoints`` is "sparse", a double-exponential one, solved by coordinate descent on the same sums. A multiplicative season
 is fitted by turns: the season given the trend, then the trend given the season.
+
+All trials of a search share one pass over the rows: waves and regressors are computed once per row, and
+only the hinges, which depend on the range of changepoints, differ between trials. A series that fits a task is fitted there
+with all its trials; of longer ones, tasks hand on partial sums per trial.
 """
 
 from __future__ import annotations
@@ -13,8 +17,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headroom import fixed_values as fixed
 from headroom.functions.clock import DAY, order_value
@@ -22,6 +28,7 @@ from headroom.operators.forecast import gram
 from headroom.session import settle
 
 CHANGEPOINTS = 25
+TREND = 2 + CHANGEPOINTS  # constant, slope and hinges
 
 # Period in days and number of harmonics of each season.
 SEASONS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
@@ -35,8 +42,11 @@ class AdditiveParams:
     seasonality_prior_scale: float = 10.0
     holidays_prior_scale: float = 10.0
     changepoint_range: float = 0.8
+    changepoints: str = "ridge"
 
     def __post_init__(self):
+        if self.changepoints not in ("ridge", "sparse"):
+            raise ValueError(f"unknown prior of changepoints: {self.changepoints}")
         if self.seasonality_mode not in ("additive", "multiplicative"):
             raise ValueError(f"unknown seasonality mode: {self.seasonality_mode}")
         if not 0 < self.changepoint_range <= 1:
@@ -106,41 +116,224 @@ def _with_trials(df: DataFrame, trials: Mapping[int, AdditiveParams]) -> DataFra
     )
 
 
-def _columns(design: Design) -> tuple[list[Column], list[Column]]:
+def columns(design: Design) -> tuple[list[Column], list[Column]]:
     t = (F.col("_days") - F.col("first_day")) / F.col("span_days")
     trend = list(trend_columns(t, F.col("_range")).values())
     season = [*fourier(F.col("_days"), design.seasons).values(), *[F.col(c).cast("double") for c in design.regressors]]
     return trend, season
 
 
+def pulls(params: AdditiveParams, design: Design) -> list[float]:
+    """Ridge penalties of all columns per unit of noise."""
+    return _penalties(params, design, 1.0).tolist()
+
+
 def _penalties(params: AdditiveParams, design: Design, variance: float) -> np.ndarray:
     trend = [5.0, 5.0] + [math.sqrt(2) * params.changepoint_prior_scale] * CHANGEPOINTS
     season = [params.seasonality_prior_scale] * design.waves + [params.holidays_prior_scale] * len(design.regressors)
     return variance / np.square(trend + season)
 
 
-def _solver(trials: Mapping[int, AdditiveParams], design: Design, part: str):
-    """Ridge coefficients: of ``all`` columns (the trend alone for a multiplicative model), or of one part."""
-    trials, split = dict(trials), 2 + CHANGEPOINTS
-    seasons = design.waves + len(design.regressors)
+def _coefficients(matrix: np.ndarray, penalty: np.ndarray, hinges: slice, params: AdditiveParams, variance: float) -> np.ndarray:
+    if params.changepoints == "ridge":
+        return gram.ridge(matrix, penalty)
+    penalty = penalty.copy()
+    penalty[hinges] = 0.0
+    absolute = np.zeros(len(penalty))
+    absolute[hinges] = variance / params.changepoint_prior_scale
+    return gram.sparse(matrix, penalty, absolute)
+
+
+def solve_part(matrix: np.ndarray, rows: float, params: AdditiveParams, design: Design, part: str) -> np.ndarray:
+    """Coefficients of ``all`` columns, or of the ``season`` or the ``trend`` given the other."""
+    variance = gram.residual_variance(matrix, gram.ridge(matrix, 1e-8), rows)
+    penalty = _penalties(params, design, variance)
+    if part == "season":
+        return gram.ridge(matrix, penalty[TREND:])
+    return _coefficients(matrix, penalty[: len(matrix) - 1], slice(2, TREND), params, variance)
+
 
-    def fit(matrix, row):
-        params = trials[row["trial"]]
-        if part == "all" and params.seasonality_mode == "multiplicative":
-            only_trend = [*range(split), matrix.shape[0] - 1]
-            matrix = matrix[np.ix_(only_trend, only_trend)]
-        loose = gram.ridge(matrix, 1e-8)
-        penalty = _penalties(params, design, gram.residual_variance(matrix, loose, row["rows"]))
+class Chunk:
+    """Rows of one series as columns of a regression: shared waves and regressors, and a trend per range."""
+
+    def __init__(self, days: np.ndarray, others: np.ndarray, y: np.ndarray, first: float, span: float, scale: float, design: Design):
+        self.design, self.t, self.y = design, (days - first) / span, y / scale
+        angles = [days * (2 * math.pi * j / period) for period, order in design.seasons.values() for j in range(1, order + 1)]
+        waves = [wave(angle) for angle in angles for wave in (np.sin, np.cos)]
+        self.season = np.column_stack([*waves, *others.T]) if len(others.T) else np.column_stack(waves)
+        both = np.column_stack([self.season, self.y])
+        self._shared = both.T @ both
+
+    def trend(self, params: AdditiveParams) -> np.ndarray:
+        knots = params.changepoint_range * np.arange(1, CHANGEPOINTS + 1) / CHANGEPOINTS
+        return np.column_stack([np.ones(len(self.t)), self.t, np.maximum(self.t[:, None] - knots, 0.0)])
+
+    def products(self, trend: np.ndarray, part: str, held: np.ndarray | None = None) -> np.ndarray:
+        """Summed products of a part's columns and its target, given the coefficients ``held`` of the other part."""
         if part == "season":
-            return {"trend": list(row["trend_before"]), "season": gram.ridge(matrix, penalty[split:]).tolist()}
-        found = gram.ridge(matrix, penalty[: matrix.shape[0] - 1])
+            level = trend @ held
+            bent = np.column_stack([self.season * level[:, None], self.y - level])
+            return bent.T @ bent
         if part == "trend":
-            return {"trend": found.tolist(), "season": list(row["season_before"])}
-        return {"trend": found[:split].tolist(), "season": found[split:].tolist() or [0.0] * seasons}
+            bent = np.column_stack([trend * (1 + self.season @ held)[:, None], self.y])
+            return bent.T @ bent
+        if part == "level":
+            both = np.column_stack([trend, self.y])
+            return both.T @ both
+        cross, size = trend.T @ np.column_stack([self.season, self.y]), trend.shape[1]
+        out = np.empty((size + len(self._shared),) * 2)
+        out[:size, :size], out[:size, size:], out[size:, :size], out[size:, size:] = trend.T @ trend, cross, cross.T, self._shared
+        return out
+
+    def fit(self, params: AdditiveParams, rows: float, passes: int) -> tuple[np.ndarray, np.ndarray]:
+        trend = self.trend(params)
+        if params.seasonality_mode == "additive":
+            found = solve_part(self.products(trend, "all"), rows, params, self.design, "all")
+            return found[:TREND], found[TREND:]
+        level, season = solve_part(self.products(trend, "level"), rows, params, self.design, "all"), np.zeros(self.season.shape[1])
+        for _ in range(passes):
+            season = solve_part(self.products(trend, "season", level), rows, params, self.design, "season")
+            level = solve_part(self.products(trend, "trend", season), rows, params, self.design, "trend")
+        return level, season
+
+
+def _model(key: dict, trial: int, facts: dict, trend: np.ndarray, season: np.ndarray) -> dict:
+    if not (np.isfinite(trend).all() and np.isfinite(season).all()):
+        return _failure(key, trial, facts, "the fit has no finite solution")
+    return key | {"trial": trial} | facts | {"trend": trend.tolist(), "season": season.tolist(), "state": "COMPLETE", "error": None}
+
+
+def _failure(key: dict, trial: int, facts: dict, problem: object) -> dict:
+    return key | {"trial": trial} | facts | {"trend": None, "season": None, "state": "FAIL", "error": str(problem)}
+
+
+_FACTS = ["first_day", "span_days", "scale", "rows"]
+_MODEL = "trial int, first_day double, span_days double, scale double, rows double, trend array<double>, season array<double>, state string, error string"
+
+
+def _chunks(frames, keys: list[str], design: Design):
+    """``key, facts, first row, chunk`` of each group of rows that arrive sorted by ``keys``; one group is held at a time."""
+    held: list[pd.DataFrame] = []
+
+    def made():
+        part = pd.concat(held, ignore_index=True)
+        facts = {name: float(part[name].iloc[0]) for name in _FACTS}
+        chunk = Chunk(
+            part["_days"].to_numpy(float), part[list(design.regressors)].to_numpy(float), part["_y"].to_numpy(float), facts["first_day"], facts["span_days"], facts["scale"], design
+        )
+        return {name: part[name].iloc[0] for name in keys}, facts, part.iloc[0], chunk
+
+    for frame in frames:
+        frame = frame.reset_index(drop=True)
+        own = frame[keys]
+        same = (own == own.shift()) | (own.isna() & own.shift().isna())
+        starts = [0, *np.flatnonzero(~same.all(axis=1).to_numpy())[1:], len(frame)] if len(frame) else [0]
+        for begin, end in zip(starts, starts[1:]):
+            piece = frame.iloc[begin:end]
+            if held:
+                a, b = held[-1][keys].iloc[-1], piece[keys].iloc[0]
+                if not ((a == b) | (a.isna() & b.isna())).all():
+                    yield made()
+                    held = []
+            held.append(piece)
+    if held:
+        yield made()
+
+
+def _fitter(trials: dict[int, AdditiveParams], design: Design, series: list[str], passes: int):
+    """All trials of each series, of which a task holds the rows."""
+
+    def fit(frames):
+        for key, facts, _, chunk in _chunks(frames, series, design):
+            out = []
+            for trial, params in trials.items():
+                try:
+                    out.append(_model(key, trial, facts, *chunk.fit(params, facts["rows"], passes)))
+                except Exception as problem:  # a failed trial is a result, not the end of the search
+                    out.append(_failure(key, trial, facts, problem))
+            yield pd.DataFrame(out)
 
     return fit
 
 
+def _summer(trials: dict[int, AdditiveParams], design: Design, keys: list[str], part: str):
+    """Partial sums of a part of each long series, a row per trial, in one pass over the rows."""
+
+    def sums(frames):
+        for key, _, first, chunk in _chunks(frames, keys, design):
+            out = []
+            held = {int(m["trial"]): np.asarray(m["held"], dtype=float) for m in first["_held"]} if part in ("season", "trend") else {}
+            for trial, params in trials.items():
+                if part in ("season", "trend") and trial not in held:
+                    continue
+                matrix = chunk.products(chunk.trend(params), part, held.get(trial))
+                out.append({name: key[name] for name in keys[:-1]} | {"trial": trial, "products": matrix[np.triu_indices(len(matrix))]})
+            yield pd.DataFrame(out, columns=[*keys[:-1], "trial", "products"])
+
+    return sums
+
+
+def _fit_long(placed: DataFrame, trials: dict[int, AdditiveParams], design: Design, series: list[str], passes: int) -> DataFrame:
+    """Models of series that are spread over tasks: every pass sums the products of all trials at once."""
+    keys = [*series, "_part"]
+    key_fields = [placed.schema[c] for c in series]
+    facts = settle(placed.select(*series, *_FACTS).distinct())
+
+    def summed(own: dict[int, AdditiveParams], part: str, held: DataFrame | None = None) -> DataFrame:
+        rows = placed.withColumn("_held", F.lit(None).cast("array<struct<trial:int,held:array<double>>>")) if held is None else placed.join(held, series)
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+        schema = T.StructType([*key_fields, *T.StructType.fromDDL("trial int, products array<double>").fields])
+        parts = rows.mapInPandas(_summer(own, design, keys, part), schema)
+        at = parts.select(*series, "trial", F.posexplode("products").alias("_at", "_value"))
+        at = at.groupBy(*series, "trial", "_at").agg(F.sum("_value").alias("_value"))
+        whole = at.groupBy(*series, "trial").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_value"))), lambda e: e["_value"]).alias("products"))
+        return whole.join(facts, series)
+
+    def solved(sums: DataFrame, part: str, before: DataFrame | None) -> DataFrame:
+        table = sums if before is None else sums.join(before.select(*series, "trial", F.col("trend").alias("trend_"), F.col("season").alias("season_")), [*series, "trial"])
+
+        def solve(frames):
+            for frame in frames:
+                out = []
+                for row in frame.to_dict("records"):
+                    key, own, params = {c: row[c] for c in series}, {c: row[c] for c in _FACTS}, trials[row["trial"]]
+                    try:
+                        found = solve_part(gram.square(row["products"]), row["rows"], params, design, "all" if part == "level" else part)
+                        if part == "all":
+                            trend, season = found[:TREND], found[TREND:]
+                        elif part == "season":
+                            trend, season = np.asarray(row["trend_"], dtype=float), found
+                        else:
+                            trend, season = found, np.zeros(design.waves + len(design.regressors)) if part == "level" else np.asarray(row["season_"], dtype=float)
+                        out.append(_model(key, row["trial"], own, trend, season))
+                    except Exception as problem:
+                        out.append(_failure(key, row["trial"], own, problem))
+                yield pd.DataFrame(out, columns=[*series, *T_NAMES])
+
+        return settle(table.mapInPandas(solve, T.StructType([*key_fields, *T.StructType.fromDDL(_MODEL).fields])))
+
+    straight = {t: p for t, p in trials.items() if p.seasonality_mode == "additive"}
+    curved = {t: p for t, p in trials.items() if p.seasonality_mode == "multiplicative"}
+    results = []
+    if straight:
+        results.append(solved(summed(straight, "all"), "all", None))
+    if curved:
+        current = solved(summed(curved, "level"), "level", None)
+        for part, other in [("season", "trend"), ("trend", "season")] * passes:
+            results.append(current.where("state = 'FAIL'"))
+            current = current.where("state = 'COMPLETE'")
+            held = current.groupBy(*series).agg(F.collect_list(F.struct("trial", F.col(other).alias("held"))).alias("_held"))
+            current = solved(summed(curved, part, held), part, current)
+        results.append(current)
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+T_NAMES = ["trial", *_FACTS, "trend", "season", "state", "error"]
+
+
 def fit_additive(
     train: DataFrame,
     trials: Mapping[int, AdditiveParams] | AdditiveParams = AdditiveParams(),
@@ -150,12 +343,15 @@ def fit_additive(
     order: str = "ds",
     target: str = "y",
     passes: int = 2,
+    rows_per_task: int = gram.ROWS_PER_PART,
 ) -> DataFrame:
-    """One model row per series and trial: time span, scale, and the coefficient arrays ``trend`` and ``season``."""
-    if isinstance(trials, AdditiveParams):
-        trials = {0: trials}
-    keys = [*series, "trial"]
-    narrow = train.select(*series, order, F.col(target).cast("double").alias("_y"), *design.regressors)
+    """One model row per series and trial: time span, scale, and the coefficient arrays ``trend`` and ``season``.
+
+    A trial that cannot be fitted to a series gives a row with ``state`` FAIL and its ``error``. The result is written.
+    """
+    trials, series = {0: trials} if isinstance(trials, AdditiveParams) else dict(trials), list(series)
+    others = [F.col(c).cast("double").alias(c) for c in design.regressors]
+    narrow = train.select(*series, order, F.col(target).cast("double").alias("_y"), *others)
     narrow = narrow.withColumn("_days", days_since_epoch(narrow, order))
     spans = narrow.groupBy(*series).agg(
         F.min("_days").alias("first_day"),
@@ -168,33 +364,16 @@ def fit_additive(
             {c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c)) for c in ("span_days", "scale")}
         )
     )
-    rows = _with_trials(narrow, trials).join(spans, list(series))
-    trend, season = _columns(design)
-    scaled = F.col("_y") / F.col("scale")
-    sums = gram.products(rows, [*trend, *season], scaled, series=keys, spread=order)
-    kept = [*keys, "first_day", "span_days", "scale", "rows"]
-    straight = settle(
-        gram.solve(sums.join(spans, list(series)), _solver(trials, design, "all"), ["trend", "season"], keep=kept)
-    )
-    curved = [trial for trial, params in trials.items() if params.seasonality_mode == "multiplicative"]
-    if not curved:
-        return straight
-
-    # y = trend * (1 + season) is linear in either part given the other: each is fitted in turn.
-    current = straight.where(F.col("trial").isin(curved))
-    bent_rows = rows.where(F.col("trial").isin(curved))
-    for part in ["season", "trend"] * passes:
-        before = current.select(*keys, F.col("trend").alias("trend_before"), F.col("season").alias("season_before"))
-        held = bent_rows.join(before, keys)
-        if part == "season":
-            held = held.withColumn("_g", gram.dot(trend, "trend_before"))
-            bent, goal = [c * F.col("_g") for c in season], scaled - F.col("_g")
-        else:
-            held = held.withColumn("_m", F.lit(1.0) + gram.dot(season, "season_before"))
-            bent, goal = [c * F.col("_m") for c in trend], scaled
-        sums = gram.products(held, bent, goal, series=keys, spread=order).join(spans, list(series)).join(before, keys)
-        current = settle(gram.solve(sums, _solver(trials, design, part), ["trend", "season"], keep=kept))
-    return straight.where(~F.col("trial").isin(curved)).unionByName(current)
+    schema = T.StructType([train.schema[c] for c in series] + T.StructType.fromDDL(_MODEL).fields)
+    short = narrow.join(spans.where(F.col("rows") <= rows_per_task), series)
+    placed = short.drop(order).repartition(*series).sortWithinPartitions(*series)
+    models = settle(placed.mapInPandas(_fitter(trials, design, series, passes), schema))
+    if spans.where(F.col("rows") > rows_per_task).isEmpty():
+        return models
+    part = F.pmod(F.xxhash64(order), F.ceil(F.col("rows") / rows_per_task)).alias("_part")
+    long = narrow.join(spans.where(F.col("rows") > rows_per_task), series)
+    long = settle(long.select("*", part).drop(order))
+    return models.unionByName(_fit_long(long, trials, design, series, passes))
 
 
 def predict_additive(
@@ -212,11 +391,18 @@ def predict_additive(
         trials = {0: trials}
     keys = [*series, "trial"]
     rows = _with_trials(future, trials).withColumn("_days", days_since_epoch(future, order))
-    joined = rows.join(models, keys)
-    trend, season = _columns(design)
+    joined = rows.join(models.where("state = 'COMPLETE'").drop("state", "error"), keys)
+    trend, season = columns(design)
     level, swing = gram.dot(trend, "trend"), gram.dot(season, "season")
     curved = [trial for trial, params in trials.items() if params.seasonality_mode == "multiplicative"]
     value = F.col("scale") * F.when(F.col("trial").isin(curved), level * (F.lit(1.0) + swing)).otherwise(level + swing)
     return joined.withColumn("predicted", F.greatest(value, F.lit(0.0)) if floor else value).select(
         *future.columns, "trial", "predicted"
     )
+
+
+def parameter_table(models: DataFrame, *, series: Sequence[str]) -> DataFrame:
+    """Fitted models as rows: parameter name, shape and values."""
+    parts = [F.struct(F.lit(name).alias("param"), F.array(F.size(name)).alias("shape"), F.col(name).alias("values")) for name in ("trend", "season")]
+    facts = [F.struct(F.lit(name).alias("param"), F.array(F.lit(1)).alias("shape"), F.array(name).alias("values")) for name in _FACTS]
+    return models.where("state = 'COMPLETE'").select(*series, "trial", F.inline(F.array(*parts, *facts)))

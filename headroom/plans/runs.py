@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from headroom.operators.forecast.additive import AdditiveParams, Design
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.forecast.frames import prediction_frame
 from headroom.session import settle
-from headroom.sources import results
+from headroom.sources import manifest, results
 
 
 def _holdout(df: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def run_services(
 def save_services(
     run: Mapping[str, DataFrame], path: str, params: RecurrentParams, pod_budget: int = fixed.POD_BUDGET
 ) -> dict[str, object]:
-    """Write a service run with its summary."""
+    """Publish a service run with its summary: readers see all of it, by its manifest, or the run before."""
     weighted = run["weighted_under"].first()[0]
     services = [row[0] for row in run["metrics"].select("service").orderBy("service").collect()]
     summary = {
@@ -124,10 +125,17 @@ def save_services(
         "learning_rate": params.learning_rate,
         "onprem_pod_budget": pod_budget,
     }
-    results.write_parameters(
-        recurrent.parameter_table(run["models"], "gru", params, series=["service"]), f"{path}/service_gru_parameters"
-    )
-    return results.write_service_outputs(run["predictions"], run["metrics"], run["decisions"], summary, path)
+    with manifest.publish(run["predictions"].sparkSession, path) as published:
+        table = recurrent.parameter_table(run["models"], "gru", params, series=["service"])
+        summary["parameter_path"] = results.write_parameters(table, f"{published.folder}/service_gru_parameters")
+        published.record = results.write_service_outputs(run["predictions"], run["metrics"], run["decisions"], summary, published.folder)
+    return published.record
+
+
+def _row_counts(df: DataFrame) -> dict[str, int]:
+    """Rows per fold, as the records of tuned models hold them."""
+    counts = {row["fold"]: row["n"] for row in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {f"{fold}_rows": counts.get(fold, 0) for fold in ("train", "validation", "holdout")}
 
 
 def tune_and_refit(
@@ -148,10 +156,35 @@ def tune_and_refit(
     params = chosen[best["trial"]]
     name = tuning.tuned_name(cell)
     models, predictions = run_sequence(df, cell, params, series=series, step=step, seed=seed, model=name)
-    results.write_parameters(recurrent.parameter_table(models, cell, params, series=series), f"{path}/{name}_parameters")
-    record = results.save_model_outputs(
-        name, predictions, path, {"base_model": cell, "sequence_params": recurrent.params_row(params)}
-    )
-    return results.write_tuning_outputs(
-        cell, trial_table, list(recurrent.params_row(params)), path, record, chosen=best.asDict()
-    )
+    with manifest.publish(df.sparkSession, path) as published:
+        where = results.write_parameters(recurrent.parameter_table(models, cell, params, series=series), f"{published.folder}/{name}_parameters")
+        extra = {"base_model": cell, "sequence_params": recurrent.params_row(params), "features": recurrent.COLUMNS[1:], "model_path": where}
+        record = results.save_model_outputs(name, predictions, published.folder, extra | _row_counts(df))
+        published.record = results.write_tuning_outputs(
+            cell, trial_table, list(recurrent.params_row(params)), published.folder, record, chosen=best.asDict()
+        )
+    return published.record
+
+
+def tune_and_refit_additive(
+    df: DataFrame,
+    chosen: Mapping[int, AdditiveParams],
+    path: str,
+    design: Design = Design(),
+    *,
+    series: Sequence[str],
+) -> dict[str, object]:
+    """The same for the seasonal forecaster: the best trial is fitted to all rows before the holdout and scored on it once."""
+    trial_table = settle(tuning.tune_additive(df, chosen, design, series=series))
+    best = tuning.best_overall(trial_table).first()
+    if best is None:
+        raise ValueError("no trial completed")
+    params, name = chosen[best["trial"]], tuning.tuned_name("additive")
+    models, predicted = tuning.refit_additive(df, params, design, series=series)
+    predictions = prediction_frame(_holdout(df), predicted, name, keys=[*series, "ds"])
+    with manifest.publish(df.sparkSession, path) as published:
+        where = results.write_parameters(additive.parameter_table(models, series=series), f"{published.folder}/{name}_parameters")
+        extra = {"base_model": "additive", "params": asdict(params), "features": list(design.regressors), "model_path": where}
+        record = results.save_model_outputs(name, predictions, published.folder, extra | _row_counts(df))
+        published.record = results.write_tuning_outputs("additive", trial_table, list(asdict(params)), published.folder, record, chosen=best.asDict())
+    return published.record

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from datetime import date, datetime
+import math
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,52 @@ def test_overlapping_events_multiply(spark):
     assert drawn == pytest.approx([1.0, 2.1, 1.5, 1.25])
 
 
+def _boost(events, ds, draw):
+    product = 1.0
+    for start, end, multiplier, lo, hi in events:
+        if start <= ds <= end:
+            product *= multiplier if multiplier is not None else lo + (hi - lo) * draw if draw is not None and lo is not None else 1.0
+    return product
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_many_overlapping_events_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(E, "_FEW_FACTORS", few)
+    rng, origin = random.Random(few), datetime(2024, 2, 28, 20)
+    moments = [origin + timedelta(minutes=rng.randrange(5000)) for _ in range(80)]
+    events = []
+    for _ in range(150):
+        start = rng.choice(moments)
+        end = start + timedelta(minutes=rng.choice([-5, 0, 1, 600, 3000]))
+        kind = rng.randrange(4)
+        multiplier = [rng.choice([0.5, 1.1, 0.0, -2.0]), rng.uniform(0.8, 1.2), None, None][kind]
+        events.append((start, end, multiplier, *((0.9, 1.3) if kind == 2 else (None, None))))
+    table = spark.createDataFrame([("x", *e) for e in events], "scenario string, start timestamp_ntz, end timestamp_ntz, multiplier double, multiplier_lo double, multiplier_hi double")
+    times = [*moments, *[m + timedelta(minutes=rng.choice([1, 600, 601])) for m in moments], None]
+    rows = spark.createDataFrame([(i, t, rng.choice([0.25, 0.75, None])) for i, t in enumerate(times)], "id int, ds timestamp_ntz, luck double")
+    for draw in (None, F.col("luck")):
+        found = E.with_event_boost(rows, table, draw=draw).collect()
+        assert len(found) == len(times)
+        for r in found:
+            expected = 1.0 if r["ds"] is None else _boost(events, r["ds"], r["luck"] if draw is not None else None)
+            assert r["event_boost"] == pytest.approx(expected, rel=1e-12, abs=1e-300)
+
+
+def test_a_hundred_thousand_events_in_a_day(spark):
+    """All overlap at noon; every one begins at a second of its own or shared, and has one of 1,000 multipliers."""
+    events = spark.range(100_000).select(
+        F.lit("x").alias("scenario"),
+        F.expr("timestamp_ntz'2024-05-01 00:00:00' + make_dt_interval(0, 0, 0, id % 40000)").alias("start"),
+        F.expr("timestamp_ntz'2024-05-01 23:59:59' - make_dt_interval(0, 0, 0, id % 40000)").alias("end"),
+        F.exp((F.col("id") % 1000 - 499.5) * 1e-6).alias("multiplier"),
+        *[F.lit(None).cast("double").alias(f"multiplier_{c}") for c in ("lo", "hi")],
+    )
+    df = at(spark, "2024-05-01 00:00:00", "2024-05-01 06:00:00", "2024-05-01 12:00:00", "2024-05-02 00:00:00")
+    found = [r["event_boost"] for r in E.with_event_boost(df, events).orderBy("ds").collect()]
+    logs = [sum((i % 1000 - 499.5) * 1e-6 for i in range(100_000) if i % 40_000 <= t and 86_399 - i % 40_000 >= t) for t in (0, 21_600, 43_200)]
+    assert found == pytest.approx([*map(math.exp, logs), 1.0], rel=1e-12)
+
+
 def test_event_services(spark):
     events = E.with_event_services(E.event_calendar(spark.createDataFrame([(2024,)], "year int")))
     assert {tuple(r["services"]) for r in events.collect()} == {tuple(fixed.SERVICES)}

@@ -371,3 +371,51 @@ def test_linear_recursion_needs_no_python(spark, rows_per_round):
     assert "Python" not in plan and "Pandas" not in plan and len(a) == 15 + 12
     assert a["service"].tolist() == b["service"].tolist() and a["rn"].tolist() == b["rn"].tolist() and a["ds"].tolist() == b["ds"].tolist()
     np.testing.assert_allclose(a["y"], b["y"], atol=1e-12)
+
+
+def penalised_error(matrix, penalty, absolute, b):
+    return 0.5 * b @ matrix[:-1, :-1] @ b - matrix[:-1, -1] @ b + 0.5 * (penalty * b * b).sum() + (absolute * np.abs(b)).sum()
+
+
+@pytest.mark.parametrize("strength", [0.01, 1.0, 30.0, 1e6])
+def test_sparse_fit_meets_the_conditions_of_its_minimum(strength):
+    rng = np.random.default_rng(4)
+    t = np.linspace(0, 1, 300)
+    z = np.column_stack([np.ones(300), t, *[np.maximum(t - k / 25, 0) for k in range(1, 26)], rng.normal(size=(300, 3)), np.zeros(300)])
+    y = 2 + t - 3 * np.maximum(t - 0.4, 0) + 0.5 * z[:, -2] + 0.05 * rng.normal(size=300)
+    both = np.column_stack([z, y])
+    matrix, penalty, absolute = both.T @ both, np.full(31, 1e-3), np.zeros(31)
+    penalty[2:27], absolute[2:27] = 0.0, strength
+    b = gram.sparse(matrix, penalty, absolute)
+    slope = matrix[:-1, -1] - matrix[:-1, :-1] @ b - penalty * b
+    own = absolute > 0
+    np.testing.assert_allclose(slope[~own], 0, atol=1e-5)
+    assert np.all(np.abs(slope[own]) <= strength + 1e-5)
+    np.testing.assert_allclose(slope[own & (b != 0)], strength * np.sign(b[own & (b != 0)]), atol=1e-5)
+    assert b[-1] == 0 and (b[2:27] == 0).sum() >= (25 if strength == 1e6 else 15)
+    for _ in range(20):
+        near = b + rng.normal(size=31) * rng.choice([1e-4, 1e-2])
+        assert penalised_error(matrix, penalty, absolute, b) <= penalised_error(matrix, penalty, absolute, near) + 1e-9
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_additive_fit_is_the_same_in_one_task_or_many(seasonal, mode):
+    train = seasonal.where("fold = 'train' AND pmod(hour(ds), 6) = 0")
+    trials = {3: additive.AdditiveParams(mode), 5: additive.AdditiveParams(mode, 0.5, changepoint_range=0.9), 8: additive.AdditiveParams(mode, changepoints="sparse")}
+    whole, parts = (
+        {(m["service"], m["trial"]): m for m in additive.fit_additive(train, trials, series=["service"], rows_per_task=n).collect()} for n in (10**6, 700)
+    )
+    assert sorted(whole) == sorted(parts) == [(s, t) for s in ("plus", "times") for t in (3, 5, 8)]
+    for key, m in whole.items():
+        assert m["state"] == parts[key]["state"] == "COMPLETE"
+        for name in ("trend", "season"):
+            np.testing.assert_allclose(parts[key][name], m[name], rtol=1e-5, atol=1e-7)
+    zeros = {t: sum(v == 0 for v in whole["plus", t]["trend"][2:]) for t in trials}
+    assert zeros[8] > 0 == zeros[3]  # the double-exponential prior drops changepoints, the ridge none
+
+
+def test_a_series_that_cannot_be_fitted_is_a_row(spark, seasonal):
+    train = seasonal.where("fold = 'train' AND hour(ds) = 0").withColumn("y", F.when(F.col("service") == "plus", F.lit(float("nan"))).otherwise(F.col("y")))
+    for rows in (10**6, 100):
+        models = additive.fit_additive(train, {0: additive.AdditiveParams()}, series=["service"], rows_per_task=rows).collect()
+        assert {(m["service"], m["state"], m["error"] is None, m["trend"] is None) for m in models} == {("plus", "FAIL", False, True), ("times", "COMPLETE", True, False)}

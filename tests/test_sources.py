@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from headroom import fixed_values as fixed
 from headroom.functions.clock import HOUR
 from headroom.operators import features, ranking, tuning
+from headroom.operators.forecast.additive import AdditiveParams
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.sizing import DEFAULT_SERVICE_POLICIES
 from headroom.plans import runs
-from headroom.sources import policies, results, tables
+from headroom.sources import manifest, policies, results, tables
 
 GOOD = {"smape": 0.2, "pod_accuracy": 0.8, "under_provisioning_rate": 0.1, "over_provisioning_rate": 0.1}
 
@@ -124,7 +125,31 @@ def test_service_run_is_written_whole(spark, tmp_path, service_rows):
     assert spark.read.parquet(record["prediction_path"]).count() == 24
     decisions = spark.read.parquet(record["onprem_decision_path"])
     assert decisions.groupBy("ds").agg(F.sum("onprem_adjusted_pods").alias("n")).where("n > 6").isEmpty()
-    assert results.read_parameters(spark, f"{tmp_path}/service_gru_parameters").count() == 2 * 6
+    published = manifest.current(spark, str(tmp_path))
+    assert published.record["prediction_path"] == record["prediction_path"]
+    assert results.read_parameters(spark, f"{published.folder}/service_gru_parameters").count() == 2 * 6
+
+
+def test_readers_see_whole_runs_only(spark, tmp_path, service_rows, monkeypatch):
+    """A run that dies between two writes changes nothing for readers; the next whole one does."""
+    path, params = str(tmp_path), RecurrentParams(sequence_length=4, hidden_size=2, epochs=1)
+    with pytest.raises(FileNotFoundError):
+        manifest.current(spark, path)
+    run = runs.run_services(features.with_fold(service_rows, series=["service"], step=HOUR), params, pod_budget=6, step=HOUR)
+    first = runs.save_services(run, path, params, 6)
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("lost between two writes")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(results, "write_record", dies)  # predictions, metrics and decisions are written by then
+        with pytest.raises(RuntimeError, match="between two writes"):
+            runs.save_services(run, path, params, 3)
+    seen = manifest.current(spark, path).record
+    assert seen == first and seen["onprem_pod_budget"] == 6 and spark.read.parquet(seen["prediction_path"]).count() == 24
+    assert len(list((tmp_path / "_runs").iterdir())) == 2
+    runs.save_services(run, path, params, 3)
+    assert manifest.current(spark, path).record["onprem_pod_budget"] == 3
 
 
 def test_tuning_run_is_written_whole(spark, tmp_path, service_rows):
@@ -137,7 +162,23 @@ def test_tuning_run_is_written_whole(spark, tmp_path, service_rows):
     assert (summary["best_trial"], summary["tuned_model"]) == (0, "gru_tuned")
     assert results.read_record(spark, summary["best_params_path"])["dropout"] == 0.0
     assert spark.read.parquet(summary["trials_path"]).where("state = 'FAIL'").count() == 2
-    assert summary["tuned_metrics"]["base_model"] == "gru"
+    tuned = summary["tuned_metrics"]
+    assert tuned["base_model"] == "gru" and tuned["features"] == fixed.MODEL_FEATURES
+    counts = {row["fold"]: row["count"] for row in df.groupBy("fold").count().collect()}
+    assert {f"{fold}_rows": n for fold, n in counts.items()}.items() <= tuned.items()
+    assert results.read_parameters(spark, tuned["model_path"]).count() > 0 and manifest.current(spark, str(tmp_path)).record["best_trial"] == 0
+
+
+def test_additive_search_is_refitted_and_written_whole(spark, tmp_path, service_rows):
+    df = features.with_fold(service_rows, series=["service"], step=HOUR, validation_ratio=0.2)
+    trials = {0: AdditiveParams(), 1: AdditiveParams("multiplicative", 0.5), 2: AdditiveParams(changepoints="sparse")}
+    summary = runs.tune_and_refit_additive(df, trials, str(tmp_path), series=["service"])
+    assert summary["tuned_model"] == "additive_tuned" and summary["best_trial"] in trials
+    tuned = summary["tuned_metrics"]
+    assert tuned["train_rows"] + tuned["validation_rows"] + tuned["holdout_rows"] == df.count()
+    predictions = spark.read.parquet(tuned["prediction_path"])
+    assert predictions.count() == tuned["holdout_rows"] and predictions.where("predicted < 0 OR predicted IS NULL").isEmpty()
+    assert results.read_parameters(spark, tuned["model_path"]).where("param = 'trend'").count() == 2
 
 
 def test_the_trial_with_the_best_mean_is_the_written_one(spark, tmp_path):
