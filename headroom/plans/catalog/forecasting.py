@@ -73,6 +73,11 @@ def fit_sarimax(spark, sf_dir):
     return runs.run_seasonal_ar(services_in_folds(spark, sf_dir), series=["service"], step=HOUR)
 
 
+def fit_pooled(spark, sf_dir):
+    """One model over the days of all suppliers."""
+    return runs.run_pooled(suppliers_in_folds(spark, sf_dir), "gru", RecurrentParams(epochs=20), series=["supplier"])[1]
+
+
 def _fit(cell: str):
     def query(spark, sf_dir):
         return runs.run_sequence(services_in_folds(spark, sf_dir), cell, PARAMS, series=["service"], step=HOUR)[1]
@@ -205,6 +210,7 @@ QUERIES = {
     "fit_sarimax": fit_sarimax,
     "fit_gru": _fit("gru"),
     "fit_lstm": _fit("lstm"),
+    "fit_pooled": fit_pooled,
     "run_sequence": run_sequence,
     "model_parameters": model_parameters,
     "fit_per_service": fit_per_service,

@@ -14,6 +14,7 @@ from headroom.operators.forecast import additive, recurrent, seasonal_ar
 from headroom.operators.forecast.additive import AdditiveParams, Design
 from headroom.operators.forecast.cells import RecurrentParams
 from headroom.operators.forecast.frames import prediction_frame
+from headroom.operators.forecast.pooled import Pooling
 from headroom.session import settle
 from headroom.sources import manifest, results
 
@@ -84,6 +85,22 @@ def run_sequence(
     return models, prediction_frame(_holdout(df), predicted, model or cell, keys=[*series, "ds"])
 
 
+def run_pooled(
+    df: DataFrame,
+    cell: str,
+    params: RecurrentParams = RecurrentParams(),
+    pooling: Pooling = Pooling(),
+    *,
+    series: Sequence[str],
+    step: int | None = None,
+    seed: int = 42,
+    model: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Train one recurrent model over all series and forecast the holdout of each: models and predictions."""
+    models, predicted = tuning.refit_pooled(df, cell, params, pooling, series=series, step=step, seed=seed)
+    return models, prediction_frame(_holdout(df), predicted, model or f"pooled_{cell}", keys=[*series, "ds"])
+
+
 def run_services(
     df: DataFrame,
     params: RecurrentParams = RecurrentParams(epochs=30),
