@@ -50,3 +50,55 @@ def score_candidates(candidates: DataFrame, scored: DataFrame, *, by: str = "can
             "combined_score": F.coalesce("combined_score", F.lit(FAILED_FITNESS)),
         }
     )
+
+
+def judged_forecasts(
+    candidates: DataFrame,
+    rows: DataFrame,
+    forecasts: DataFrame,
+    *,
+    keys: Sequence[str],
+    by: str = "candidate",
+    fold: str = "fold",
+) -> DataFrame:
+    """Per listed candidate: rows it could learn from, rows it had to forecast, rows it did, and why it fails, if it does.
+
+    ``rows`` has ``keys`` and ``fold``, ``forecasts`` has ``by``, ``keys`` and ``predicted``. A forecast is usable if every
+    holdout row has one finite value; the reason names the first that is not so, in the order missing, repeated, not finite. Forecasts of
+    other rows, and of candidates that are not listed, are left out.
+    """
+    keys = list(keys)
+    value = F.col("predicted").cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    asked = rows.where(F.col(fold) == "holdout").select(*keys)
+    given = forecasts.join(asked, keys, "left_semi").groupBy(by, *keys).agg(F.count(F.lit(1)).alias("_given"), F.count_if(~finite).alias("_bad"))
+    found = given.groupBy(by).agg(
+        F.count(F.lit(1)).alias("forecast_rows"),
+        F.count_if(F.col("_given") > 1).alias("_repeated"),
+        F.sum("_bad").alias("_bad"),
+    )
+    counts = {f"{label}_rows": rows.agg(F.count_if(F.col(fold) == label)).scalar() for label in ("train", "holdout")}
+    joined = candidates.select(by).distinct().join(found, by, "left").withColumns(counts)
+    missing = F.col("holdout_rows") - F.coalesce("forecast_rows", F.lit(0))
+    reason = (
+        F.when(F.col("forecast_rows").isNull(), "no forecast")
+        .when(missing > 0, F.concat(F.lit("no forecast for "), missing.cast("string"), F.lit(" rows")))
+        .when(F.col("_repeated") > 0, F.concat(F.lit("several forecasts for "), F.col("_repeated").cast("string"), F.lit(" rows")))
+        .when(F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(" forecasts are not finite")))
+    )
+    return joined.select(
+        by, "train_rows", "holdout_rows", F.coalesce("forecast_rows", F.lit(0)).cast("bigint").alias("forecast_rows"), reason.alias("error")
+    )
+
+
+def score_forecasts(judged: DataFrame, scored: DataFrame, *, by: str = "candidate") -> DataFrame:
+    """``judged_forecasts`` with the scores of those that succeeded; the others get the failure values whatever they scored."""
+    joined = judged.join(scored, by, "left")
+    failed = F.col("error").isNotNull() | F.col("combined_score").isNull()
+    return joined.withColumns(
+        {
+            "error": F.when(failed, F.coalesce("error", F.lit("no score"))),
+            "penalty_score": F.when(failed, F.lit(FAILED_PENALTY)).otherwise(F.col("penalty_score")),
+            "combined_score": F.when(failed, F.lit(FAILED_FITNESS)).otherwise(F.col("combined_score")),
+        }
+    )

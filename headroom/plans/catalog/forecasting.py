@@ -24,6 +24,7 @@ from headroom.plans.traffic import (
     table,
 )
 from headroom.session import scratch_path, settle
+from headroom.sources import results
 
 PARAMS = RecurrentParams()
 
@@ -160,13 +161,16 @@ def small_weights(cell: str) -> list[float]:
     return [*inputs, *given["past"], *given["ih"], *given["hh"], *SMALL_OUT]
 
 
-def _small_forecast(cell: str):
+def _small_forecast(cell: str, stored: bool = False):
     def query(spark, sf_dir):
-        """Recursive forecast of every service by the network of given weights, unscaled and floored."""
+        """Recursive forecast of every service by the network of given weights, unscaled and floored; ``stored``, by its parameter file."""
         df = services_in_folds(spark, sf_dir)
         rows, scaling = recurrent.prepare(df, series=["service"], step=HOUR)
         weights = F.array(*[F.lit(w) for w in small_weights(cell)])
         models = rows.select("service").distinct().select("service", F.lit(0).alias("trial"), F.lit("COMPLETE").alias("state"), weights.alias("weights"))
+        if stored:
+            path = results.write_parameters(recurrent.parameter_table(models, cell, SMALL, series=["service"]), scratch_path(spark, "parameters"))
+            models = recurrent.models_from_parameters(results.read_parameters(spark, path), cell, SMALL, series=["service"])
         out = recurrent.forecast_recurrent(rows, models, scaling, cell, SMALL, series=["service"])
         return rounded(out.select("service", "ds", "predicted"), ["predicted"], 6)
 
@@ -222,6 +226,8 @@ QUERIES = {
     "additive_balance": additive_balance,
     "gru_forecast": _small_forecast("gru"),
     "lstm_forecast": _small_forecast("lstm"),
+    "stored_gru_forecast": _small_forecast("gru", stored=True),
+    "stored_lstm_forecast": _small_forecast("lstm", stored=True),
     "tune_sequence": tune_sequence,
     "tune_halving": tune_halving,
     "tune_additive_refit": tune_additive_refit,
@@ -311,6 +317,8 @@ ORACLE = {
           CAST(0 AS DOUBLE) AS left_over, TRUE AS penalised FROM days""",
     "gru_forecast": _small_sql("gru"),
     "lstm_forecast": _small_sql("lstm"),
+    "stored_gru_forecast": _small_sql("gru"),
+    "stored_lstm_forecast": _small_sql("lstm"),
     "floor_zero": "SELECT l_orderkey, l_linenumber, greatest(l_quantity - 25, 0) AS predicted FROM lineitem",
     "prediction_frame": f"""WITH {S.PREDICTIONS} SELECT ds, service, actual, predicted, {S.default_pods('actual')} AS actual_pods,
         {S.default_pods('predicted')} AS predicted_pods, 'naive' AS model FROM predictions""",

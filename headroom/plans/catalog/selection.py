@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from headroom.functions.clock import HOUR
 from headroom.operators import evaluation as V
 from headroom.operators import ranking as R
-from headroom.operators import reports, trials
+from headroom.operators import features, reports, trials
 from headroom.plans.catalog import sql as S
 from headroom.plans.catalog.common import rounded
-from headroom.plans.catalog.evaluation import _MODEL_CARD
-from headroom.plans.traffic import model_predictions, service_predictions
+from headroom.plans.catalog.evaluation import _MODEL_CARD, _card
+from headroom.plans.traffic import model_predictions, service_predictions, service_traffic
 from headroom.schemas import METRIC_COLUMNS
 from headroom.session import scratch_path, settle
 from headroom.sources import results
@@ -93,6 +93,22 @@ def score_candidates(spark, sf_dir):
     return rounded(trials.score_candidates(names, scored), ["penalty_score", "combined_score"], 6)
 
 
+def judged_candidates(spark, sf_dir):
+    """Forecasts of the holdout hours, damaged in several ways: candidates with their row counts, reasons and scores."""
+    rows = settle(features.with_fold(service_traffic(spark, sf_dir), series=["service"], step=HOUR))
+    held = rows.where("fold = 'holdout'").select("ds", "service")
+    given = model_predictions(spark, sf_dir).withColumnRenamed("model", "candidate").join(held, ["ds", "service"], "left_semi")
+    at = F.hour("ds")
+    late, broken = (F.col("candidate") == "week") & (at < 6), (F.col("candidate") == "padded") & (at == 7)
+    damaged = given.where(~late).withColumn("predicted", F.when(broken, F.lit(float("nan"))).otherwise(F.col("predicted")))
+    damaged = settle(damaged.unionByName(damaged.where((F.col("candidate") == "blend") & (at == 5))))
+    names = spark.createDataFrame([(n,) for n in ("day", "week", "blend", "padded", "absent")], "candidate string")
+    judged = trials.judged_forecasts(names, rows, damaged, keys=["ds", "service"])
+    whole = damaged.join(judged.where("error IS NULL"), "candidate", "left_semi")
+    scored = V.score_card(whole, series=["candidate", "service"], step=HOUR).select("candidate", "service", "penalty_score", "combined_score")
+    return rounded(trials.score_forecasts(judged, scored), ["penalty_score", "combined_score"], 6)
+
+
 QUERIES = {
     "rank_models": rank_models,
     "rank_models_per_service": rank_models_per_service,
@@ -104,6 +120,7 @@ QUERIES = {
     "save_comparison": save_comparison,
     "save_tuning": save_tuning,
     "score_candidates": score_candidates,
+    "judged_candidates": judged_candidates,
 }
 
 # --- SQL checks -----------------------------------------------------------------
@@ -148,4 +165,20 @@ ORACLE = {
         SELECT n.candidate, c.service, CASE WHEN c.model IS NULL THEN 'no forecast' END AS error,
           {S.rounded('coalesce(penalty_score, 999)', 6)} AS penalty_score, {S.rounded('coalesce(1 / (1 + penalty_score), 0)', 6)} AS combined_score
         FROM (SELECT unnest(['day', 'week', 'blend', 'padded', 'absent']) AS candidate) n LEFT JOIN card c ON c.model = n.candidate""",
+    "judged_candidates": f"""WITH {S.MODELS}, numbered AS (
+          SELECT ds, service, row_number() OVER (PARTITION BY service ORDER BY ds)
+            <= floor(CAST(count(*) OVER (PARTITION BY service) AS DOUBLE) * {S.number(1 - 0.2)}) AS known FROM traffic),
+        held AS (SELECT m.* FROM models m JOIN numbered n ON n.ds = m.ds AND n.service = m.service AND NOT n.known),
+        counts AS (SELECT count(*) FILTER (known) AS train_rows, count(*) FILTER (NOT known) AS holdout_rows,
+            count(*) FILTER (NOT known AND hour(ds) < 6) AS late, count(*) FILTER (NOT known AND hour(ds) = 5) AS twice,
+            count(*) FILTER (NOT known AND hour(ds) = 7) AS broken FROM numbered),
+        {_card("(SELECT *, model AS candidate FROM held WHERE model = 'day')", 'candidate, service')}
+        SELECT n.candidate, train_rows, holdout_rows,
+          CASE n.candidate WHEN 'absent' THEN 0 WHEN 'week' THEN holdout_rows - late ELSE holdout_rows END AS forecast_rows,
+          CASE n.candidate WHEN 'absent' THEN 'no forecast' WHEN 'week' THEN 'no forecast for ' || late || ' rows'
+            WHEN 'blend' THEN 'several forecasts for ' || twice || ' rows' WHEN 'padded' THEN broken || ' forecasts are not finite' END AS error,
+          c.service, {S.rounded('coalesce(penalty_score, 999)', 6)} AS penalty_score,
+          {S.rounded('coalesce(1 / (1 + penalty_score), 0)', 6)} AS combined_score
+        FROM (SELECT unnest(['day', 'week', 'blend', 'padded', 'absent']) AS candidate) n CROSS JOIN counts
+        LEFT JOIN card c ON c.candidate = n.candidate""",
 }

@@ -1,8 +1,10 @@
-"""Service policies as JSON: a map from service to its policy."""
+"""Configuration as JSON: a map from service to its policy, and parameters of a model."""
 
 from __future__ import annotations
 
-from dataclasses import fields
+import json
+from dataclasses import asdict, fields
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from headroom import schemas
 from headroom.operators.sizing import DEFAULT_SERVICE_POLICIES, Policies, ServicePolicy, policy_frame
 
+Params = TypeVar("Params")
+
 
 def policy_rows(spark: SparkSession, path: str) -> DataFrame:
     """The policies of a JSON file, one row per service."""
@@ -47,3 +51,31 @@ def policies_json(spark: SparkSession, policies: Policies = DEFAULT_SERVICE_POLI
 def write_service_policies(spark: SparkSession, path: str, policies: Policies = DEFAULT_SERVICE_POLICIES) -> str:
     policies_json(spark, policies).write.mode("overwrite").text(path)
     return path
+
+
+def load_params(spark: SparkSession, kind: type[Params], path: str | None = None) -> Params:
+    """Parameters of a model (``AdditiveParams``, ``RecurrentParams``) from a JSON object; what it does not name keeps its default.
+
+    Names the model does not know and values of another type are an error. Parameters written by a search can be read back.
+    """
+    if path is None:
+        return kind()
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"{path} does not exist") from missing
+    given = json.loads(text["value"]) if text else None
+    if not isinstance(given, dict):
+        raise schemas.TableError(f"{path} holds no JSON object")
+    defaults = asdict(kind())
+    if unknown := sorted(set(given) - set(defaults)):
+        raise schemas.TableError(f"{path}: {kind.__name__} has no {unknown}")
+    values = {}
+    for name, value in given.items():
+        wanted = type(defaults[name])
+        if wanted is float and type(value) is int:
+            value = float(value)
+        if type(value) is not wanted:
+            raise schemas.TableError(f"{path}: {name} has to be of type {wanted.__name__}")
+        values[name] = value
+    return kind(**values)

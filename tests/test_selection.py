@@ -108,3 +108,25 @@ def test_registered_searches_draw_the_whole_space(spark, monkeypatch):
     assert len(searched["sequence"]) == 30 and len(searched["additive"]) == 20
     assert searched["sequence"] == tuning.read_trials(tuning.sequence_space(spark), RecurrentParams)
     assert searched["additive"] == tuning.read_trials(tuning.additive_space(spark), AdditiveParams)
+
+
+def test_candidates_fail_for_a_reason(spark):
+    rows = spark.createDataFrame([(i, "train" if i < 6 else "holdout") for i in range(10)], "ds int, fold string")
+    given = [("good", i, 1.0) for i in range(10)] + [("short", 6, 1.0), ("short", 7, None)] + [("early", 1, 1.0)]
+    given += [("twice", i, 1.0) for i in (6, 7, 8, 9, 9)] + [("nan", i, float("nan")) for i in range(6, 10)] + [("unlisted", 6, 1.0)]
+    forecasts = spark.createDataFrame(given, "candidate string, ds int, predicted double")
+    names = spark.createDataFrame([(n,) for n in ("good", "short", "early", "twice", "nan", "absent", "good")], "candidate string")
+    judged = T.judged_forecasts(names, rows, forecasts, keys=["ds"])
+    found = {r["candidate"]: tuple(r)[1:] for r in judged.collect()}
+    assert found == {
+        "good": (6, 4, 4, None),
+        "short": (6, 4, 2, "no forecast for 2 rows"),
+        "early": (6, 4, 0, "no forecast"),
+        "twice": (6, 4, 4, "several forecasts for 1 rows"),
+        "nan": (6, 4, 4, "4 forecasts are not finite"),
+        "absent": (6, 4, 0, "no forecast"),
+    }
+    scores = spark.createDataFrame([("good", 0.5, 0.7), ("nan", 0.1, 0.9)], "candidate string, penalty_score double, combined_score double")
+    scored = {r["candidate"]: (r["error"], r["penalty_score"], r["combined_score"]) for r in T.score_forecasts(judged, scores).collect()}
+    assert scored["good"] == (None, 0.5, 0.7) and scored["nan"] == ("4 forecasts are not finite", 999.0, 0.0)
+    assert T.judged_forecasts(names, rows.where("false"), forecasts, keys=["ds"]).where("error = 'no forecast'").count() == 6

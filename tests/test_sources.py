@@ -189,3 +189,20 @@ def test_the_trial_with_the_best_mean_is_the_written_one(spark, tmp_path):
     summary = results.write_tuning_outputs("model", table, ["factor"], str(tmp_path), chosen=best.asDict())
     assert (best["trial"], summary["best_trial"], summary["best_objective_score"]) == (1, 1, 0.30)
     assert results.read_record(spark, summary["best_params_path"]) == {"factor": 0.7}
+
+
+def test_parameters_of_a_model_come_from_json(spark, tmp_path):
+    def load(kind, **given):
+        return policies.load_params(spark, kind, results.write_record(spark, given, str(tmp_path / "params.json")))
+
+    assert policies.load_params(spark, AdditiveParams) == AdditiveParams()
+    assert load(AdditiveParams, seasonality_mode="multiplicative", holidays_prior_scale=2) == AdditiveParams("multiplicative", holidays_prior_scale=2.0)
+    assert load(RecurrentParams, epochs=7, dropout=0.1, num_layers=2) == RecurrentParams(epochs=7, dropout=0.1, num_layers=2)
+    with pytest.raises(ValueError, match="has no"):
+        load(AdditiveParams, growth="flat")
+    with pytest.raises(ValueError, match="of type int"):
+        load(RecurrentParams, epochs="7")
+    with pytest.raises(ValueError, match="changepoint_range"):
+        load(AdditiveParams, changepoint_range=2.0)
+    with pytest.raises(FileNotFoundError):
+        policies.load_params(spark, AdditiveParams, str(tmp_path / "absent.json"))
