@@ -22,8 +22,11 @@ from headroom.session import settle
 GOOD, ABSTAIN, BAD = 1, 0, -1
 LOW_BITS = 24  # positions in a packed window; texts with more words take the slower way
 ROUNDS = 10
-#: Bounds that keep the two classes what they are meant to be: an alarm is rare on good texts, not
+#: Rules that look for a defect; the others look at the shape of a text, which good ones may lack too.
+DEFECTS = ("symbols", "repeats", "lines", "shouting", "calls")
+#: Bounds that keep the two classes what they are meant to be: the alarm of a defect is rare on good texts, not
 #: too rare on bad ones, and a good vote never counts against a text, nor for more than this.
+#: How often a rule of shape errs is for the corpus to say; its alarm never counts in favour of a text.
 MOST_FALSE_ALARMS, LEAST_ALARMS, MOST_PRAISE = 0.002, 0.05, 0.5
 SIDES = ("good", "bad")
 
@@ -158,7 +161,10 @@ def _model(row: dict) -> dict:
             for side, total in (("good", good), ("bad", bad))
             for vote in (GOOD, BAD)
         }
-        alarms = min(rate["good", BAD], MOST_FALSE_ALARMS), max(rate["bad", BAD], LEAST_ALARMS)
+        if name in DEFECTS:
+            alarms = min(rate["good", BAD], MOST_FALSE_ALARMS), max(rate["bad", BAD], LEAST_ALARMS)
+        else:
+            alarms = rate["good", BAD], max(rate["bad", BAD], rate["good", BAD])
         silence = math.log(1 - alarms[0]) - math.log(1 - alarms[1])
         praise = math.log(rate["good", GOOD]) - math.log(rate["bad", GOOD])
         weights[name] = {
@@ -172,10 +178,11 @@ def _model(row: dict) -> dict:
 def fit(votes: DataFrame, rounds: int = ROUNDS) -> dict:
     """Expectation-maximisation over the vote patterns of all rows.
 
-    It starts from "bad with probability 0.9 if any rule says so". Without rows the bounds
+    It starts from "bad with probability 0.9 if any rule sees a defect". Without rows the bounds
     make the model.
     """
     names = [f"vote_{name}" for name in rules()]
+    seen = F.least(*[f"vote_{name}" for name in DEFECTS])
     patterns = settle(votes.groupBy(*names).agg(F.count("*").alias("n_rows")).coalesce(1))
 
     def maximised(posterior: Column) -> dict:
@@ -188,7 +195,7 @@ def fit(votes: DataFrame, rounds: int = ROUNDS) -> dict:
                 sums += [F.sum(F.when(hit, F.col(side))).alias(f"{side}_{name}_{vote}") for side in SIDES]
         return _model(parts.agg(*sums).first().asDict())
 
-    model = maximised(F.when(F.least(*names) == BAD, 0.1).otherwise(0.9))
+    model = maximised(F.when(seen == BAD, 0.1).otherwise(0.9))
     for _ in range(rounds):
         model = maximised(_probability(_evidence(model)))
     return model

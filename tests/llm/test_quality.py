@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -92,3 +93,41 @@ def test_held_out_labels_are_not_learned(spark, rows):
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     docs = rows(*texts)
     assert (quality_classifier.fit(docs, labels) == quality_classifier.fit(docs, turned)).all()
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation over single documents, without Spark: the chance that each is good."""
+    names, defects = list(quality_rules.rules()), set(quality_rules.DEFECTS)
+    good = [0.1 if any(vote[n] == -1 for n in defects) else 0.9 for vote in votes]
+    for _ in range(quality_rules.ROUNDS + 1):
+        total = {"good": sum(good), "bad": len(good) - sum(good)}
+
+        def rate(side, name, value):
+            hits = sum(g if side == "good" else 1 - g for g, vote in zip(good, votes) if vote[name] == value)
+            return (hits + 1) / (total[side] + 3)
+
+        gain = {}
+        for n in names:
+            on_good, on_bad = rate("good", n, -1), rate("bad", n, -1)
+            on_good, on_bad = (min(on_good, 0.002), max(on_bad, 0.05)) if n in defects else (on_good, max(on_good, on_bad))
+            silent = math.log((1 - on_good) / (1 - on_bad))
+            praise = math.log(rate("good", n, 1) / rate("bad", n, 1))
+            gain[n] = {-1: math.log(on_good / on_bad), 0: silent, 1: silent + min(max(praise, 0), 0.5)}
+        prior = math.log((total["good"] + 1) / (total["bad"] + 1))
+        good = [1 / (1 + math.exp(-prior - sum(gain[n][vote[n]] for n in names))) for vote in votes]
+    return good
+
+
+def test_posteriors_equal_a_plain_version_and_beat_all_must_pass(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    found = judged.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").collect()
+    votes = [{n: row[f"vote_{n}"] for n in quality_rules.rules()} for row in found]
+    for row, chance in zip(found, plain_posteriors(votes)):
+        assert abs(row["posterior"] - chance) < 1e-9
+        assert row["kept"] == (not row["base_failed"] and chance >= 0.5)
+    strict = [min(vote.values()) > -1 for vote in votes]
+    assert sum((row["posterior"] >= 0.5) != passed for row, passed in zip(found, strict)) >= len(found) // 100
+    known = [(row["posterior"] >= 0.5, passed, row["quality"] == 1) for row, passed in zip(found, strict) if row["quality"] is not None]
+    wrong, strictly_wrong = (sum(entry[i] != entry[2] for entry in known) for i in (0, 1))
+    assert 2 * wrong <= strictly_wrong
