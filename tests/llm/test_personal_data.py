@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from headroom.llm import personal_data
+from headroom.llm import catalog, personal_data
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,3 +75,12 @@ def test_repeated_rows_and_empty_table(rows):
     found = personal_data.with_spans(rows(text, text, text, ids=[1, 1, None]), "doc_id")
     assert [(s.kind, s.begin, s.end) for r in found.collect() for s in r.spans] == [(0, 5, 13)] * 3
     assert personal_data.with_spans(rows(ids=[]), "doc_id").count() == 0
+
+
+def test_query_counts_each_kind(rows, spark, tmp_path):
+    texts = ["x@y.zz a.b@c.de", "1.2.3.4", "4111111111111111", "call +49 30 1234567", "1.2.3.4 5.6.7.8 9.9.9.9 4111 1111 1111 1111 x@y.zz", "", None]
+    rows(*texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in catalog.op8_pii_bootstrap(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        kinds = [kind for kind, _, _ in plain(text or "")]
+        assert found[i] == tuple(kinds.count(k) for k in range(4)), text
