@@ -241,17 +241,17 @@ def _chunks(frames, keys: list[str], design: Design):
 
 
 def _fitter(trials: dict[int, AdditiveParams], design: Design, series: list[str], passes: int):
-    """All trials of each series, of which a task holds the rows."""
-
-    def fit(frames):
-        for key, facts, _, chunk in _chunks(frames, series, design):
-            out = []
-            for trial, params in trials.items():
-                try:
-                    out.append(_model(key, trial, facts, *chunk.fit(params, facts["rows"], passes)))
-                except Exception as problem:  # a failed trial is a result, not the end of the search
-                    out.append(_failure(key, trial, facts, problem))
-            yield pd.DataFrame(out)
+    """All trials of one series, whose rows come as one frame."""
+
+    def fit(frame):
+        [(key, facts, _, chunk)] = _chunks([frame], series, design)
+        out = []
+        for trial, params in trials.items():
+            try:
+                out.append(_model(key, trial, facts, *chunk.fit(params, facts["rows"], passes)))
+            except Exception as problem:  # a failed trial is a result, not the end of the search
+                out.append(_failure(key, trial, facts, problem))
+        return pd.DataFrame(out)
 
     return fit
 
@@ -365,9 +365,9 @@ def fit_additive(
         )
     )
     schema = T.StructType([train.schema[c] for c in series] + T.StructType.fromDDL(_MODEL).fields)
-    short = narrow.join(spans.where(F.col("rows") <= rows_per_task), series)
-    placed = short.drop(order).repartition(*series).sortWithinPartitions(*series)
-    models = settle(placed.mapInPandas(_fitter(trials, design, series, passes), schema))
+    short = narrow.join(spans.where(F.col("rows") <= rows_per_task), series).drop(order)
+    # grouped, not repartitioned: after a join on the same keys a repartition is left out, and the join may give up their order
+    models = settle(short.groupBy(*series).applyInPandas(_fitter(trials, design, series, passes), schema))
     if spans.where(F.col("rows") > rows_per_task).isEmpty():
         return models
     part = F.pmod(F.xxhash64(order), F.ceil(F.col("rows") / rows_per_task)).alias("_part")

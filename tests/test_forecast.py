@@ -419,3 +419,20 @@ def test_a_series_that_cannot_be_fitted_is_a_row(spark, seasonal):
     for rows in (10**6, 100):
         models = additive.fit_additive(train, {0: additive.AdditiveParams()}, series=["service"], rows_per_task=rows).collect()
         assert {(m["service"], m["state"], m["error"] is None, m["trend"] is None) for m in models} == {("plus", "FAIL", False, True), ("times", "COMPLETE", True, False)}
+
+
+def test_a_series_is_fitted_once_when_the_planner_gives_up_the_order_of_a_join(spark):
+    """The join is planned by sorting and turns into a broadcast at run time, which reads the shuffled rows by mapper."""
+    rows = spark.range(0, 2400, 1, 6).select(
+        (F.col("id") % 20).alias("k"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int))").alias("ds"), F.sin(F.col("id")).alias("y"), F.lit(0).alias("is_monsoon"), F.lit(0.0).alias("typhoon_index")
+    )
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        models = additive.fit_additive(rows, {0: additive.AdditiveParams(), 1: additive.AdditiveParams("multiplicative")}, series=["k"]).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert sorted((m["k"], m["trial"]) for m in models) == [(k, t) for k in range(20) for t in range(2)]
