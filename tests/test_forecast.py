@@ -421,18 +421,32 @@ def test_a_series_that_cannot_be_fitted_is_a_row(spark, seasonal):
         assert {(m["service"], m["state"], m["error"] is None, m["trend"] is None) for m in models} == {("plus", "FAIL", False, True), ("times", "COMPLETE", True, False)}
 
 
-def test_a_series_is_fitted_once_when_the_planner_gives_up_the_order_of_a_join(spark):
-    """The join is planned by sorting and turns into a broadcast at run time, which reads the shuffled rows by mapper."""
-    rows = spark.range(0, 2400, 1, 6).select(
-        (F.col("id") % 20).alias("k"), F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int))").alias("ds"), F.sin(F.col("id")).alias("y"), F.lit(0).alias("is_monsoon"), F.lit(0.0).alias("typhoon_index")
-    )
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned by sorting and turn into broadcasts at run time, which read the shuffled rows by mapper."""
     names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {name: spark.conf.get(name, None) for name in names}
-    try:
-        for name, value in names.items():
-            spark.conf.set(name, value)
-        models = additive.fit_additive(rows, {0: additive.AdditiveParams(), 1: additive.AdditiveParams("multiplicative")}, series=["k"]).collect()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@pytest.fixture
+def many_series(spark):
+    """Twenty series of 120 rows in six parts, the last 20 of each for the holdout."""
+    ds = F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id as int))")
+    rows = spark.range(0, 2400, 1, 6).select((F.col("id") % 20).alias("k"), ds.alias("ds"), F.sin(F.col("id")).alias("y"), F.when(F.col("id") < 2000, "train").otherwise("holdout").alias("fold"))
+    return rows.withColumns({"is_monsoon": F.lit(0), "typhoon_index": F.lit(0.0)})
+
+
+def test_a_series_is_fitted_once_when_a_join_gives_up_its_order(many_series, late_broadcast):
+    models = additive.fit_additive(many_series, {0: additive.AdditiveParams(), 1: additive.AdditiveParams("multiplicative")}, series=["k"]).collect()
     assert sorted((m["k"], m["trial"]) for m in models) == [(k, t) for k in range(20) for t in range(2)]
+
+
+def test_a_refit_predicts_each_row_once_when_a_join_gives_up_its_order(many_series, late_broadcast):
+    models, predicted = tuning.refit_additive(many_series, additive.AdditiveParams(), series=["k"])
+    assert models.count() == 20
+    assert predicted.count() == predicted.select("k", "ds").distinct().count() == 400
