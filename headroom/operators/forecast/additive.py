@@ -104,18 +104,6 @@ def days_since_epoch(df: DataFrame, order: str) -> Column:
     return order_value(df, order).cast("double") / F.lit(float(DAY))
 
 
-def _with_trials(df: DataFrame, trials: Mapping[int, AdditiveParams]) -> DataFrame:
-    entries = F.array(
-        *[
-            F.struct(F.lit(trial).alias("trial"), F.lit(params.changepoint_range).alias("range"))
-            for trial, params in trials.items()
-        ]
-    )
-    return df.withColumn("_trial", F.explode(entries)).select(
-        *df.columns, F.col("_trial.trial").alias("trial"), F.col("_trial.range").alias("_range")
-    )
-
-
 def columns(design: Design) -> tuple[list[Column], list[Column]]:
     t = (F.col("_days") - F.col("first_day")) / F.col("span_days")
     trend = list(trend_columns(t, F.col("_range")).values())
@@ -386,12 +374,17 @@ def predict_additive(
     order: str = "ds",
     floor: bool = True,
 ) -> DataFrame:
-    """Rows of ``future`` per trial with ``predicted``, floored at 0; all in one projection after a join."""
+    """Rows of ``future`` per trial with ``predicted``, floored at 0; all in one projection after a join.
+
+    A row meets the models of its series, one per trial. The join is a merge: the planner cannot foresee how
+    many rows that makes, and sizes tables by their compressed files, so neither side goes through the driver.
+    """
     if isinstance(trials, AdditiveParams):
         trials = {0: trials}
-    keys = [*series, "trial"]
-    rows = _with_trials(future, trials).withColumn("_days", days_since_epoch(future, order))
-    joined = rows.join(models.where("state = 'COMPLETE'").drop("state", "error"), keys)
+    ranges = F.create_map(*[F.lit(v) for trial, params in trials.items() for v in (trial, params.changepoint_range)])
+    fitted = models.where("state = 'COMPLETE'").where(F.col("trial").isin(list(trials))).drop("state", "error")
+    rows = future.withColumn("_days", days_since_epoch(future, order))
+    joined = rows.join(fitted.withColumn("_range", ranges[F.col("trial")]).hint("merge"), list(series))
     trend, season = columns(design)
     level, swing = gram.dot(trend, "trend"), gram.dot(season, "season")
     curved = [trial for trial, params in trials.items() if params.seasonality_mode == "multiplicative"]

@@ -450,3 +450,17 @@ def test_a_refit_predicts_each_row_once_when_a_join_gives_up_its_order(many_seri
     models, predicted = tuning.refit_additive(many_series, additive.AdditiveParams(), series=["k"])
     assert models.count() == 20
     assert predicted.count() == predicted.select("k", "ds").distinct().count() == 400
+
+
+def test_rows_of_all_trials_do_not_pass_through_the_driver(spark, many_series):
+    """The rows look small before each meets its trials, whatever size the planner takes them to be."""
+    trials = {t: additive.AdditiveParams(mode, changepoint_range=r) for t, (mode, r) in enumerate([("additive", 0.8), ("multiplicative", 0.9), ("additive", 0.6)])}
+    models = additive.fit_additive(many_series.where("fold = 'train'"), trials, series=["k"])
+    later = many_series.where("fold = 'holdout'")
+    found = additive.predict_additive(models, later, {t: trials[t] for t in (0, 1)}, series=["k"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["k"], r["ds"], r["trial"]): r["predicted"] for r in found.collect()}
+    assert found.count() == len(rows) == 800
+    for t in (0, 1):
+        alone = additive.predict_additive(models.where(F.col("trial") == t), later, {t: trials[t]}, series=["k"]).collect()
+        assert {(r["k"], r["ds"], t): r["predicted"] for r in alone} == {key: value for key, value in rows.items() if key[2] == t}
