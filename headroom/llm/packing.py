@@ -18,12 +18,13 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from headroom.llm.common import batches_of
 
@@ -36,7 +37,7 @@ BLOCK_TOKENS = 1_000_000
 _AGAIN = 8  # windows decided again with the next block
 _TEXT_BYTES = 1 << 21
 _WORDS_KEPT = 600_000
-_TOGETHER = 2_000
+_IDS_TOGETHER = 1 << 14  # words whose ids are taken at once: their arrays stay small
 _SEGMENT = 1 << 22
 _END_WORD = b" "  # no word of a text
 
@@ -51,6 +52,8 @@ _NUMBERS = _class(lambda c: unicodedata.category(c)[0] == "N")
 _SPACES = r"\t\n\x0b\x0c\r\x20\x85\xa0"
 #: How the vocabulary cuts a text: letters, single numbers, English endings, runs of other signs.
 _PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
+#: How the vocabulary's model writes the bytes of a character.
+_SIGNS = {i: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0] for i in range(256) if i != 32}
 _LOWER = bytes(ord(chr(i).lower()) for i in range(256))
 _CHUNK = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -76,6 +79,14 @@ def _cut(text: str) -> list[bytes | str]:
     return out
 
 
+class _Numbers(dict):
+    """Pieces by number; one that is asked for the first time gets the next."""
+
+    def __missing__(self, piece: bytes | str) -> int:
+        number = self[piece] = len(self)
+        return number
+
+
 class Words:
     """Token ids of texts by way of their pieces, each encoded once until the table is full and starts anew."""
 
@@ -86,51 +97,52 @@ class Words:
         ends = [i for name, i in names.items() if name.endswith("</w>") and name[:-4] and name[-5] in ".!?"]
         self.ends_sentence = np.zeros(max(names.values()) + 1, bool)
         self.ends_sentence[ends] = True
-        self.ends_piece = np.zeros(len(self.ends_sentence), bool)
-        self.ends_piece[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes | str, int] = {_END_WORD: 0}
-        self.pool, self.used = np.full(1 << 20, END, np.uint32), 1
-        self.starts, self.sizes = np.zeros(_WORDS_KEPT, np.int64), np.zeros(_WORDS_KEPT, np.int64)
+        self.number = _Numbers({_END_WORD: 0})
+        self.pool, self.used, self.known = np.full(1 << 20, END, np.uint32), 1, 1
+        self.starts, self.sizes = np.zeros(_WORDS_KEPT, np.int64), np.zeros(_WORDS_KEPT, np.int32)
         self.sizes[0] = 1
 
-    def _learn(self, pieces: list[bytes], chunks: list[str]) -> None:
-        """Pieces are encoded many at a time: the last id of each is marked as one."""
-        parts, sizes = [], []
-        for begin in range(0, len(pieces), _TOGETHER):
-            text = b" ".join(pieces[begin : begin + _TOGETHER]).decode("latin-1")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            parts.append(ids)
-            sizes.append(np.diff(np.flatnonzero(self.ends_piece[ids]), prepend=-1))
+    def _learn(self, new: list[bytes | str]) -> None:
+        """Pieces go to the model as they are; normalizer and patterns of the library would leave them unchanged."""
+        pieces, chunks = [w for w in new if isinstance(w, bytes)], [w for w in new if isinstance(w, str)]
+        tokenize, ids, sizes = self.tokenizer.model.tokenize, [], []
+        for piece in b" ".join(pieces).decode("latin-1").translate(_SIGNS).split(" ") if pieces else ():
+            found = tokenize(piece)
+            ids += [token.id for token in found]
+            sizes.append(len(found))
         for found in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            parts.append(np.array(found.ids, np.uint32))
-            sizes.append(np.array([len(found)]))
-        ids, size = np.concatenate(parts), np.concatenate(sizes)
-        first, count, need = len(self.number), len(size), self.used + len(ids)
+            ids += found.ids
+            sizes.append(len(found))
+        ids, size = np.array(ids, np.uint32), np.array(sizes)
+        count, need = self.known + len(size), self.used + len(ids)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(need, np.uint32)])
-        if first + count > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(first + count, np.int64)]) for x in (self.starts, self.sizes))
+        if count > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(count, x.dtype)]) for x in (self.starts, self.sizes))
+        at = np.fromiter(map(self.number.__getitem__, [*pieces, *chunks]), np.int64, len(size))
         self.pool[self.used : need] = ids
-        self.sizes[first : first + count] = size
-        self.starts[first : first + count] = self.used + np.cumsum(size) - size
-        self.number.update(zip([*pieces, *chunks], range(first, first + count)))
-        self.used = need
+        self.sizes[at] = size
+        self.starts[at] = self.used + np.cumsum(size) - size
+        self.known, self.used = count, need
 
     def _look_up(self, words: list[bytes | str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each word has."""
-        unknown = set(words) - self.number.keys()
-        if len(self.number) + len(unknown) > _WORDS_KEPT and len(self.number) > 1:
+        if self.known >= _WORDS_KEPT:
             self._clear()
-            unknown = set(words) - self.number.keys()
-        if unknown:
-            self._learn([w for w in unknown if isinstance(w, bytes)], [w for w in unknown if isinstance(w, str)])
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.sizes[at]
-        total = np.cumsum(size)
-        return self.pool[np.repeat(self.starts[at] - total + size, size) + np.arange(total[-1])], size
+        at = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        if len(self.number) > self.known:
+            self._learn(list(islice(self.number, self.known, None)))
+        size, found = self.sizes[at], []
+        for begin in range(0, len(at), _IDS_TOGETHER):
+            own = size[begin : begin + _IDS_TOGETHER]
+            total = np.cumsum(own)
+            place = np.repeat(self.starts[at[begin : begin + _IDS_TOGETHER]] - total + own, own)
+            place += np.arange(total[-1])
+            found.append(self.pool[place])
+        return np.concatenate(found), size
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text with the end mark; a null text is empty. Long texts are taken in segments."""

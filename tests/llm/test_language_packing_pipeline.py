@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -138,3 +139,23 @@ def test_ids_of_odd_texts(vocabulary):
     words = packing.Words(vocabulary)
     for text, ids in zip(texts, words.ids(texts)):
         assert [*tokenizer.encode(text, add_special_tokens=False).ids, 2] == ids.tolist(), repr(text)
+
+
+def test_new_pieces_go_to_the_model_once(vocabulary):
+    """The library's patterns are for other texts; a piece that is known is not encoded again."""
+    words = packing.Words(vocabulary)
+    own, asked = words.tokenizer, []
+    model = SimpleNamespace(tokenize=lambda piece: asked.append(piece) or own.model.tokenize(piece))
+    words.tokenizer = SimpleNamespace(model=model, encode_batch_fast=lambda texts, **_: pytest.fail(f"encoded as text: {texts}") if texts else [])
+    for text in ("Zebras don't pay 7 ÉCUS, don't they", "zebras PAY écus"):
+        assert words.ids([text])[0].tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
+    assert len(asked) == len(set(asked)) == 8
+
+
+def test_ids_when_the_table_of_words_starts_anew(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS_KEPT", 5)
+    monkeypatch.setattr(packing, "_IDS_TOGETHER", 3)
+    tokenizer, words = Tokenizer.from_str(vocabulary), packing.Words(vocabulary)
+    for texts in (["one two three", None, "four ж five"], ["\x85", "one six ж", ""], ["seven eight nine ten eleven twelve", "one"], ["\xa0"]):
+        found = [ids.tolist() for ids in words.ids(texts)]
+        assert found == [[*tokenizer.encode(text or "", add_special_tokens=False).ids, 2] for text in texts]
