@@ -113,18 +113,34 @@ def square(triangle: Sequence[float]) -> np.ndarray:
     return matrix + np.triu(matrix, 1).T
 
 
-def ridge(matrix: np.ndarray, penalty: np.ndarray | float) -> np.ndarray:
-    """Coefficients of the last column on the others; columns that are all zero get 0."""
-    left, right = matrix[:-1, :-1], matrix[:-1, -1]
-    scale = np.sqrt(np.diag(left))
+def ridges(matrix: np.ndarray) -> Callable[[np.ndarray | float], np.ndarray]:
+    """Coefficients of the last column on the others as a function of the penalty; columns that are all zero get 0.
+
+    Several matrices may be stacked.
+    """
+    left, right = matrix[..., :-1, :-1], matrix[..., :-1, -1]
+    shape, scale = right.shape, np.sqrt(np.diagonal(left, axis1=-2, axis2=-1))
+    some = np.flatnonzero((scale > 0).reshape(-1, shape[-1]).any(axis=0))
+    if len(some) < shape[-1]:
+        left, right, scale = left[..., some[:, None], some], right[..., some], scale[..., some]
     used = scale > 0
-    out = np.zeros(len(right))
-    if used.any():
-        unit = scale[used]
-        core = left[np.ix_(used, used)] / np.outer(unit, unit)
-        core += np.diag(np.broadcast_to(penalty, len(right))[used] / unit**2 + 1e-10)
-        out[used] = np.linalg.solve(core, right[used] / unit) / unit
-    return out
+    unit = np.where(used, scale, 1.0)
+    core, goal = left / (unit[..., :, None] * unit[..., None, :]), right / unit
+    if not used.all():  # a column that one matrix lacks stands alone there
+        core, goal = np.where(used[..., :, None] & used[..., None, :], core, 0.0), np.where(used, goal, 0.0)
+    places = np.arange(len(some))
+
+    def solved(penalty: np.ndarray | float) -> np.ndarray:
+        own, out = core.copy(), np.zeros(shape)
+        own[..., places, places] += np.where(used, np.broadcast_to(penalty, shape)[..., some] / unit**2 + 1e-10, 1.0)
+        out[..., some] = np.linalg.solve(own, goal[..., None])[..., 0] / unit
+        return out
+
+    return solved
+
+
+def ridge(matrix: np.ndarray, penalty: np.ndarray | float) -> np.ndarray:
+    return ridges(matrix)(penalty)
 
 
 def sparse(matrix: np.ndarray, penalty: np.ndarray, absolute: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
@@ -172,9 +188,10 @@ def sparse(matrix: np.ndarray, penalty: np.ndarray, absolute: np.ndarray, sweeps
     return out
 
 
-def residual_variance(matrix: np.ndarray, coefficients: np.ndarray, rows: float) -> float:
-    loss = matrix[-1, -1] - 2 * coefficients @ matrix[:-1, -1] + coefficients @ matrix[:-1, :-1] @ coefficients
-    return max(float(loss) / max(rows, 1.0), 1e-10)
+def residual_variance(matrix: np.ndarray, coefficients: np.ndarray, rows: float | np.ndarray) -> np.ndarray:
+    inner = np.matmul(matrix[..., :-1, :-1], coefficients[..., None])[..., 0] - 2 * matrix[..., :-1, -1]
+    loss = matrix[..., -1, -1] + (coefficients * inner).sum(axis=-1)
+    return np.maximum(loss / np.maximum(rows, 1.0), 1e-10)
 
 
 def solve(
